@@ -171,6 +171,12 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
+# Marked as not repeatable so that the optimiser does not copy the cleaning
+# steps before it into every later filter on the cleaned text.  Filters on
+# other columns belong before the cleaning.
+_nfc = _nfc.asNondeterministic()
+
+
 def to_nfc(text: Column) -> Column:
     """Unicode NFC.  Only text that could change is sent to Python."""
     return F.coalesce(_nfc(F.when(text.rlike(unstable_class()), text)), text)

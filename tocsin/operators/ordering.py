@@ -38,31 +38,44 @@ def with_running_totals(
     *,
     descending: bool = False,
     slots: int | None = None,
+    lead_col: str | None = None,
     tie_cols: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add running sums, own row included, in the order of one numeric column.
 
-    Rows with equal order values stay in one slot: aggregate them first if
-    there may be many.
+    ``lead_col``, a small integer, may go before it in the order.  Rows with
+    equal order values stay in one slot: aggregate them first if there may be
+    many.
     """
-    placed = with_slots(df, order_col, slots)
+    keys = ["_lead", "slot"]
+    placed = with_slots(df, order_col, slots).withColumn("_lead", F.col(lead_col) if lead_col else F.lit(0))
     for name, value in totals.items():
         placed = placed.withColumn(f"_v_{name}", value)
-    sums = placed.groupBy("slot").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
-    slot_order = F.col("slot").desc() if descending else F.col("slot").asc()
-    earlier = Window.orderBy(slot_order).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("slot", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in totals])
+    sums = placed.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
+    slot_order = ["_lead", F.col("slot").desc() if descending else F.col("slot").asc()]
+    earlier = Window.orderBy(*slot_order).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(
+        *keys, *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in totals]
+    )
     row_order = [F.col(order_col).desc() if descending else F.col(order_col).asc(), *tie_cols]
-    inside = Window.partitionBy("slot").orderBy(*row_order).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.select(*df.columns, "slot", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in totals])
-    return local.join(before, "slot").select(
+    inside = Window.partitionBy(*keys).orderBy(*row_order).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select(*df.columns, *keys, *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in totals])
+    return local.join(before, keys).select(
         *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in totals]
     )
 
 
 def with_row_index(
-    df: DataFrame, order_col: str, name: str = "row_index", *, tie_cols: tuple[str, ...] = (), slots: int | None = None
+    df: DataFrame,
+    order_col: str,
+    name: str = "row_index",
+    *,
+    lead_col: str | None = None,
+    tie_cols: tuple[str, ...] = (),
+    slots: int | None = None,
 ) -> DataFrame:
     """Number rows from 0 without gaps in the order of ``order_col``."""
-    numbered = with_running_totals(df, order_col, {name: F.lit(1)}, slots=slots, tie_cols=tie_cols)
+    numbered = with_running_totals(
+        df, order_col, {name: F.lit(1)}, slots=slots, lead_col=lead_col, tie_cols=tie_cols
+    )
     return numbered.withColumn(name, F.col(name) - 1)

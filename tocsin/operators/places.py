@@ -54,7 +54,9 @@ def match_places(
     at = F.col("i")
     starts = (
         df.where(~is_blank(F.col(text_col)))
-        .select("message_id", words.alias("words"), F.explode(F.transform(places, lambda p: p["i"])).alias("i"))
+        .select("message_id", words.alias("words"), places.alias("places"))
+        .select("message_id", "words", F.explode_outer(F.transform("places", lambda p: p["i"])).alias("i"))
+        .where(F.col("i").isNotNull())
         .select(
             "message_id",
             "i",
