@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import tables
@@ -17,6 +17,7 @@ from tocsin.operators import dedup, evaluation, language, places, relevance, tra
 from tocsin.operators.clean import clean_messages
 from tocsin.operators.event_types import SHORT_LABELS, label_event_types, scores_to_arrays
 from tocsin.plans import analysis, views
+from tocsin.sinks.writers import write_csv, write_json
 from tocsin.sources import readers
 from tocsin.streaming import jobs
 
@@ -24,7 +25,7 @@ BAR = "|"
 LEVELS = [level for level, _ in C.URGENCY_LEVELS]
 
 
-def bar(column: str) -> F.Column:
+def bar(column: str) -> Column:
     return F.array_join(column, BAR).alias(column)
 
 
@@ -34,26 +35,20 @@ def cleaned(spark: SparkSession, d: str) -> DataFrame:
     return clean_messages(tables.messages(spark, d))
 
 
-def label_rows(labels: list[str], value: str) -> F.Column:
-    """One (pos, label, score) struct per label; ``value`` is SQL over pos."""
-    names = F.array(*[F.lit(n) for n in labels])
-    return F.explode(
-        F.transform(names, lambda n, pos: F.struct(pos.alias("pos"), n.alias("label")))
-    )
-
-
 def score_table(df: DataFrame, labels: list[str], value: str) -> DataFrame:
-    rows = df.select("*", label_rows(labels, value).alias("l")).select("*", "l.pos", "l.label")
+    """One scored row per message and label; ``value`` is SQL over ``pos``."""
+    names = F.array(*[F.lit(n) for n in labels])
+    rows = df.select("*", F.posexplode(names).alias("pos", "label"))
     return rows.select("message_id", "label", F.expr(value).alias("score"))
 
 
-RELEVANCE_SCORE = "((message_id * 13 + length(text)) % 101) / CAST(100 AS DOUBLE)"
-TYPE_SCORE = "((message_id * 37 + pos * 53 + length(text)) % 97) / CAST(100 AS DOUBLE)"
-URGENCY_WEIGHT = "(((message_id * 7 + pos * 29 + length(text)) % 50) + 1) * (CASE WHEN length(text) % 4 = pos THEN 60 ELSE 1 END)"
+RELEVANCE_SCORE = "((message_id * 13 + chars) % 101) / CAST(100 AS DOUBLE)"
+TYPE_SCORE = "((message_id * 37 + pos * 53 + chars) % 97) / CAST(100 AS DOUBLE)"
+URGENCY_WEIGHT = "(((message_id * 7 + pos * 29 + chars) % 50) + 1) * (CASE WHEN chars % 4 = pos THEN 60 ELSE 1 END)"
 
 
 def given_scores(spark: SparkSession, d: str) -> analysis.ScoreTables:
-    df = tables.messages(spark, d).select("message_id", "text")
+    df = tables.messages(spark, d, spread_out=False).selectExpr("message_id", "length(text) AS chars")
     weights = score_table(df, LEVELS, URGENCY_WEIGHT)
     total = weights.groupBy("message_id").agg(F.sum("score").alias("total"))
     return analysis.ScoreTables(
@@ -67,16 +62,8 @@ def given_scores(spark: SparkSession, d: str) -> analysis.ScoreTables:
 
 def analysed(spark: SparkSession, d: str) -> DataFrame:
     """The whole analysis with scores supplied as tables."""
-    df = tables.messages(spark, d)
-    df = df.withColumn("vector_text", F.col("text"))
-    coded = df.withColumn("vector", jobs_codes("vector_text")).drop("vector_text")
-    return analysis.analyze(coded, given_scores(spark, d), tables.gazetteer(spark))
-
-
-def jobs_codes(column: str) -> F.Column:
-    from tocsin.functions.vectors import word_codes
-
-    return word_codes(F.col(column), md5_code)
+    df = with_word_codes(tables.messages(spark, d), "text", code=md5_code)
+    return analysis.analyze(df, given_scores(spark, d), tables.gazetteer(spark))
 
 
 _saved: dict[tuple[str, str], str] = {}
@@ -176,7 +163,7 @@ def q_event_types(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def score_text(column: str) -> F.Column:
+def score_text(column: str) -> Column:
     """Scores by label position as text."""
     return F.array_join(
         F.transform(F.array(*[F.lit(n) for n in SHORT_LABELS]), lambda n: F.format_string("%.4f", F.try_element_at(F.col(column), n))),
@@ -242,12 +229,12 @@ def q_window_count(spark: SparkSession, d: str) -> DataFrame:
     return dedup.window_count(cleaned(spark, d))
 
 
-def place_summary(column: str = "locations") -> F.Column:
+def place_summary(column: str = "locations") -> Column:
     return F.array_join(F.transform(column, views.place_text), BAR).alias(column)
 
 
 def q_analyze(spark: SparkSession, d: str) -> DataFrame:
-    return analysed(spark, d).select(
+    return saved_results(spark, d).select(
         "message_id", "cleaned_text", "lang_code", "lang_method", "is_relevant", "relevance_confidence",
         bar("event_types"), score_text("type_scores"), "urgency_level", "urgency_score", place_summary(),
         "is_duplicate", "cluster_id", "pipeline_version",
@@ -277,8 +264,7 @@ def q_response(spark: SparkSession, d: str) -> DataFrame:
 
 def q_analyze_models(spark: SparkSession, d: str) -> DataFrame:
     """The whole analysis with everything learnt from the tables."""
-    df = tables.messages(spark, d)
-    df = df.withColumn("vector", jobs_fast_codes("text"))
+    df = with_word_codes(tables.messages(spark, d), "text")
     marks = df.join(
         tables.table(spark, d, "labels").select((2 * F.col("doc_id")).alias("message_id"), "quality"), "message_id", "left"
     ).withColumns({
@@ -297,12 +283,6 @@ def q_analyze_models(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def jobs_fast_codes(column: str) -> F.Column:
-    from tocsin.functions.vectors import word_codes
-
-    return word_codes(F.col(column))
-
-
 def q_known(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = tables.table(spark, d, "documents"), tables.table(spark, d, "labels")
     known = docs.join(labels, "doc_id").groupBy(F.col("source").alias("sample_key")).agg(
@@ -434,7 +414,7 @@ def run_to_end(writer, spark: SparkSession) -> None:
 def streamed_messages(spark: SparkSession, d: str) -> DataFrame:
     return stream_of(spark, d, "documents").selectExpr(
         "doc_id AS message_id", "doc_id AS arrival_seq", "lang", "text",
-        f"{RELEVANCE_SCORE.replace('message_id', 'doc_id')} AS label_score",
+        f"{RELEVANCE_SCORE.replace('message_id', 'doc_id').replace('chars', 'length(text)')} AS label_score",
         "CAST(NULL AS ARRAY<DOUBLE>) AS type_scores_raw",
         "array(0.9D, 0.1D, 0.0D, 0.0D) AS urgency_scores",
     )
@@ -486,8 +466,6 @@ def q_limit_input(spark: SparkSession, d: str) -> DataFrame:
 def q_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as labelled CSV and read back by column name."""
     path = runtime.new_table_path(spark, "csv")
-    from tocsin.sinks.writers import write_csv
-
     write_csv(tables.table(spark, d, "documents").select(F.col("text").alias("tweet_text"), F.col("lang").alias("class_label")), path)
     back = readers.read_messages_csv(spark, path)
     return back.groupBy("label").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
@@ -496,8 +474,6 @@ def q_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def q_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as JSON lines and read back as text and label."""
     path = runtime.new_table_path(spark, "json")
-    from tocsin.sinks.writers import write_json
-
     write_json(tables.table(spark, d, "documents").select("text", F.col("source").alias("type")), path)
     back = readers.read_messages_json(spark, path, lines=True)
     return back.groupBy("label").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))

@@ -25,7 +25,7 @@ def values(rows: list[tuple], columns: str) -> str:
     ) + f") AS t({columns}))"
 
 
-M = f"m AS ({tables.MESSAGES_SQL})"
+M = f"m AS (SELECT *, length(text) AS chars FROM ({tables.MESSAGES_SQL}))"
 
 # --- cleaning --------------------------------------------------------------
 
@@ -446,7 +446,7 @@ SELECT round((po - agree_by_chance / (n * n)) / (1 - agree_by_chance / (n * n)),
 # --- streams give the batch answer ------------------------------------------
 
 STREAMED = [
-    f"m AS (SELECT doc_id AS message_id, doc_id AS arrival_seq, lang, source, text FROM documents)", STAGED, CLEAN,
+    "m AS (SELECT doc_id AS message_id, doc_id AS arrival_seq, lang, source, text, length(text) AS chars FROM documents)", STAGED, CLEAN,
     f"sr AS (SELECT *, cleaned_text <> '' AND {RELEVANCE_SCORE} >= 0.65 AS is_relevant FROM c)",
     f"sb AS (SELECT *, {BOOST} AS boost FROM (SELECT *, lower(cleaned_text) AS low FROM sr))",
     """su AS (SELECT *, CASE WHEN is_relevant THEN least(1.0::DOUBLE, (0.0::DOUBLE + 0.9::DOUBLE * 1.0::DOUBLE + 0.1::DOUBLE * 0.75::DOUBLE) * 0.7::DOUBLE

@@ -66,8 +66,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in DOCUMENT_COLUMNS.items()])
+def messages(spark: SparkSession, sf_dir: str, *, spread_out: bool = True) -> DataFrame:
+    docs = documents(spark, sf_dir) if spread_out else table(spark, sf_dir, "documents")
+    docs = docs.selectExpr(*[f"{e} AS {n}" for n, e in DOCUMENT_COLUMNS.items()])
     blanks = table(spark, sf_dir, "labels").where("toxic = 1")
     return docs.unionByName(blanks.selectExpr(*[f"{e} AS {n}" for n, e in BLANK_COLUMNS.items()]))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tocsin import config as C
 from tocsin.functions.text import is_blank
 from tocsin.functions.vectors import to_matrix
-from tocsin.operators.ordering import with_row_index, with_running_totals
+from tocsin.operators.ordering import with_row_index, with_totals_before
 from tocsin.runtime import materialise
 
 MAX_BLOCK = 8_192
@@ -140,8 +140,8 @@ def number_clusters(local: DataFrame, border: DataFrame, *, block_rows: int, fir
     """Add ``cluster_number`` to every row of ``local``."""
     opened = local.where((F.col("head_index") == F.col("row_index")) & F.col("head_cluster").isNull())
     per_block = opened.groupBy("block").agg(F.count("*").alias("opened"))
-    offsets = with_running_totals(per_block, "block", {"upto": F.col("opened")}).select(
-        F.col("block").alias("head_block"), (F.col("upto") - F.col("opened") + first_cluster).alias("offset")
+    offsets = with_totals_before(per_block, "block", "opened", "before").select(
+        F.col("block").alias("head_block"), (F.col("before") + first_cluster).alias("offset")
     )
     leaves = F.col("head_index") < F.col("block") * block_rows
     heads = border.select(
@@ -184,7 +184,7 @@ def assign_clusters(
     if block_rows is None:
         rows = numbered.count()
         tasks = 2 * numbered.sparkSession.sparkContext.defaultParallelism
-        block_rows = max(window, min(max(MAX_BLOCK, 4 * window), -(-rows // tasks)))
+        block_rows = max(4 * window, min(MAX_BLOCK, -(-rows // tasks)))
     block = F.floor(F.col("row_index") / block_rows)
     lends = F.col("row_index") % block_rows >= block_rows - window
     shared = numbered.withColumn(

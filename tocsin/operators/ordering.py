@@ -79,3 +79,20 @@ def with_row_index(
         df, order_col, {name: F.lit(1)}, slots=slots, lead_col=lead_col, tie_cols=tie_cols
     )
     return numbered.withColumn(name, F.col(name) - 1)
+
+
+def with_totals_before(df: DataFrame, key_col: str, value_col: str, name: str, *, fanout: int = 4096) -> DataFrame:
+    """Add the sum of ``value_col`` over all smaller values of a dense key.
+
+    For tables with one row per key, such as blocks.  Keys are summed in
+    groups of ``fanout`` neighbours, then the groups are, so neither level
+    meets more than a small part of the table in one task.
+    """
+    group = F.floor(F.col(key_col) / fanout)
+    placed = df.withColumn("_group", group)
+    sums = placed.groupBy("_group").agg(F.sum(value_col).alias("_sum"))
+    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_group", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_group").orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_local", F.coalesce(F.sum(value_col).over(inside), F.lit(0)))
+    return local.join(offsets, "_group").select(*df.columns, (F.col("_local") + F.col("_offset")).alias(name))

@@ -19,8 +19,8 @@ def keyword_boost(lowered: Column, lexicon: dict[str, float] = LEXICON) -> Colum
 
 
 def matched_keywords(lowered: Column, lexicon: dict[str, float] = LEXICON) -> Column:
-    words = F.array(*[F.lit(k) for k in lexicon])
-    return F.filter(words, lambda k: F.contains(lowered, k))
+    """The keywords found, in lexicon order."""
+    return F.array_compact(F.array(*[F.when(lowered.contains(k), F.lit(k)) for k in lexicon]))
 
 
 def semantic_score(scores: Column) -> Column:
