@@ -451,10 +451,19 @@ def q_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_stream_dedup_keyed(spark: SparkSession, d: str) -> DataFrame:
-    checked = jobs.deduplicate_by_key(streamed_vectors(spark, d), "source", window=20, threshold=0.25)
-    path = runtime.new_table_path(spark, "keyed")
-    run_to_end(checked.writeStream.outputMode("append").format("parquet").option("path", path), spark)
-    return spark.read.parquet(path).drop("arrival_seq")
+    state = jobs.WindowState(spark, runtime.new_table_path(spark, "keyed"))
+    options = dict(text_col=None, by="source", window=20, threshold=0.25)
+    run_to_end(jobs.deduplicate_stream(streamed_vectors(spark, d), state, **options), spark)
+    return state.results()
+
+
+def q_dedup_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """One window per source of the documents."""
+    docs = tables.documents(spark, d).select(
+        F.col("doc_id").alias("message_id"), F.col("doc_id").alias("arrival_seq"), "source", "text"
+    )
+    docs = with_word_codes(docs, "text", code=md5_code)
+    return dedup.deduplicate(docs, text_col="text", by="source", window=50, threshold=0.6)
 
 
 def q_limit_input(spark: SparkSession, d: str) -> DataFrame:
@@ -499,6 +508,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lookup_requests": q_lookups,
     "dedup_vectors": q_dedup_vectors,
     "dedup_documents": q_dedup_documents,
+    "dedup_by_key": q_dedup_by_key,
     "cluster_summary": q_clusters,
     "window_count": q_window_count,
     "analyze": q_analyze,

@@ -268,16 +268,20 @@ def checked(vectors: str, window: int, threshold: float, by: str | None = None)
     ]
 
 
-EMB = "emb AS (SELECT vec_id AS message_id, vec_id AS seq, embedding::DOUBLE[] AS vec, label::VARCHAR AS key FROM embeddings)"
+EMB = "emb AS (SELECT vec_id AS message_id, vec_id AS seq, embedding::DOUBLE[] AS vec, label::VARCHAR AS source FROM embeddings)"
 dedup_vectors = ctes(EMB, *checked("emb", 100, 0.3)) + "SELECT message_id, is_duplicate, cluster_id, similarity, matched_id FROM dup"
 stream_dedup = dedup_vectors
-stream_dedup_by_key = ctes(EMB, *checked("emb", 20, 0.25, "key")) + (
-    "SELECT key, message_id, is_duplicate, cluster_number, similarity, matched_id FROM dup"
+stream_dedup_by_key = ctes(EMB, *checked("emb", 20, 0.25, "source")) + (
+    "SELECT source, message_id, is_duplicate, cluster_id, similarity, matched_id FROM dup"
 )
 DOCS = "docs AS (SELECT doc_id AS message_id, doc_id AS seq, text FROM documents)"
 DOC_DUP = [DOCS, *vectors_of("docs", "text"), *checked("vecs", 500, 0.85)]
 dedup_documents = ctes(*DOC_DUP) + """SELECT dup.message_id, is_duplicate, cluster_id, similarity, matched_id, docs.text AS matched_text
 FROM dup LEFT JOIN docs ON docs.message_id = dup.matched_id"""
+KEYED = "keyed AS (SELECT vecs.*, source FROM vecs JOIN documents ON doc_id = message_id)"
+dedup_by_key = ctes(DOCS, *vectors_of("docs", "text"), KEYED, *checked("keyed", 50, 0.6, "source")) + (
+    "SELECT source, message_id, is_duplicate, cluster_id, similarity, matched_id FROM dup"
+)
 cluster_summary = ctes(*DOC_DUP) + """SELECT cluster_id, count(*) AS messages, arg_min(docs.text, docs.seq) AS first_text
 FROM dup JOIN docs USING (message_id) GROUP BY cluster_id"""
 window_count = ctes(*CLEANED) + "SELECT least(500, count(*) FILTER (cleaned_text <> ''))::BIGINT AS dedup_window_size FROM c"

@@ -14,6 +14,10 @@ parallel:
    their chain;
 4. clusters are numbered by the arrival order of their first messages.
 
+With ``by`` each key has a window and cluster numbers of its own.  A key's
+messages are numbered and cut into blocks like any others, so a key that
+holds a third of all messages is shared by as many tasks as it has blocks.
+
 No group is larger than a block however many copies a message has, and no
 pair of messages is ever written out.
 """
@@ -34,7 +38,7 @@ from tocsin.runtime import materialise
 MAX_BLOCK = 8_192
 
 BLOCK_SCHEMA = (
-    "message_id long, row_index long, block long, parent_index long, similarity double, "
+    "_key string, message_id long, row_index long, block long, parent_index long, similarity double, "
     "head_index long, head_rank long, head_cluster long"
 )
 
@@ -91,6 +95,7 @@ def _resolve_block(window: int, threshold: float, block_rows: int):
         plain = inside & ~seeded[head[own]]
         number = inside & seeded[head[own]]
         return pa.table({
+            "_key": table["_key"].slice(first).combine_chunks(),
             "message_id": table["message_id"].slice(first).combine_chunks(),
             "row_index": index[own],
             "block": np.full(len(index) - first, block, dtype=np.int64),
@@ -107,10 +112,13 @@ def _resolve_block(window: int, threshold: float, block_rows: int):
 
 
 def resolve_chains(local: DataFrame, *, block_rows: int, window: int) -> DataFrame:
-    """Follow chains across blocks.  Returns ``row_index`` of border rows with
-    the block, rank and carried cluster of the first message of their chain.
+    """Follow chains across blocks.  Returns the border rows with the block,
+    rank and carried cluster of the first message of their chain.
+
+    A border row is pointed at from one block only, so no join key is hot.
     """
     border = local.where(F.col("row_index") % block_rows >= block_rows - window).select(
+        "_key",
         "row_index",
         F.when(F.col("head_index") < F.col("block") * block_rows, F.col("head_index")).alias("next_index"),
         F.col("block").alias("head_block"),
@@ -120,46 +128,43 @@ def resolve_chains(local: DataFrame, *, block_rows: int, window: int) -> DataFra
     border = materialise(border, "border")
     while not border.where(F.col("next_index").isNotNull()).isEmpty():
         ahead = border.select(
-            F.col("row_index").alias("next_index"),
-            F.col("next_index").alias("_next"),
-            F.col("head_block").alias("_block"),
-            F.col("head_rank").alias("_rank"),
-            F.col("head_cluster").alias("_cluster"),
+            "_key",
+            F.col("row_index").alias("_at"),
+            F.struct("next_index", "head_block", "head_rank", "head_cluster").alias("_ahead"),
         )
-        open_rows = border.where(F.col("next_index").isNotNull())
-        moved = open_rows.join(ahead, "next_index").select(
-            "row_index", F.col("_next").alias("next_index"), F.col("_block").alias("head_block"),
-            F.col("_rank").alias("head_rank"), F.col("_cluster").alias("head_cluster"),
+        moved = (
+            border.where(F.col("next_index").isNotNull())
+            .select("_key", "row_index", F.col("next_index").alias("_at"))
+            .join(ahead, ["_key", "_at"])
+            .select("_key", "row_index", "_ahead.*")
         )
-        done = border.where(F.col("next_index").isNull())
-        border = materialise(done.unionByName(moved), "border")
+        border = materialise(border.where(F.col("next_index").isNull()).unionByName(moved), "border")
     return border.drop("next_index")
 
 
-def number_clusters(local: DataFrame, border: DataFrame, *, block_rows: int, first_cluster: int = 0) -> DataFrame:
+def number_clusters(
+    local: DataFrame, border: DataFrame, *, block_rows: int, opened_before: DataFrame | None = None
+) -> DataFrame:
     """Add ``cluster_number`` to every row of ``local``."""
     opened = local.where((F.col("head_index") == F.col("row_index")) & F.col("head_cluster").isNull())
-    per_block = opened.groupBy("block").agg(F.count("*").alias("opened"))
-    offsets = with_totals_before(per_block, "block", "opened", "before").select(
-        F.col("block").alias("head_block"), (F.col("before") + first_cluster).alias("offset")
-    )
+    per_block = opened.groupBy("_key", "block").agg(F.count("*").alias("opened"))
+    offsets = with_totals_before(per_block, "block", "opened", "before", by=("_key",))
+    start = F.lit(0)
+    if opened_before is not None:
+        offsets, start = offsets.join(opened_before, "_key", "left"), F.coalesce("clusters", F.lit(0))
+    offsets = offsets.select("_key", F.col("block").alias("head_block"), (F.col("before") + start).alias("offset"))
     leaves = F.col("head_index") < F.col("block") * block_rows
-    heads = border.select(
-        F.col("row_index").alias("head_index"), F.col("head_block").alias("_block"),
-        F.col("head_rank").alias("_rank"), F.col("head_cluster").alias("_cluster"),
-    )
     inner = local.where(~leaves).withColumn("head_block", F.col("block"))
     outer = (
         local.where(leaves)
         .drop("head_rank", "head_cluster")
-        .join(heads, "head_index")
-        .withColumnsRenamed({"_block": "head_block", "_rank": "head_rank", "_cluster": "head_cluster"})
+        .join(border.withColumnRenamed("row_index", "head_index"), ["_key", "head_index"])
     )
     return (
         inner.unionByName(outer)
-        .join(offsets, "head_block", "left")
+        .join(offsets, ["_key", "head_block"], "left")
         .withColumn("cluster_number", F.coalesce("head_cluster", F.col("offset") + F.col("head_rank")))
-        .select("message_id", "row_index", "parent_index", "similarity", "cluster_number")
+        .select("_key", "message_id", "row_index", "parent_index", "similarity", "cluster_number")
     )
 
 
@@ -168,34 +173,70 @@ def assign_clusters(
     *,
     window: int,
     threshold: float,
-    first_cluster: int = 0,
+    opened_before: DataFrame | None = None,
     block_rows: int | None = None,
 ) -> DataFrame:
     """Best match and cluster of every row of a gap-free numbered table.
 
-    ``numbered`` has ``message_id, row_index, vector`` and may have
-    ``carried_cluster``, the known cluster of rows from an earlier run.
+    ``numbered`` has ``_key, message_id, row_index, vector`` and
+    ``carried_cluster``, the known cluster of rows from an earlier run;
+    ``opened_before`` has the clusters opened so far by ``_key``.
     """
-    if "carried_cluster" not in numbered.columns:
-        numbered = numbered.withColumn("carried_cluster", F.lit(None).cast("long"))
-    numbered = materialise(
-        numbered.select("message_id", "row_index", "vector", "carried_cluster"), "numbered"
-    )
     if block_rows is None:
         rows = numbered.count()
         tasks = 2 * numbered.sparkSession.sparkContext.defaultParallelism
         block_rows = max(4 * window, min(MAX_BLOCK, -(-rows // tasks)))
     block = F.floor(F.col("row_index") / block_rows)
     lends = F.col("row_index") % block_rows >= block_rows - window
-    shared = numbered.withColumn(
-        "block", F.explode(F.when(lends, F.array(block, block + 1)).otherwise(F.array(block)))
+    shared = numbered.select(
+        "_key", "message_id", "row_index", "vector", "carried_cluster",
+        F.explode(F.when(lends, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"),
     )
-    local = shared.groupBy("block").applyInArrow(
+    local = shared.groupBy("_key", "block").applyInArrow(
         _resolve_block(window, threshold, block_rows), BLOCK_SCHEMA
     )
     local = materialise(local, "blocks")
     border = resolve_chains(local, block_rows=block_rows, window=window)
-    return number_clusters(local, border, block_rows=block_rows, first_cluster=first_cluster)
+    return number_clusters(local, border, block_rows=block_rows, opened_before=opened_before)
+
+
+def name_matches(clusters: DataFrame) -> DataFrame:
+    """Replace numbers by names: the cluster's, and the id of the match."""
+    parents = clusters.select("_key", F.col("row_index").alias("parent_index"), F.col("message_id").alias("matched_id"))
+    return clusters.join(parents, ["_key", "parent_index"], "left").select(
+        "_key",
+        "message_id",
+        F.col("parent_index").isNotNull().alias("is_duplicate"),
+        cluster_name(F.col("cluster_number")).alias("cluster_id"),
+        F.round("similarity", 4).alias("similarity"),
+        "matched_id",
+    )
+
+
+def no_match(*keep: str) -> list:
+    """Result columns of a message that is not checked."""
+    return [
+        *keep,
+        F.lit(False).alias("is_duplicate"),
+        F.lit(None).cast("string").alias("cluster_id"),
+        F.lit(0.0).alias("similarity"),
+        F.lit(None).cast("long").alias("matched_id"),
+    ]
+
+
+def entering_rows(
+    df: DataFrame, *, text_col: str | None, vector_col: str, seq_col: str, by: str | None
+) -> DataFrame:
+    """The few columns the check needs, written once."""
+    blank = is_blank(F.col(text_col)) if text_col else F.lit(False)
+    key = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    return materialise(
+        df.select(
+            key.alias("_key"), "message_id", F.col(seq_col).alias("_seq"),
+            F.when(~blank, F.col(vector_col)).alias("vector"), blank.alias("_blank"),
+        ),
+        "entering",
+    )
 
 
 def cluster_name(number: Column) -> Column:
@@ -218,6 +259,7 @@ def deduplicate(
     text_col: str | None = "cleaned_text",
     vector_col: str = "vector",
     seq_col: str = "arrival_seq",
+    by: str | None = None,
     window: int | None = None,
     threshold: float | None = None,
     block_rows: int | None = None,
@@ -225,44 +267,28 @@ def deduplicate(
 ) -> DataFrame:
     """Duplicate check of every message against the ``window`` before it.
 
-    Returns ``message_id, is_duplicate, cluster_id, similarity, matched_id``.
-    Blank messages are not duplicates, have no cluster and do not enter the
-    window.  A window or threshold of 0 means the default.
+    Returns ``message_id, is_duplicate, cluster_id, similarity, matched_id``,
+    after the ``by`` column if there is one.  Blank messages are not
+    duplicates, have no cluster and do not enter the window.  A window or
+    threshold of 0 means the default.
     """
     window = window or C.DEFAULTS.duplicate_window
     threshold = threshold or C.DEFAULTS.duplicate_threshold
-    unchecked = [
-        F.lit(False).alias("is_duplicate"),
-        F.lit(None).cast("string").alias("cluster_id"),
-        F.lit(0.0).alias("similarity"),
-        F.lit(None).cast("long").alias("matched_id"),
-    ]
     if skip:
-        return df.select("message_id", *unchecked)
-    blank = is_blank(F.col(text_col)) if text_col else F.lit(False)
-    entering = df.where(~blank).select("message_id", F.col(seq_col).alias("_seq"), F.col(vector_col).alias("vector"))
-    entering = materialise(entering, "entering")
-    numbered = with_row_index(entering, "_seq", tie_cols=("message_id",))
-    clusters = assign_clusters(
-        numbered.drop("_seq"), window=window, threshold=threshold, block_rows=block_rows
-    )
-    clusters = materialise(clusters, "clusters")
-    checked = name_matches(clusters)
-    if text_col is None:
-        return checked
-    return checked.unionByName(df.where(blank).select("message_id", *unchecked))
-
-
-def name_matches(clusters: DataFrame) -> DataFrame:
-    """Replace numbers by names: the cluster's, and the id of the match."""
-    parents = clusters.select(F.col("row_index").alias("parent_index"), F.col("message_id").alias("matched_id"))
-    return clusters.join(parents, "parent_index", "left").select(
-        "message_id",
-        F.col("parent_index").isNotNull().alias("is_duplicate"),
-        cluster_name(F.col("cluster_number")).alias("cluster_id"),
-        F.round("similarity", 4).alias("similarity"),
-        "matched_id",
+        return df.select(*no_match(*[c for c in (by, "message_id") if c]))
+    entering = entering_rows(df, text_col=text_col, vector_col=vector_col, seq_col=seq_col, by=by)
+    numbered = with_row_index(entering.where(~F.col("_blank")), "_seq", by=("_key",), tie_cols=("message_id",))
+    numbered = materialise(
+        numbered.select(
+            "_key", "message_id", "row_index", "vector", F.lit(None).cast("long").alias("carried_cluster")
+        ),
+        "numbered",
     )
+    clusters = assign_clusters(numbered, window=window, threshold=threshold, block_rows=block_rows)
+    checked = name_matches(materialise(clusters, "clusters"))
+    if text_col is not None:
+        checked = checked.unionByName(entering.where("_blank").select(*no_match("_key", "message_id")))
+    return checked.withColumnRenamed("_key", by) if by else checked.drop("_key")
 
 
 def window_count(df: DataFrame, *, text_col: str = "cleaned_text", window: int | None = None) -> DataFrame:

@@ -96,19 +96,20 @@ def macro_f1(matrix: DataFrame) -> DataFrame:
 
 def kappa(matrix: DataFrame) -> DataFrame:
     """Agreement beyond chance between gold and predicted labels."""
-    golds = matrix.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("gold_n"))
-    preds = matrix.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("pred_n"))
-    chance = golds.join(preds, "label").agg(
-        F.coalesce(F.sum(F.col("gold_n").cast("double") * F.col("pred_n")), F.lit(0.0)).alias("both")
-    )
-    seen = matrix.agg(
-        F.sum("n").cast("double").alias("n"),
-        F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).cast("double").alias("agree"),
-    )
-    observed, expected = F.col("agree") / F.col("n"), F.col("both") / (F.col("n") * F.col("n"))
-    return seen.crossJoin(chance).select(
-        F.round(ratio(observed - expected, 1.0 - expected), 4).alias("kappa")
-    )
+    side = F.struct
+    sides = matrix.select(
+        F.explode(F.array(
+            side(F.col("gold").alias("label"), F.col("n").alias("g"), F.lit(0).cast("long").alias("p"),
+                 F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0).alias("hit")),
+            side(F.col("pred").alias("label"), F.lit(0).cast("long").alias("g"), F.col("n").alias("p"),
+                 F.lit(0).cast("long").alias("hit")),
+        )).alias("s")
+    ).select("s.*")
+    per_label = sides.groupBy("label").agg(F.sum("g").cast("double").alias("g"), F.sum("p").cast("double").alias("p"), F.sum("hit").alias("hit"))
+    sums = per_label.agg(F.sum("g").alias("n"), F.sum("hit").alias("agree"), F.sum(F.col("g") * F.col("p")).alias("both"))
+    observed = ratio(F.col("agree"), F.col("n"))
+    expected = ratio(F.col("both"), F.col("n") * F.col("n"))
+    return sums.select(F.round(ratio(observed - expected, 1.0 - expected), 4).alias("kappa"))
 
 
 def recall_of_places(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,21 +132,28 @@ def score_points(df: DataFrame, *, score_col: str = "score", gold_col: str = "go
     )
 
 
-def _class_sizes(points: DataFrame) -> DataFrame:
-    return points.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+def _class_sizes(points: DataFrame) -> tuple[Column, Column]:
+    """Positives and negatives in all, two numbers."""
+    row = points.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    return F.lit(row["pos"] or 0), F.lit(row["neg"] or 0)
+
+
+def _with_end(rates: DataFrame, first: str, second: str, start: tuple[float, float]) -> DataFrame:
+    end = rates.sparkSession.range(1).select(
+        F.lit(float("inf")).alias("threshold"), F.lit(start[0]).alias(first), F.lit(start[1]).alias(second)
+    )
+    return rates.unionByName(end)
 
 
 def roc_curve(points: DataFrame) -> DataFrame:
     """False and true positive rate by threshold, starting at the origin."""
-    rates = points.crossJoin(_class_sizes(points)).select(
+    all_pos, all_neg = _class_sizes(points)
+    rates = points.select(
         F.col("score").alias("threshold"),
-        ratio(F.col("fp"), F.col("all_neg")).alias("fpr"),
-        ratio(F.col("tp"), F.col("all_pos")).alias("tpr"),
+        ratio(F.col("fp"), all_neg).alias("fpr"),
+        ratio(F.col("tp"), all_pos).alias("tpr"),
     )
-    origin = points.sparkSession.range(1).select(
-        F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
-    )
-    return rates.unionByName(origin)
+    return _with_end(rates, "fpr", "tpr", (0.0, 0.0))
 
 
 def auc(points: DataFrame) -> DataFrame:
@@ -163,15 +171,13 @@ def auc(points: DataFrame) -> DataFrame:
 
 def precision_recall_curve(points: DataFrame) -> DataFrame:
     """Precision and recall by threshold, ending at recall 0, precision 1."""
-    rates = points.crossJoin(_class_sizes(points)).select(
+    all_pos, _ = _class_sizes(points)
+    rates = points.select(
         F.col("score").alias("threshold"),
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        ratio(F.col("tp"), F.col("all_pos")).alias("recall"),
-    )
-    last = points.sparkSession.range(1).select(
-        F.lit(float("inf")).alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
+        ratio(F.col("tp"), all_pos).alias("recall"),
     )
-    return rates.unionByName(last)
+    return _with_end(rates, "precision", "recall", (1.0, 0.0))
 
 
 def average_precision(points: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ of the slots before are added.  Only one row per slot meets in a single task.
 
 from __future__ import annotations
 
-from itertools import pairwise
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_SLOTS = 2_048
+
 
 def with_slots(df: DataFrame, order_col: str, slots: int | None = None) -> DataFrame:
     """Add ``slot``: ranges of ``order_col`` with about equal row counts.
@@ -20,13 +20,14 @@ def with_slots(df: DataFrame, order_col: str, slots: int | None = None) -> DataF
     The bounds are literals, so every reader of the result agrees on them.
     """
     spark = df.sparkSession
-    wanted = slots or max(1, 2 * spark.sparkContext.defaultParallelism)
+    wanted = slots or min(MAX_SLOTS, 2 * spark.sparkContext.defaultParallelism)
     value = F.col(order_col).cast("double")
     shares = [i / wanted for i in range(1, wanted)]
-    cuts = df.agg(F.percentile_approx(value, shares, 10_000)).first()[0] if shares else []
-    bounds = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
-    assert all(a < b for a, b in pairwise(bounds))
-    bucketizer = Bucketizer(splits=bounds, inputCol="_order", outputCol="_slot")
+    cuts = df.agg(F.percentile_approx(value, shares, 10 * MAX_SLOTS)).first()[0] if shares else []
+    if not cuts:
+        return df.withColumn("slot", F.lit(0))
+    bounds = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    bucketizer = Bucketizer(splits=bounds, inputCol="_order", outputCol="_slot", handleInvalid="keep")
     placed = bucketizer.transform(df.withColumn("_order", value))
     return placed.withColumn("slot", F.col("_slot").cast("int")).drop("_order", "_slot")
 
@@ -38,22 +39,24 @@ def with_running_totals(
     *,
     descending: bool = False,
     slots: int | None = None,
+    by: tuple[str, ...] = (),
     lead_col: str | None = None,
     tie_cols: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add running sums, own row included, in the order of one numeric column.
 
-    ``lead_col``, a small integer, may go before it in the order.  Rows with
-    equal order values stay in one slot: aggregate them first if there may be
-    many.
+    ``by`` starts new sums for each group; a group is cut into slots too, so
+    one that holds most rows is shared by many tasks.  ``lead_col``, a small
+    integer, may go before the order column.  Rows with equal order values
+    stay in one slot: aggregate them first if there may be many.
     """
-    keys = ["_lead", "slot"]
+    keys = [*by, "_lead", "slot"]
     placed = with_slots(df, order_col, slots).withColumn("_lead", F.col(lead_col) if lead_col else F.lit(0))
     for name, value in totals.items():
         placed = placed.withColumn(f"_v_{name}", value)
     sums = placed.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
     slot_order = ["_lead", F.col("slot").desc() if descending else F.col("slot").asc()]
-    earlier = Window.orderBy(*slot_order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy(*slot_order).rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(
         *keys, *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in totals]
     )
@@ -70,29 +73,32 @@ def with_row_index(
     order_col: str,
     name: str = "row_index",
     *,
+    by: tuple[str, ...] = (),
     lead_col: str | None = None,
     tie_cols: tuple[str, ...] = (),
     slots: int | None = None,
 ) -> DataFrame:
     """Number rows from 0 without gaps in the order of ``order_col``."""
     numbered = with_running_totals(
-        df, order_col, {name: F.lit(1)}, slots=slots, lead_col=lead_col, tie_cols=tie_cols
+        df, order_col, {name: F.lit(1)}, slots=slots, by=by, lead_col=lead_col, tie_cols=tie_cols
     )
     return numbered.withColumn(name, F.col(name) - 1)
 
 
-def with_totals_before(df: DataFrame, key_col: str, value_col: str, name: str, *, fanout: int = 4096) -> DataFrame:
+def with_totals_before(
+    df: DataFrame, key_col: str, value_col: str, name: str, *, by: tuple[str, ...] = (), fanout: int = 4096
+) -> DataFrame:
     """Add the sum of ``value_col`` over all smaller values of a dense key.
 
     For tables with one row per key, such as blocks.  Keys are summed in
     groups of ``fanout`` neighbours, then the groups are, so neither level
     meets more than a small part of the table in one task.
     """
-    group = F.floor(F.col(key_col) / fanout)
-    placed = df.withColumn("_group", group)
-    sums = placed.groupBy("_group").agg(F.sum(value_col).alias("_sum"))
-    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_group", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_group").orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)
+    parts = [*by, "_part"]
+    placed = df.withColumn("_part", F.floor(F.col(key_col) / fanout))
+    sums = placed.groupBy(*parts).agg(F.sum(value_col).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*parts, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*parts).orderBy(key_col).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_local", F.coalesce(F.sum(value_col).over(inside), F.lit(0)))
-    return local.join(offsets, "_group").select(*df.columns, (F.col("_local") + F.col("_offset")).alias(name))
+    return local.join(offsets, parts).select(*df.columns, (F.col("_local") + F.col("_offset")).alias(name))

@@ -178,17 +178,18 @@ def confidence_histogram(results: DataFrame, *, bins: int = 20, settings: C.Sett
 def positive_histogram(df: DataFrame, value_col: str = "processing_time_ms", *, bins: int = 15) -> DataFrame:
     """Counts in equal bins between the least and greatest positive value."""
     positive = df.where(F.col(value_col) > 0).select(F.col(value_col).cast("double").alias("v"))
-    limits = positive.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    number = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
-    counted = positive.crossJoin(limits).groupBy(number.cast("int").alias("bin"), "lo", "hi").agg(
-        F.count("*").alias("n")
-    )
-    return counted.select(
-        "bin",
-        (F.col("lo") + width * F.col("bin")).alias("low"),
-        (F.col("lo") + width * (F.col("bin") + 1)).alias("high"),
-        F.col("n").alias("messages"),
+    limits = positive.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    low, high = limits["lo"] or 0.0, limits["hi"] or 0.0
+    width = (high - low) / bins
+    number = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)) if width else F.lit(0)
+    return (
+        positive.groupBy(number.cast("int").alias("bin")).agg(F.count("*").alias("messages"))
+        .select(
+            "bin",
+            (F.lit(low) + F.lit(width) * F.col("bin")).alias("low"),
+            (F.lit(low) + F.lit(width) * (F.col("bin") + 1)).alias("high"),
+            "messages",
+        )
     )
 
 

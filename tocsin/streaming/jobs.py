@@ -8,21 +8,17 @@ retried starts from the same state and overwrites its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tocsin import config as C
-from tocsin.functions.text import is_blank
 from tocsin.operators.clean import clean_messages
-from tocsin.operators.dedup import assign_clusters, cluster_name
+from tocsin.operators.dedup import assign_clusters, entering_rows, name_matches, no_match
 from tocsin.operators.language import LanguageModel
-from tocsin.operators.ordering import with_row_index
+from tocsin.operators.ordering import with_row_index, with_running_totals
 from tocsin.plans.analysis import Prototypes, ScoreColumns, classify
 from tocsin.runtime import materialise
 
@@ -61,21 +57,15 @@ class WindowState:
         self.spark = spark
         self.root = f"{folder}/{run_id}"
 
-    def tail_path(self, batch_id: int) -> str:
-        return f"{self.root}/tail/batch={batch_id}"
+    def path(self, table: str, batch_id: int) -> str:
+        return f"{self.root}/{table}/batch={batch_id}"
 
-    def count_path(self, batch_id: int) -> str:
-        return f"{self.root}/clusters/batch={batch_id}"
+    def write(self, df: DataFrame, table: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(self.path(table, batch_id))
 
-    def result_path(self, batch_id: int) -> str:
-        return f"{self.root}/results/batch={batch_id}"
-
-    def before(self, batch_id: int) -> tuple[DataFrame | None, int]:
-        """Window rows and cluster count that batch ``batch_id`` starts from."""
-        if batch_id == 0:
-            return None, 0
-        tail = self.spark.read.parquet(self.tail_path(batch_id - 1))
-        return tail, self.spark.read.parquet(self.count_path(batch_id - 1)).first()["clusters"]
+    def before(self, table: str, batch_id: int) -> DataFrame | None:
+        """What the batch before ``batch_id`` left, none for the first."""
+        return self.spark.read.parquet(self.path(table, batch_id - 1)) if batch_id else None
 
     def results(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/results").drop("batch")
@@ -89,66 +79,57 @@ def check_batch(
     text_col: str | None = "cleaned_text",
     vector_col: str = "vector",
     seq_col: str = "arrival_seq",
+    by: str | None = None,
     window: int | None = None,
     threshold: float | None = None,
 ) -> None:
     """Duplicate check of one batch after all earlier ones.
 
-    The saved window goes before the batch as rows with known clusters, so
-    the batch job and the stream share one block-parallel check.
+    The saved windows go before the batch as rows with known clusters, so
+    that the batch job and the stream share one block-parallel check.  The
+    state is at most ``window`` rows and one count per key.
     """
     window = window or C.DEFAULTS.duplicate_window
     threshold = threshold or C.DEFAULTS.duplicate_threshold
-    blank = is_blank(F.col(text_col)) if text_col else F.lit(False)
-    arrived = materialise(
-        batch.select("message_id", F.col(seq_col).alias("_seq"), F.col(vector_col).alias("vector"), blank.alias("_blank")),
-        "arrived",
-    )
-    tail, clusters = state.before(batch_id)
-    numbered = with_row_index(arrived.where(~F.col("_blank")), "_seq", tie_cols=("message_id",)).select(
-        "message_id", "row_index", "vector", F.lit(None).cast("long").alias("carried_cluster")
+    arrived = entering_rows(batch, text_col=text_col, vector_col=vector_col, seq_col=seq_col, by=by)
+    rows = arrived.where(~F.col("_blank")).select(
+        "_key", "message_id", "_seq", "vector", F.lit(None).cast("long").alias("carried_cluster"), F.lit(1).alias("_fresh")
     )
+    tail, opened = state.before("tail", batch_id), state.before("opened", batch_id)
     if tail is not None:
-        kept = tail.count()
-        numbered = numbered.withColumn("row_index", F.col("row_index") + kept).unionByName(tail)
-    else:
-        kept = 0
-    checked = materialise(
-        assign_clusters(numbered, window=window, threshold=threshold, first_cluster=clusters), "checked"
+        rows = rows.unionByName(tail.withColumn("_fresh", F.lit(0)))
+    numbered = materialise(
+        with_row_index(rows, "_seq", by=("_key",), lead_col="_fresh", tie_cols=("message_id",)), "numbered"
     )
-    parents = checked.select(F.col("row_index").alias("parent_index"), F.col("message_id").alias("matched_id"))
-    found = (
-        checked.where(F.col("row_index") >= kept)
-        .join(parents, "parent_index", "left")
-        .select(
-            "message_id",
-            F.col("parent_index").isNotNull().alias("is_duplicate"),
-            cluster_name(F.col("cluster_number")).alias("cluster_id"),
-            F.round("similarity", 4).alias("similarity"),
-            "matched_id",
-        )
+    clusters = materialise(
+        assign_clusters(numbered, window=window, threshold=threshold, opened_before=opened), "checked"
     )
-    unchecked = arrived.where("_blank").select(
-        "message_id", F.lit(False).alias("is_duplicate"), F.lit(None).cast("string").alias("cluster_id"),
-        F.lit(0.0).alias("similarity"), F.lit(None).cast("long").alias("matched_id"),
+    fresh = numbered.where("_fresh = 1").select("_key", "message_id")
+    found = name_matches(clusters).join(fresh, ["_key", "message_id"], "left_semi")
+    found = found.unionByName(arrived.where("_blank").select(*no_match("_key", "message_id")))
+    state.write(found.withColumnRenamed("_key", by) if by else found.drop("_key"), "results", batch_id)
+
+    backwards = with_running_totals(clusters, "row_index", {"_back": F.lit(1)}, by=("_key",), descending=True)
+    last = backwards.where(F.col("_back") <= window).select("_key", "row_index", "cluster_number")
+    state.write(
+        numbered.select("_key", "message_id", "row_index", "vector").join(last, ["_key", "row_index"]).select(
+            "_key", "message_id", F.col("row_index").alias("_seq"), "vector",
+            F.col("cluster_number").alias("carried_cluster"),
+        ),
+        "tail", batch_id,
     )
-    found.unionByName(unchecked).write.mode("overwrite").parquet(state.result_path(batch_id))
-
-    rows = checked.count()
-    first = max(0, rows - window)
-    checked.where(F.col("row_index") >= first).join(
-        numbered.select("message_id", "row_index", "vector"), ["message_id", "row_index"]
-    ).select(
-        "message_id", (F.col("row_index") - first).alias("row_index"), "vector",
-        F.col("cluster_number").alias("carried_cluster"),
-    ).write.mode("overwrite").parquet(state.tail_path(batch_id))
-    checked.agg(
-        F.greatest(F.lit(clusters), F.coalesce(F.max("cluster_number") + 1, F.lit(0))).cast("long").alias("clusters")
-    ).write.mode("overwrite").parquet(state.count_path(batch_id))
+    counts = clusters.select("_key", (F.col("cluster_number") + 1).alias("clusters"))
+    if opened is not None:
+        counts = counts.unionByName(opened)
+    state.write(counts.groupBy("_key").agg(F.max("clusters").alias("clusters")), "opened", batch_id)
 
 
 def deduplicate_stream(stream: DataFrame, state: WindowState, **options) -> DataStreamWriter:
-    """Exact duplicate check across micro-batches, in arrival order."""
+    """Exact duplicate check across micro-batches, in arrival order.
+
+    With ``by`` every key has its own window; keys are not tied to tasks, so
+    one that carries most of the stream is still split into blocks.
+    """
     return stream.writeStream.foreachBatch(lambda batch, batch_id: check_batch(batch, batch_id, state, **options))
 
 
@@ -159,62 +140,3 @@ def analyse_each_batch(stream: DataFrame, job: Callable[[DataFrame], DataFrame],
         job(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write)
-
-
-KEYED_RESULT = (
-    "key string, message_id long, arrival_seq long, is_duplicate boolean, cluster_number long, "
-    "similarity double, matched_id long"
-)
-KEYED_STATE = "width int, vectors array<double>, ids array<long>, clusters array<long>, opened long"
-
-
-def deduplicate_by_key(
-    stream: DataFrame,
-    key_col: str,
-    *,
-    vector_col: str = "vector",
-    seq_col: str = "arrival_seq",
-    window: int | None = None,
-    threshold: float | None = None,
-) -> DataFrame:
-    """Duplicate check with one window per key, for many independent sources.
-
-    The state of a key is its window, so it has a fixed size.  Order within a
-    key is sequential by nature; if one key carries most of the traffic, use
-    ``deduplicate_stream`` for it, which splits one sequence into blocks.
-    Supplied vectors only: floats of one length, of unit length.
-    """
-    window = window or C.DEFAULTS.duplicate_window
-    threshold = threshold or C.DEFAULTS.duplicate_threshold
-
-    def check(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            width, flat, ids, clusters, opened = state.get
-            recent = np.array(flat, dtype=np.float64).reshape(-1, width)
-            ids, clusters = list(ids), list(clusters)
-        else:
-            recent, ids, clusters, opened = np.zeros((0, 0)), [], [], 0
-        arrived = pd.concat(list(chunks)).sort_values(["seq", "message_id"])
-        out = []
-        for row in arrived.itertuples(index=False):
-            vector = np.asarray(row.vector, dtype=np.float64)
-            sims = np.round(recent @ vector, 10) if len(ids) else np.zeros(0)
-            top = int(sims.argmax()) if len(sims) else -1
-            best = float(sims[top]) if len(sims) else 0.0
-            duplicate = len(sims) > 0 and best >= threshold
-            cluster = clusters[top] if duplicate else opened
-            out.append((key[0], row.message_id, row.seq, duplicate, cluster, round(best, 4), ids[top] if duplicate else None))
-            opened += not duplicate
-            recent = np.vstack([recent, vector])[-window:] if len(ids) else vector[None, :]
-            ids, clusters = [*ids, row.message_id][-window:], [*clusters, cluster][-window:]
-        state.update((recent.shape[1], recent.ravel().tolist(), [int(i) for i in ids], [int(c) for c in clusters], int(opened)))
-        names = [part.split()[0] for part in KEYED_RESULT.split(", ")]
-        yield pd.DataFrame(out, columns=names).astype({"matched_id": "Int64"})
-
-    prepared = stream.select(
-        F.col(key_col).cast("string").alias("key"), "message_id", F.col(seq_col).alias("seq"),
-        F.col(vector_col).cast("array<double>").alias("vector"),
-    )
-    return prepared.groupBy("key").applyInPandasWithState(
-        check, KEYED_RESULT, KEYED_STATE, "append", GroupStateTimeout.NoTimeout
-    )
