@@ -134,7 +134,7 @@ def q_batches(spark: SparkSession, d: str) -> DataFrame:
 
 def q_language(spark: SparkSession, d: str) -> DataFrame:
     docs = tables.documents(spark, d).select("doc_id", "text", "lang")
-    model = language.train_language_model(docs, code=md5_code)
+    model = language.train_language_model(docs)
     return language.detect_language(docs, model, text_col="text").select("doc_id", "lang_code", "lang_method")
 
 

@@ -86,7 +86,7 @@ json_roundtrip = "SELECT source AS label, count(*) AS rows, sum(length(text))::B
 
 language_id = """WITH d AS (
   SELECT doc_id, lang, string_split(' ' || trim(replace(lower(text), chr(10), ' '), ' ') || ' ', '') AS c FROM documents),
-g AS (SELECT doc_id, lang, unnest([('0x' || substr(md5(c[i] || c[i+1] || c[i+2]), 1, 6))::INT % 32768 for i in range(1, len(c) - 1)]) AS code FROM d),
+g AS (SELECT doc_id, lang, unnest([(unicode(c[i]) * 961 + unicode(c[i+1]) * 31 + unicode(c[i+2])) % 32768 for i in range(1, len(c) - 1)]) AS code FROM d),
 n AS (SELECT lang, code, count(*) AS n FROM g GROUP BY ALL),
 t AS (SELECT lang, sum(n) + 32768 AS total FROM n GROUP BY lang),
 p AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM documents)) AS prior FROM documents GROUP BY lang),

@@ -8,7 +8,6 @@ neither a join nor a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,17 +16,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tocsin.functions.text import find_all, is_blank
-from tocsin.functions.vectors import fast_code
+from tocsin.functions.text import is_blank
 
 BUCKETS = 1 << 15
 METHOD = "trigram"
 
 
-def trigram_codes(text: Column, code: Callable[[Column, int], Column] = fast_code) -> Column:
-    """Codes of all trigrams of the lower-cased, space-padded text."""
-    line = F.concat(F.lit(" "), F.trim(F.replace(F.lower(text), F.lit("\n"), F.lit(" "))), F.lit(" "))
-    return F.transform(find_all(line, "(?s)(?=(...))", 1), lambda g: code(g, BUCKETS))
+def with_trigram_codes(df: DataFrame, text_col: str, name: str = "_codes") -> DataFrame:
+    """Add the codes of all trigrams of the lower-cased, space-padded text.
+
+    A code is computed from three neighbouring code points, so no trigram is
+    ever cut out as a string.  Null for blank text.
+    """
+    text = F.when(~is_blank(F.col(text_col)), F.lower(text_col))
+    line = F.concat(F.lit(" "), F.trim(F.replace(text, F.lit("\n"), F.lit(" "))), F.lit(" "))
+    points = df.withColumn("_points", F.transform(F.split(line, ""), lambda c: F.ascii(c)))
+    count = F.size("_points")
+    pairs = F.zip_with("_points", F.slice("_points", F.lit(2), count), lambda a, b: a * 961 + b * 31)
+    triples = F.zip_with(pairs, F.slice("_points", F.lit(3), count), lambda ab, c: (ab + c) % BUCKETS)
+    return points.withColumn(name, F.filter(triples, lambda t: t.isNotNull())).drop("_points")
 
 
 @dataclass(frozen=True)
@@ -37,7 +44,6 @@ class LanguageModel:
     languages: tuple[str, ...]
     log_prior: np.ndarray
     log_prob: np.ndarray
-    code: Callable[[Column, int], Column] = fast_code
 
 
 def train_language_model(
@@ -45,7 +51,6 @@ def train_language_model(
     *,
     text_col: str = "text",
     lang_col: str = "lang",
-    code: Callable[[Column, int], Column] = fast_code,
 ) -> LanguageModel:
     """Count trigram buckets by language, with add-one smoothing.
 
@@ -54,16 +59,16 @@ def train_language_model(
     """
     known = df.where(F.col(lang_col).isNotNull() & ~is_blank(F.col(text_col)))
     counts = (
-        known.select(F.col(lang_col).alias("lang"), F.explode(trigram_codes(F.col(text_col), code)).alias("code"))
+        with_trigram_codes(known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "text")
+        .select("lang", F.explode_outer("_codes").alias("code"))
+        .where(F.col("code").isNotNull())
         .groupBy("lang", "code")
         .agg(F.count("*").alias("n"))
     )
-    return model_from_counts(counts, known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")), code)
+    return model_from_counts(counts, known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")))
 
 
-def model_from_counts(
-    counts: DataFrame, texts: DataFrame, code: Callable[[Column, int], Column] = fast_code
-) -> LanguageModel:
+def model_from_counts(counts: DataFrame, texts: DataFrame) -> LanguageModel:
     """Model from tables ``(lang, code, n)`` and ``(lang, n)``."""
     totals = {row["lang"]: row["n"] for row in texts.collect()}
     languages = tuple(sorted(totals))
@@ -73,9 +78,7 @@ def model_from_counts(
     langs = table["lang"].to_pandas().map(column).to_numpy(dtype=np.int64)
     matrix[table["code"].to_numpy(), langs] += table["n"].to_numpy()
     prior = np.array([totals[lang] for lang in languages], dtype=np.float64)
-    return LanguageModel(
-        languages, np.log(prior / prior.sum()), np.log(matrix / matrix.sum(axis=0)), code
-    )
+    return LanguageModel(languages, np.log(prior / prior.sum()), np.log(matrix / matrix.sum(axis=0)))
 
 
 def save_language_model(model: LanguageModel, spark: SparkSession, path: str) -> None:
@@ -88,15 +91,12 @@ def save_language_model(model: LanguageModel, spark: SparkSession, path: str) ->
     ).parquet(path)
 
 
-def load_language_model(
-    spark: SparkSession, path: str, code: Callable[[Column, int], Column] = fast_code
-) -> LanguageModel:
+def load_language_model(spark: SparkSession, path: str) -> LanguageModel:
     rows = spark.read.parquet(path).orderBy("lang").collect()
     return LanguageModel(
         tuple(r["lang"] for r in rows),
         np.array([r["log_prior"] for r in rows]),
         np.array([r["log_prob"] for r in rows]).T.copy(),
-        code,
     )
 
 
@@ -134,9 +134,10 @@ def detect_language(df: DataFrame, model: LanguageModel, *, text_col: str = "cle
     Blank text is ``und`` by method ``none``; text the model cannot judge is
     ``und`` by method ``failed``.
     """
-    blank = is_blank(F.col(text_col))
-    codes = F.when(~blank, trigram_codes(F.col(text_col), model.code))
-    staged = df.withColumn("_best", language_scores(codes, model)).withColumn("_blank", blank)
+    coded = with_trigram_codes(df, text_col)
+    staged = coded.withColumn("_best", language_scores(F.col("_codes"), model)).withColumn(
+        "_blank", is_blank(F.col(text_col))
+    )
     found = F.col("_best").isNotNull()
     return staged.select(
         *df.columns,
