@@ -174,7 +174,8 @@ def score_text(column: str) -> Column:
 def q_urgency(spark: SparkSession, d: str) -> DataFrame:
     scores = scores_to_arrays(given_scores(spark, d).urgency, LEVELS, "urgency_scores")
     df = cleaned(spark, d).select("message_id", "cleaned_text").join(scores, "message_id", "left")
-    df = df.withColumn("keywords", urgency.matched_keywords(F.lower("cleaned_text")))
+    df = df.withColumn("low", F.lower("cleaned_text"))
+    df = df.withColumn("keywords", urgency.matched_keywords(F.col("low"))).drop("low")
     return urgency.score_urgency(df).select(
         "message_id", "urgency_level", "urgency_score", "keyword_boost", bar("keywords")
     )

@@ -54,9 +54,10 @@ def score_urgency(
     text, scores = F.col(text_col), F.col(scores_col)
     skipped = is_blank(text) if gate is None else is_blank(text) | ~gate
     failed = scores.isNull()
-    parts = df.withColumn(
+    # Lower-cased once, in a projection of its own, for all keywords.
+    parts = df.withColumn("_lower", F.when(~(skipped | failed), F.lower(text))).withColumn(
         "_boost",
-        F.when(skipped | failed, F.lit(0.0)).otherwise(keyword_boost(F.lower(text), lexicon)),
+        F.when(skipped | failed, F.lit(0.0)).otherwise(keyword_boost(F.col("_lower"), lexicon)),
     ).withColumn(
         "_score",
         F.when(skipped, F.lit(0.0))
@@ -72,5 +73,5 @@ def score_urgency(
         parts.withColumn("urgency_level", level_of(F.col("_score"), settings))
         .withColumn("urgency_score", F.round("_score", 4))
         .withColumn("keyword_boost", F.round("_boost", 4))
-        .drop("_boost", "_score")
+        .drop("_boost", "_score", "_lower")
     )
