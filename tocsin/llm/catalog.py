@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import block_names, sharding
+from tocsin.llm import block_names, jaccard_join, sharding
 from tocsin.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op2_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleaved_shards(table(spark, sf_dir, "documents"), shards=16)
     return placed.select(
@@ -23,6 +27,7 @@ def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_block_names": op2_block_names,
+    "op6_size_aware_join": op6_size_aware_join,
     "op9_interleave": op9_interleave,
 }
 
