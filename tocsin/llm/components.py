@@ -15,16 +15,26 @@ def _with_least(rows: DataFrame) -> DataFrame:
     return salted_lookup(salted, least, ["_u"], "_salt")
 
 
+def _either(rows: DataFrame, *edges: tuple[str, str]) -> DataFrame:
+    """Several edges made of each row."""
+    found = [F.struct(F.col(a).alias("_u"), F.col(b).alias("_v")) for a, b in edges]
+    return rows.select(F.inline(F.array(*found)))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("_u", "_v").union(edges.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
+    both = _either(edges, ("_u", "_v"), ("_v", "_u"))
     found = _with_least(both).filter("_v > _u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v"))
     return found.filter("_u <> _v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     found = _with_least(edges.select(F.greatest("_u", "_v").alias("_u"), F.least("_u", "_v").alias("_v")))
-    moved = found.select(F.col("_v").alias("_u"), F.col("_m").alias("_v"))
-    return moved.union(found.select("_u", F.col("_m").alias("_v"))).filter("_u <> _v").distinct()
+    return _either(found, ("_v", "_m"), ("_u", "_m")).filter("_u <> _v").distinct()
+
+
+def _plain(edges: DataFrame) -> DataFrame:
+    """The same edges in columns of their own: checkpointing mistakes columns that were swapped."""
+    return edges.select((F.col("_u") + F.lit(0)).alias("_u"), (F.col("_v") + F.lit(0)).alias("_v"))
 
 
 def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -34,11 +44,12 @@ def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
     hangs the neighbours of a node on the least of them.  No node's
     neighbours are gathered: only minima are, and rows of a hub stay spread.
     """
-    now = pin(edges.select(F.col(left).alias("_u"), F.col(right).alias("_v")).filter("_u <> _v").distinct())
+    now = edges.select(F.col(left).alias("_u"), F.col(right).alias("_v")).filter("_u <> _v").distinct()
+    now = pin(_plain(now))
     seen = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_u", "_v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen or not state[0]:
             return now.select(F.col("_u").alias("node"), F.col("_v").alias("root"))
         seen = tuple(state)
-        now = pin(_small_star(_large_star(now)))
+        now = pin(_plain(_small_star(_large_star(now))))

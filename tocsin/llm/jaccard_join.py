@@ -36,15 +36,21 @@ from pyspark.sql import functions as F
 
 from tocsin.llm.common import SALTS, pin, salted_lookup
 from tocsin.llm.components import connected
-from tocsin.llm.words import shingle_codes, word_codes
+from tocsin.llm.words import mix, shingle_codes, word_codes
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: One extra shingle in so many lengthens the first pass's prefix.
-EXTRA = 20
+EXTRA = 10
 #: Rows that the first pass looks at together, before it shuffles.
 CHUNK_ROWS = 4_000
+#: Of a shingle's code the bucket and so many bytes tell it apart in the first pass.
+CODE_BYTES = 5
+#: Codes that one bucket of the first pass gets, about.
+BUCKET_CODES = 400_000
+#: Rounds of leaders at most; what they leave unlinked is checked pair by pair.
+TURNS = 6
 #: About so many rows of an inverted list count as its cost.
 LIST_ROWS = 8
 #: Stands for a null id in joins.
@@ -86,11 +92,19 @@ def _measure(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         )
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """First shingles of each class in code order, as rows ``_token, _key, _credit``.
+def _cell(bucket: int, keys: np.ndarray, owners: np.ndarray, codes: np.ndarray, credits: np.ndarray) -> tuple:
+    own, places = np.unique(owners, return_inverse=True)
+    packed = codes.view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES].tobytes()
+    return bucket, keys[own].tobytes(), places.astype(np.uint16).tobytes(), packed, credits.astype(np.int32).tobytes()
+
+
+def _prefix_cells(
+    batches: Iterator[pa.RecordBatch], width: int, percent: int, buckets: int
+) -> Iterator[pa.RecordBatch]:
+    """First shingles of each class in code order, packed by chunk of rows and bucket of codes.
 
     Shingles that several classes of the chunk share are credited at once and
-    go on as one row without key, however many classes they have.
+    go on as one entry of no class (key 0), however many classes they have.
     """
     for batch in batches:
         for start in range(0, batch.num_rows, CHUNK_ROWS):
@@ -98,32 +112,65 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) ->
             for text in batch.column("_text").slice(start, CHUNK_ROWS):
                 codes = shingle_set(text.as_py(), width)
                 if len(codes) > 1:
-                    seen[short_key(fingerprint(codes))] = codes[: len(codes) - needed(len(codes), percent) + 1 + len(codes) // EXTRA]
+                    seen[short_key(fingerprint(codes))] = codes[
+                        : len(codes) - needed(len(codes), percent) + 1 + len(codes) // EXTRA
+                    ]
             if not seen:
                 continue
-            keys = np.fromiter(seen, np.int64, len(seen))
-            owner = np.repeat(np.arange(len(keys)), [len(x) for x in seen.values()])
-            tokens = np.concatenate(list(seen.values()))
-            order = np.argsort(tokens)
-            tokens, owner = tokens[order], owner[order]
-            first = np.r_[True, tokens[1:] != tokens[:-1]]
+            keys = np.fromiter([*seen, 0], np.int64, len(seen) + 1)
+            owner = np.repeat(np.arange(len(seen)), [len(x) for x in seen.values()])
+            codes = mix(np.concatenate(list(seen.values())))
+            order = np.argsort(codes)
+            codes, owner = codes[order], owner[order]
+            first = np.r_[True, codes[1:] != codes[:-1]]
             alone = first & np.r_[first[1:], True]
-            credit = np.bincount(owner[~alone], minlength=len(keys))
+            credit = np.bincount(owner[~alone], minlength=len(seen))
+            codes, owner = codes[first], np.where(alone, owner, len(seen))[first]
+            bucket = ((codes >> np.uint64(8 * CODE_BYTES)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
+            cells = []
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                at = order[low:high]
+                cells.append(_cell(int(bucket[at[0]]), keys, owner[at], codes[at], np.empty(0)))
             credited = np.flatnonzero(credit)
-            common = tokens[first & ~alone]
+            none = np.empty(0, np.uint64)
+            cells.append((int(keys[0] % buckets), keys[credited].tobytes(), b"", none.tobytes(), credit[credited].astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([tokens[alone], common, keys[credited].view(np.uint64)]).view(np.int64)),
-                    pa.array(
-                        np.concatenate([keys[owner[alone]], np.zeros(len(common), np.int64), keys[credited]]),
-                        mask=np.repeat([False, True, False], [alone.sum(), len(common), len(credited)]),
-                    ),
-                    pa.array(np.concatenate([np.zeros(alone.sum() + len(common), np.int64), credit[credited]])),
-                ],
-                ["_token", "_key", "_credit"],
+                [pa.array(x, t) for x, t in zip(zip(*cells, strict=True), [pa.int64(), *[pa.binary()] * 4], strict=True)],
+                ["_bucket", "_keys", "_owners", "_codes", "_credits"],
             )
 
 
+def _bucket_credits(cells: pa.Table) -> pa.Table:
+    """How many of its codes in this bucket each class shares with another class."""
+    keys, codes, given_to, given = [], [], [], []
+    for own, owners, packed, credits in zip(*(cells.column(c).to_pylist() for c in ("_keys", "_owners", "_codes", "_credits")), strict=True):
+        own = np.frombuffer(own, np.int64)
+        if credits:
+            given_to.append(own)
+            given.append(np.frombuffer(credits, np.int32))
+            continue
+        wide = np.zeros((len(packed) // CODE_BYTES, 8), np.uint8)
+        wide[:, :CODE_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, CODE_BYTES)
+        codes.append(wide.view(np.uint64).ravel())
+        keys.append(own[np.frombuffer(owners, np.uint16)])
+    if codes:
+        code, key = np.concatenate(codes), np.concatenate(keys)
+        order = np.lexsort((key, code))
+        code, key = code[order], key[order]
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        lengths = np.diff(np.r_[starts, len(code)])
+        several = np.logical_or.reduceat(key == 0, starts) | (key[starts] != key[starts + lengths - 1])
+        new = np.r_[True, (code[1:] != code[:-1]) | (key[1:] != key[:-1])]
+        shared = key[np.repeat(several, lengths) & new & (key != 0)]
+        given_to.append(shared)
+        given.append(np.ones(len(shared), np.int32))
+    found, where = np.unique(np.concatenate(given_to), return_inverse=True)
+    total = np.bincount(where, np.concatenate(given), len(found)).astype(np.int64)
+    return pa.table({"_key": found, "_credit": total})
+
+
 def _token_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(text.as_py(), width).view(np.int64) for text in batch.column("_text")]
@@ -138,19 +185,19 @@ def _token_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         )
 
 
-def _plausible(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """How many first shingles each class shares with other classes: ``_key, _credit``."""
-    rows = texts.select("_text").mapInArrow(
-        lambda it: _prefix_rows(it, width, percent), "_token long, _key long, _credit long"
-    )
-    same = Window.partitionBy("_token", F.col("_credit") > 0).orderBy("_key")
-    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = (F.count(F.lit(1)).over(whole) > F.count("_key").over(whole)) | (
-        F.min("_key").over(whole) < F.max("_key").over(whole)
+def _plausible(texts: DataFrame, shingles: int, width: int, percent: int) -> DataFrame:
+    """How many first shingles each class shares with other classes: ``_key, _credit``.
+
+    Counts may be too high, by codes or keys that happen to be equal, never
+    too low.
+    """
+    buckets = max(16, shingles // (3 * BUCKET_CODES))
+    cells = texts.select("_text").mapInArrow(
+        lambda it: _prefix_cells(it, width, percent, buckets),
+        "_bucket long, _keys binary, _owners binary, _codes binary, _credits binary",
     )
-    new = F.coalesce(F.lag("_key").over(same) != F.col("_key"), F.lit(True))
-    found = rows.select("_key", F.when(F.col("_credit") > 0, F.col("_credit")).when(shared & new, 1).alias("_credit"))
-    return found.filter("_key is not null and _credit is not null").groupBy("_key").agg(F.sum("_credit").alias("_credit"))
+    found = cells.groupBy("_bucket").applyInArrow(_bucket_credits, "_key long, _credit long")
+    return found.groupBy("_key").agg(F.sum("_credit").alias("_credit"))
 
 
 def _light_limit(sets: DataFrame) -> int:
@@ -177,7 +224,7 @@ def _light_limit(sets: DataFrame) -> int:
 
 
 def _postings(sets: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Where sets can meet: ``_key, _node, _n``."""
+    """Where sets can meet: ``_key, _node, _n``, with ``_weight``, how common the set's listed shingles are."""
     light = (F.col("_n") <= limit) & (F.col("_need") >= 2)
     listed = F.transform("_listed", lambda x: x["_token"])
     pairs = F.flatten(F.transform(
@@ -188,7 +235,8 @@ def _postings(sets: DataFrame, limit: int, percent: int) -> DataFrame:
     tokens = F.slice(listed, 1, F.col("_p1"))
     none = F.array().cast("array<long>")
     keys = F.concat(F.when(light, pairs).otherwise(none), F.when(near_heavy, tokens).otherwise(none))
-    return sets.select(F.explode(keys).alias("_key"), "_node", "_n")
+    common = F.aggregate("_listed", F.lit(0).cast("long"), lambda s, x: s + x["_df"]) / F.col("_n")
+    return sets.select(F.explode(keys).alias("_key"), "_node", "_n", common.alias("_weight"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,41 +256,58 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return (100 * a >= percent * b) & (100 * b >= percent * a)
 
 
-def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """For each set the leader it meets most often; a key's leader is its least set."""
-    leaders = postings.groupBy("_key").agg(
-        F.min(F.struct("_node", "_n")).alias("_lead"), F.max("_node").alias("_last")
-    ).filter("_lead._node < _last")
-    met = postings.join(leaders, "_key").filter("_node <> _lead._node").filter(
+def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings of keys that meet sets of several components, with ``_label`` and the key's ``_main`` one.
+
+    ``_rest`` is how many of the key's sets are outside its main component.
+    """
+    if labels is None:
+        placed = postings.withColumn("_label", F.col("_node"))
+    else:
+        salted = postings.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
+        placed = salted.join(labels, "_node", "left").withColumn("_label", F.coalesce("_label", "_node")).drop("_salt")
+    counts = placed.groupBy("_key", "_label").agg(F.count(F.lit(1)).alias("_count"))
+    mixed = counts.groupBy("_key").agg(
+        F.max(F.struct("_count", "_label")).alias("_top"), F.count(F.lit(1)).alias("_labels"),
+        F.sum("_count").alias("_all"),
+    ).filter("_labels > 1")
+    return pin(placed.join(
+        mixed.select("_key", F.col("_top._label").alias("_main"), "_all", (F.col("_all") - F.col("_top._count")).alias("_rest")),
+        "_key",
+    ))
+
+
+def _leader_pairs(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For each set the leader of another component that it meets most often.
+
+    A key's leader is first the set whose shingles are the most common, which
+    is the middle of a group of near copies, later any set.
+    """
+    rank = F.xxhash64("_node", F.lit(turn)) if turn else F.col("_weight")
+    leaders = mixed.groupBy("_key").agg(F.max(F.struct(rank, "_node", "_n", "_label")).alias("_lead"))
+    met = mixed.join(leaders, "_key").filter("_label <> _lead._label").filter(
         _fits(F.col("_n"), F.col("_lead._n"), percent)
     )
     counts = met.groupBy("_node", F.col("_lead._node").alias("_a")).agg(F.count(F.lit(1)).alias("_met"))
-    best = counts.groupBy("_node").agg(F.max(F.struct("_met", "_a")).alias("_best"))
+    best = counts.groupBy("_node").agg(F.max(F.struct("_met", F.xxhash64("_a", F.lit(turn)), "_a")).alias("_best"))
     return best.select(F.col("_best._a").alias("_a"), F.col("_node").alias("_b"))
 
 
-def _open_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs that meet and are in different components so far.
+def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """All pairs that meet and are in different components so far.
 
-    A key whose sets are all in one component has none; elsewhere the sets
-    outside the key's largest component meet all others of the key.
+    The sets outside a key's main component meet all others of the key.
     """
-    placed = postings.join(labels, "_node", "left").withColumn("_label", F.coalesce("_label", "_node"))
-    counts = placed.groupBy("_key", "_label").agg(F.count(F.lit(1)).alias("_count"))
-    mixed = counts.groupBy("_key").agg(
-        F.max(F.struct("_count", "_label")).alias("_top"), F.count(F.lit(1)).alias("_labels")
-    ).filter("_labels > 1").select("_key", F.col("_top._label").alias("_main"))
-    rows = pin(placed.join(mixed, "_key"))
-    few = rows.filter("_label <> _main").select(
+    few = mixed.filter("_label <> _main").select(
         "_key", F.col("_node").alias("_x"), F.col("_n").alias("_nx"), F.col("_label").alias("_lx")
     )
-    met = few.join(rows, "_key").filter("_label <> _lx and (_label = _main or _x < _node)")
+    met = few.join(mixed, "_key").filter("_label <> _lx and (_label = _main or _x < _node)")
     return met.filter(_fits(F.col("_n"), F.col("_nx"), percent)).select(
         F.least("_x", "_node").alias("_a"), F.greatest("_x", "_node").alias("_b")
     ).distinct()
 
 
-def _nodes(texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _nodes(texts: DataFrame, classes: DataFrame, shingles: int, width: int, percent: int) -> DataFrame:
     """Classes that may have a partner, numbered: ``_node, _print, _least, _n, _tokens``.
 
     A text is fetched by its class's least id; where ids repeat, the class
@@ -251,7 +316,7 @@ def _nodes(texts: DataFrame, classes: DataFrame, width: int, percent: int) -> Da
     size = F.col("n_shingles")
     kept = (
         classes.filter(size > 1)
-        .join(_plausible(texts, width, percent), "_key")
+        .join(_plausible(texts, shingles, width, percent), "_key")
         .filter(F.col("_credit") > F.floor(size / EXTRA))
         .select("_print", "_least", F.coalesce("_least", F.lit(NO_ID)).alias("_at"))
     )
@@ -292,11 +357,30 @@ def _listed(nodes: DataFrame, percent: int) -> DataFrame:
 def _components(sets: DataFrame, percent: int) -> DataFrame:
     """``_node, _root`` of the sets that are linked with a lesser one."""
     postings = pin(_postings(sets, _light_limit(sets), percent))
-    first = pin(_verified(_leader_pairs(postings, percent), sets, percent))
-    labels = connected(first, "_a", "_b").select(F.col("node").alias("_node"), F.col("root").alias("_label"))
-    more = _verified(_open_pairs(postings, labels, percent), sets, percent)
-    stars = labels.select(F.col("_label").alias("_a"), F.col("_node").alias("_b"))
-    return connected(stars.union(more), "_a", "_b").select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    rows, labels, linked = postings.count(), None, 1
+    for turn in range(TURNS):
+        mixed = _labelled(postings, labels)
+        # Pairs that are left at most; a few for each row are quickly checked.
+        left = mixed.filter("_label <> _main").agg(F.sum("_all")).first()[0] or 0
+        if left <= 2 * rows or not linked:
+            break
+        found = pin(_verified(_leader_pairs(mixed, turn, percent), sets, percent))
+        linked = found.count()
+        if linked:
+            labels = _merged(labels, found)
+    else:
+        mixed = _labelled(postings, labels)
+    merged = _merged(labels, _verified(_open_pairs(mixed, percent), sets, percent))
+    return merged.withColumnRenamed("_label", "_root")
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``_node, _label`` after more links."""
+    if labels is not None:
+        # Sums make columns of their own; unions of pinned tables with renamed columns fail in the optimizer.
+        stars = labels.select((F.col("_label") + F.lit(0)).alias("_a"), (F.col("_node") + F.lit(0)).alias("_b"))
+        links = links.select((F.col("_a") + F.lit(0)).alias("_a"), (F.col("_b") + F.lit(0)).alias("_b")).union(stars)
+    return connected(links, "_a", "_b").select(F.col("node").alias("_node"), F.col("root").alias("_label"))
 
 
 def jaccard_groups(
@@ -322,7 +406,8 @@ def jaccard_groups(
         worded.groupBy(*one_class, "_salt").agg(F.min("doc_id").alias("_least"))
         .groupBy(*one_class).agg(F.min("_least").alias("_least"))
     )
-    nodes = _nodes(texts, classes, width, percent)
+    shingles = worded.agg(F.sum("n_shingles")).first()[0] or 0
+    nodes = _nodes(texts, classes, shingles, width, percent)
     grouped = _components(_listed(nodes, percent), percent)
     named = nodes.select("_node", "_print", "_least").join(grouped, "_node", "left").withColumn(
         "_root", F.coalesce("_root", "_node")
