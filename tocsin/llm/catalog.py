@@ -5,18 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import block_names, jaccard_join, sharding
-from tocsin.llm.common import table
+from tocsin.llm import (
+    block_names,
+    jaccard_join,
+    language_codes,
+    packing,
+    secret_scan,
+    sharding,
+    toxicity,
+    vantage_search,
+)
+from tocsin.llm.common import table, tokenizer
 
 
 def op2_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_confirmed_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents")).drop("masked_text")
+
+
+def op5_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_search.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op6_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleaved_shards(table(spark, sf_dir, "documents"), shards=16)
     return placed.select(
@@ -25,10 +50,19 @@ def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_codes.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_block_names": op2_block_names,
+    "op3_ftrl_toxicity": op3_ftrl_toxicity,
+    "op4_confirmed_secrets": op4_confirmed_secrets,
+    "op5_vantage_trees": op5_vantage_trees,
     "op6_size_aware_join": op6_size_aware_join,
+    "op7_dominance_packing": op7_dominance_packing,
     "op9_interleave": op9_interleave,
+    "op10_output_codes": op10_output_codes,
 }
 
 ORACLES = {
