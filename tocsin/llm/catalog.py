@@ -9,8 +9,10 @@ from tocsin.llm import (
     block_names,
     jaccard_join,
     language_codes,
+    licence_scan,
     packing,
     secret_scan,
+    sentence_pieces,
     sharding,
     toxicity,
     vantage_search,
@@ -18,6 +20,10 @@ from tocsin.llm import (
 from tocsin.llm.common import table, tokenizer
 
 
+def op1_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.find_licences(table(spark, sf_dir, "documents"))
+
+
 def op2_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,11 @@ def op7_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentence_pieces.encode(docs, tokenizer("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
 def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.interleaved_shards(table(spark, sf_dir, "documents"), shards=16)
     return placed.select(
@@ -55,12 +66,14 @@ def op10_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licence_dice": op1_licence_dice,
     "op2_block_names": op2_block_names,
     "op3_ftrl_toxicity": op3_ftrl_toxicity,
     "op4_confirmed_secrets": op4_confirmed_secrets,
     "op5_vantage_trees": op5_vantage_trees,
     "op6_size_aware_join": op6_size_aware_join,
     "op7_dominance_packing": op7_dominance_packing,
+    "op8_sentence_pieces": op8_sentence_pieces,
     "op9_interleave": op9_interleave,
     "op10_output_codes": op10_output_codes,
 }
@@ -72,4 +85,15 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op5_vantage_trees": """
+        WITH e AS (SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, x -> x <> 0)) > 0
+                   GROUP BY vec_id),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+              FROM e AS q JOIN e AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+                     vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 5""",
 }

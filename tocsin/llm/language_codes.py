@@ -224,7 +224,12 @@ def _predict_rows(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> It
 
 
 def identify(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    folds: int = 5,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Learn from all but one fold of the documents and predict all of them.
 
@@ -233,16 +238,18 @@ def identify(
     ``folds`` are held out.  Texts that are null or have no letter are
     ``und`` with score 0; without any training row all texts are.  With one
     language all other texts have it, with score 1.  Repeated rows are
-    treated alike; extra columns are not read.
+    treated alike; extra columns are not read, but those named in ``carry``
+    come back in the struct ``carried``.
     """
     marked = docs.select(
         F.col(id_col).alias("doc_id"), (id_remainder(id_col, folds) == 0).alias("held_out"),
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
-    model = train(marked.filter("not held_out"))
+    model = train(marked.filter("not held_out").select("text", "lang"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(marked.dtypes)["doc_id"]
-    return marked.select("doc_id", "held_out", F.col("text").alias("_text")).mapInArrow(
-        lambda it: _predict_rows(it, shared.value),
-        f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean",
+    passed = [c for c in marked.columns if c not in ("lang", "text")]
+    kinds = ", ".join(f"{c} {t}" for c, t in marked.select(*passed).dtypes)
+    return marked.select(*passed, F.col("text").alias("_text")).mapInArrow(
+        lambda it: _predict_rows(it, shared.value), f"{kinds}, lang_pred string, score double, ambiguous boolean"
     )

@@ -184,18 +184,26 @@ def _scan_rows(batches: Iterator[pa.RecordBatch], masked: bool) -> Iterator[pa.R
         )
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", masked: bool = False) -> DataFrame:
+def find_secrets(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    masked: bool = False,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """Spans of secrets in every text.
 
     Returns one row per input row: ``doc_id, n_assign, n_access, n_hex,
     base_sha256, spans, masked_text``; the last is the text with all spans
     replaced if ``masked``, else null.  Spans are code points, end exclusive.
     Null counts as empty and stays null when masked.  Repeated rows are
-    treated alike, extra columns are not read.
+    treated alike, extra columns are not read, but those named in ``carry``
+    come back in the struct ``carried``.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    kind = dict(rows.dtypes)["doc_id"]
+    more = [F.struct(*carry).alias("carried")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), *more, F.col(text_col).alias("_text"))
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.drop("_text").dtypes)
     return rows.mapInArrow(
         lambda it: _scan_rows(it, masked),
-        f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, masked_text string",
+        f"{kinds}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, masked_text string",
     )

@@ -92,7 +92,8 @@ class Search:
         if len(nodes):
             everyone = np.arange(len(queries))
             self.walk(0, everyone, False)  # each down to one leaf, for a first bound
-            self.best[:], self.where[:] = self.best + SLACK, -1  # and found again by the full walk
+            self.bound = self.best[:, -1].copy()
+            self.best[:], self.where[:] = np.inf, -1  # and found again by the full walk
             self.walk(0, everyone, True)
 
     def offer(self, who: np.ndarray, start: int, away: np.ndarray) -> None:
@@ -122,7 +123,8 @@ class Search:
         # Children are walked in one order for all queries, as the first walk has given good bounds.
         for child, low, high in ((at + 1, low_near, high_near), (right, low_far, high_far)):
             gap = np.maximum(np.maximum(low - away, away - high), 0)
-            self.walk(child, who[gap * self.factor <= self.best[who, -1] + SLACK], True)
+            least = np.minimum(self.bound[who], self.best[who, -1])
+            self.walk(child, who[gap * self.factor <= least + SLACK], True)
 
 
 def _index_shards(rows: pd.DataFrame) -> pd.DataFrame:
