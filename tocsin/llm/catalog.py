@@ -88,8 +88,8 @@ ORACLES = {
     "op5_vantage_trees": """
         WITH e AS (SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                     AND len(list_filter(embedding, x -> x <> 0)) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
                    GROUP BY vec_id),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
               FROM e AS q JOIN e AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
