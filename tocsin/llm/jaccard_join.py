@@ -49,8 +49,12 @@ CHUNK_ROWS = 4_000
 CODE_BYTES = 5
 #: Codes that one bucket of the first pass gets, about.
 BUCKET_CODES = 400_000
+#: Ranges of class keys in which the first pass's counts are summed.
+KEY_RANGES = 256
+#: Longs of a set's parity bitmap, which tells most pairs that are too different.
+BITMAP = 8
 #: Rounds of leaders at most; what they leave unlinked is checked pair by pair.
-TURNS = 6
+TURNS = 4
 #: About so many rows of an inverted list count as its cost.
 LIST_ROWS = 8
 #: Stands for a null id in joins.
@@ -166,8 +170,27 @@ def _bucket_credits(cells: pa.Table) -> pa.Table:
         shared = key[np.repeat(several, lengths) & new & (key != 0)]
         given_to.append(shared)
         given.append(np.ones(len(shared), np.int32))
-    found, where = np.unique(np.concatenate(given_to), return_inverse=True)
-    total = np.bincount(where, np.concatenate(given), len(found)).astype(np.int64)
+    found, total = _summed(given_to, given)
+    ranges = found.view(np.uint64) % np.uint64(KEY_RANGES)
+    order = np.argsort(ranges, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(ranges[order].astype(np.int64)) > 0, True]) if len(order) else [0]
+    parts = [order[low:high] for low, high in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({
+        "_range": pa.array([int(ranges[p[0]]) for p in parts], pa.int64()),
+        "_keys": pa.array([found[p].tobytes() for p in parts], pa.binary()),
+        "_credits": pa.array([total[p].astype(np.int32).tobytes() for p in parts], pa.binary()),
+    })
+
+
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, where = np.unique(np.concatenate([*keys, np.empty(0, np.int64)]), return_inverse=True)
+    weights = np.concatenate([*values, np.empty(0)])
+    return found, np.bincount(where, weights, len(found)).astype(np.int64)
+
+
+def _range_credits(parts: pa.Table) -> pa.Table:
+    keys = [np.frombuffer(x, np.int64) for x in parts.column("_keys").to_pylist()]
+    found, total = _summed(keys, [np.frombuffer(x, np.int32) for x in parts.column("_credits").to_pylist()])
     return pa.table({"_key": found, "_credit": total})
 
 
@@ -196,8 +219,8 @@ def _plausible(texts: DataFrame, shingles: int, width: int, percent: int) -> Dat
         lambda it: _prefix_cells(it, width, percent, buckets),
         "_bucket long, _keys binary, _owners binary, _codes binary, _credits binary",
     )
-    found = cells.groupBy("_bucket").applyInArrow(_bucket_credits, "_key long, _credit long")
-    return found.groupBy("_key").agg(F.sum("_credit").alias("_credit"))
+    parts = cells.groupBy("_bucket").applyInArrow(_bucket_credits, "_range long, _keys binary, _credits binary")
+    return parts.groupBy("_range").applyInArrow(_range_credits, "_key long, _credit long")
 
 
 def _light_limit(sets: DataFrame) -> int:
@@ -245,7 +268,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("_node").alias("_b"), F.col("_n").alias("_nb"), F.col("_shared").alias("_sb"))
     both = F.size(F.array_intersect("_sa", "_sb")).cast("long")
     return (
-        pairs.join(left, "_a").join(right, "_b")
+        _near(pairs, sets, percent).join(right, "_b").join(left, "_a")
         .withColumn("_i", both)
         .filter(100 * F.col("_i") >= percent * (F.col("_na") + F.col("_nb") - F.col("_i")))
         .select("_a", "_b")
@@ -293,18 +316,35 @@ def _leader_pairs(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select(F.col("_best._a").alias("_a"), F.col("_node").alias("_b"))
 
 
-def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """All pairs that meet and are in different components so far.
+def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs that meet, are in different components so far and may be similar by their bitmaps.
 
     The sets outside a key's main component meet all others of the key.
     """
-    few = mixed.filter("_label <> _main").select(
-        "_key", F.col("_node").alias("_x"), F.col("_n").alias("_nx"), F.col("_label").alias("_lx")
+    rows = mixed.join(sets.select("_node", "_bits", (F.col("_n") - F.size("_shared")).alias("_o")), "_node")
+    few = rows.filter("_label <> _main").select(
+        "_key", F.col("_node").alias("_x"), F.col("_n").alias("_nx"), F.col("_label").alias("_lx"),
+        F.col("_bits").alias("_bitsx"), F.col("_o").alias("_ox"),
     )
-    met = few.join(mixed, "_key").filter("_label <> _lx and (_label = _main or _x < _node)")
-    return met.filter(_fits(F.col("_n"), F.col("_nx"), percent)).select(
-        F.least("_x", "_node").alias("_a"), F.greatest("_x", "_node").alias("_b")
-    ).distinct()
+    close = _may_be_similar(
+        F.col("_n"), F.col("_nx"), F.col("_o") + F.col("_ox"), F.col("_bits"), F.col("_bitsx"), percent
+    )
+    one_way = (F.col("_label") == F.col("_main")) | (F.col("_x") < F.col("_node"))
+    right = rows.withColumnRenamed("_key", "_at")
+    met = few.join(right, (F.col("_key") == F.col("_at")) & (F.col("_label") != F.col("_lx")) & one_way & close)
+    return met.select(F.least("_x", "_node").alias("_a"), F.greatest("_x", "_node").alias("_b")).distinct()
+
+
+def _may_be_similar(na: Column, nb: Column, alone: Column, bits_a: Column, bits_b: Column, percent: int) -> Column:
+    """Whether the bitmaps leave it open that two sets are similar.
+
+    Similar sets differ in at most ``(a + b) (100 - percent) / (100 + percent)``
+    tokens, of which those that only one set of all has count from the start.
+    """
+    places = F.aggregate(
+        F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+    )
+    return (100 + percent) * (alone + places) <= (100 - percent) * (na + nb)
 
 
 def _nodes(texts: DataFrame, classes: DataFrame, shingles: int, width: int, percent: int) -> DataFrame:
@@ -351,26 +391,59 @@ def _listed(nodes: DataFrame, percent: int) -> DataFrame:
             "_node", "_n", "_need", "_p1", F.slice("_all", 1, F.col("_p1") + 1).alias("_listed"),
             F.transform("_all", lambda x: x["_token"]).alias("_shared"),
         )
+        .withColumn("_bits", _bitmap(F.col("_shared")))
+    )
+
+
+def _bitmap(tokens: Column) -> Column:
+    """For each place of a bitmap whether an odd number of the tokens fall on it.
+
+    Two sets differ in at least as many tokens as their bitmaps differ in
+    places.
+    """
+    one = F.lit(1).cast("long")
+
+    def part(i: int) -> Column:
+        mine = F.filter(tokens, lambda t: F.pmod(t, F.lit(BITMAP)) == i)
+        place = lambda t: F.pmod(F.shiftright(t, 8), F.lit(64)).cast("int")
+        return F.aggregate(
+            mine, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, place(t)))
+        )
+
+    return F.array(*[part(i) for i in range(BITMAP)])
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Without the pairs whose bitmaps differ in too many places."""
+    alone = F.col("_n") - F.size("_shared")
+    left, right = (
+        sets.select(
+            F.col("_node").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"), F.col("_bits").alias(f"_bits{x}"),
+            alone.alias(f"_o{x}"),
+        )
+        for x in "ab"
+    )
+    near = _may_be_similar(
+        F.col("_na"), F.col("_nb"), F.col("_oa") + F.col("_ob"), F.col("_bitsa"), F.col("_bitsb"), percent
     )
+    return pairs.join(left, "_a").join(right, "_b").filter(near).select("_a", "_b")
 
 
 def _components(sets: DataFrame, percent: int) -> DataFrame:
     """``_node, _root`` of the sets that are linked with a lesser one."""
     postings = pin(_postings(sets, _light_limit(sets), percent))
-    rows, labels, linked = postings.count(), None, 1
+    rows, labels, before = postings.count(), None, math.inf
     for turn in range(TURNS):
         mixed = _labelled(postings, labels)
         # Pairs that are left at most; a few for each row are quickly checked.
         left = mixed.filter("_label <> _main").agg(F.sum("_all")).first()[0] or 0
-        if left <= 2 * rows or not linked:
+        if left <= 2 * rows or left > 0.8 * before:
             break
-        found = pin(_verified(_leader_pairs(mixed, turn, percent), sets, percent))
-        linked = found.count()
-        if linked:
-            labels = _merged(labels, found)
+        before = left
+        labels = _merged(labels, _verified(_leader_pairs(mixed, turn, percent), sets, percent))
     else:
         mixed = _labelled(postings, labels)
-    merged = _merged(labels, _verified(_open_pairs(mixed, percent), sets, percent))
+    merged = _merged(labels, _verified(_open_pairs(mixed, sets, percent), sets, percent))
     return merged.withColumnRenamed("_label", "_root")
 
 
