@@ -182,9 +182,13 @@ class Pieces:
     def _learn(self, units: list[str]) -> dict[str, tuple[bytes, bool]]:
         own = [code.ids for code in self.tokenizer.encode_batch(units, add_special_tokens=False)]
         plain = [u.replace(MARK, " ") for u in units]
+        # The other library would add a blank of its own, so a word with one follows a letter, which is taken off.
+        after = ["a" if self.cuts and u.startswith(MARK) else "" for u in units]
         if self.model.dummy_prefix:
-            plain = [p.removeprefix(" ") for p in plain]
-        theirs = self.peer.encode(plain, num_threads=2)
+            plain = [p if a else p.removeprefix(" ") for p, a in zip(plain, after, strict=True)]
+        skip = len(self.peer.encode("a"))
+        found = self.peer.encode([a + p for a, p in zip(after, plain, strict=True)], num_threads=2)
+        theirs = [ids[skip:] if a else ids for a, ids in zip(after, found, strict=True)]
         return {
             u: (np.array(a, np.uint32).tobytes(), a == b) for u, a, b in zip(units, own, theirs, strict=True)
         }
