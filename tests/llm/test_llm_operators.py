@@ -257,7 +257,7 @@ def test_word_by_word_ids(text):
     from tokenizers import Tokenizer
 
     path = tokenizer("byte_bpe_50k.json")
-    ids = np.frombuffer(packing.token_ids(path).encode(text), np.uint32).tolist()
+    ids = np.frombuffer(packing.token_ids(path).encode_batch([text])[0], np.uint32).tolist()
     assert ids == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 

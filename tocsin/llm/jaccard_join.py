@@ -159,7 +159,7 @@ def _bucket_credits(cells: pa.Table) -> pa.Table:
         wide[:, :CODE_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, CODE_BYTES)
         codes.append(wide.view(np.uint64).ravel())
         keys.append(own[np.frombuffer(owners, np.uint16)])
-    if codes:
+    if any(map(len, codes)):
         code, key = np.concatenate(codes), np.concatenate(keys)
         order = np.lexsort((key, code))
         code, key = code[order], key[order]

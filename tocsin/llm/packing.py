@@ -34,7 +34,9 @@ RANGE_ROWS = 20_000
 #: A blank between two other characters always starts a new word of the byte-level split.
 WORD_EDGE = re.compile(r"(?<=\S) (?=\S)")
 ODD_WHITE = re.compile(r"[^\S ]|  |^ | $")
-CACHED, CACHED_LENGTH = 200_000, 64
+CACHED, CACHED_LENGTH = 500_000, 64
+#: Texts whose new words are encoded together.
+TEXTS = 256
 
 
 class TokenIds:
@@ -55,23 +57,20 @@ class TokenIds:
         codes = self.tokenizer.encode_batch(words, add_special_tokens=False)
         return {w: np.array(c.ids, np.uint32).tobytes() for w, c in zip(words, codes, strict=True)}
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        words = WORD_EDGE.split(text) if ODD_WHITE.search(text) else text.split(" ")
-        words[1:] = [" " + w for w in words[1:]]
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; new words of all texts are encoded together."""
+        cut = []
+        for text in texts:
+            words = WORD_EDGE.split(text) if ODD_WHITE.search(text) else text.split(" ")
+            words[1:] = [" " + w for w in words[1:]]
+            cut.append(words)
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = self._learn([w for w in dict.fromkeys(words) if w not in known])
-        ids = b"".join([known[w] if w in known else new[w] for w in words])
+        new = self._learn(list({w for words in cut for w in words}.difference(known)))
+        found = [b"".join([known[w] if w in known else new[w] for w in words]) for words in cut]
         if len(known) > CACHED:
             known.clear()
         known.update((w, c) for w, c in new.items() if len(w) <= CACHED_LENGTH)
-        return ids
+        return found
 
 
 @lru_cache(1)
@@ -91,9 +90,10 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end
     end = np.array([end_id], np.uint32).tobytes()
     for batch in batches:
         encoder, rows, owner = token_ids(path), [], []
-        for i, text in enumerate(batch.column("_text")):
-            ids = encoder.encode(text.as_py() or "") + end
-            start = 0
+        texts = [text.as_py() or "" for text in batch.column("_text")]
+        encoded = (ids for at in range(0, len(texts), TEXTS) for ids in encoder.encode_batch(texts[at : at + TEXTS]))
+        for i, ids in enumerate(encoded):
+            ids, start = ids + end, 0
             for piece, length in enumerate(piece_lengths(len(ids) // 4, capacity)):
                 rows.append((piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                 owner.append(i)
