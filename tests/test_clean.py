@@ -23,7 +23,7 @@ def test_blank_and_null(spark):
     ("Road closed https://example.org/a.jpg use bypass", "Road closed use bypass"),
     ("see www.example.org now", "see now"),
     ("@crew Send boats", "Send boats"),
-    ("#FloodAlert in the east", "Flood Alert in the east"),
+    ("#RiverWatch at noon", "River Watch at noon"),
     ("#HELPNow #SOS #x_y", "HELP Now SOS x_y"),
     ("RT @user1: shaking felt", "shaking felt"),
     ("rt  @user1:  shaking felt", "shaking felt"),
@@ -32,8 +32,8 @@ def test_blank_and_null(spark):
     ("Tu\u0308rkiye\u200b quake", "Türkiye quake"),
     ("Tu\u0308rkiye", "T\u00fcrkiye"),
     ("mail me@host.org", "mail me.org"),
-    ("भूकंप से भारी तबाही", "भूकंप से भारी तबाही"),
-    ("زلزال قوي ضرب المنطقة", "زلزال قوي ضرب المنطقة"),
+    ("पुल टूट गया है", "पुल टूट गया है"),
+    ("الطريق مغلق الآن", "الطريق مغلق الآن"),
     ("\u1112\u1161\u11ab", "\ud55c"),
     ("a # b #", "a # b #"),
 ])

@@ -59,14 +59,6 @@ URGENCY_LEVELS = (
     ("LOW", 0.25),
 )
 
-# Urgency candidates, same order as the levels.
-URGENCY_LABELS = (
-    "This is an extremely urgent life-threatening emergency requiring immediate rescue",
-    "This reports significant damage or urgent need for resources",
-    "This is a moderate update about the disaster situation",
-    "This is a general informational update or offer of help",
-)
-
 # Urgency lexicon, keyword and weight.
 CRITICAL_KEYWORDS = {
     "trapped": 0.25, "dying": 0.30, "drowning": 0.30, "buried": 0.25,

@@ -9,7 +9,6 @@ from tocsin import config as C
 from tocsin.functions.text import is_blank
 
 SHORT_LABELS = [short for _, short in C.EVENT_TYPES]
-SHORT_OF = dict(C.EVENT_TYPES)
 
 
 def scores_to_arrays(scores: DataFrame, labels: list[str], name: str) -> DataFrame:

@@ -52,9 +52,3 @@ LOCATION = T.StructType([
     T.StructField("display_name", T.StringType()),
     T.StructField("country", T.StringType()),
 ])
-
-LABEL_SCORES = T.StructType([
-    T.StructField("message_id", T.LongType()),
-    T.StructField("label", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-])

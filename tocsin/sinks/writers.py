@@ -9,7 +9,11 @@ from tocsin.plans import views
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; outer blanks stay, an empty text is quoted and null is nothing."""
+    (
+        df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
 
 
 def write_json(df: DataFrame, path: str) -> None:

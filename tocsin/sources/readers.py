@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tocsin import config as C
 from tocsin import schemas
+from tocsin.sinks.writers import write_csv
 
 TEXT_COLUMNS = ("tweet_text", "text")
 LABEL_COLUMNS = ("class_label", "label", "type")
@@ -17,7 +18,7 @@ EVAL_LABEL_COLUMNS = ("class_label", "label")
 def pick_text(columns: list[str]) -> str:
     found = [c for c in TEXT_COLUMNS if c in columns]
     if not found:
-        raise ValueError("CSV must have 'text' or 'tweet_text' column")
+        raise ValueError(f"no text column; expected one of {', '.join(TEXT_COLUMNS)}")
     return found[0]
 
 
@@ -96,9 +97,7 @@ def read_splits(spark: SparkSession, folder: str) -> DataFrame:
 def convert_parquet_splits(spark: SparkSession, splits: dict[str, str], out_folder: str) -> None:
     """Parquet splits to CSV folders with a header, one per split."""
     for name, path in splits.items():
-        spark.read.parquet(path).write.mode("overwrite").option("header", True).option("escape", '"').csv(
-            f"{out_folder}/{name}"
-        )
+        write_csv(spark.read.parquet(path), f"{out_folder}/{name}")
 
 
 def limit_input(df: DataFrame, n: int | None, *, seq_col: str = "arrival_seq") -> DataFrame:
