@@ -15,6 +15,7 @@ checksums of its pieces.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,45 +33,108 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task ranks, on average.
 RANGE_ROWS = 20_000
-#: A blank between two other characters always starts a new word of the byte-level split.
-WORD_EDGE = re.compile(r"(?<=\S) (?=\S)")
-ODD_WHITE = re.compile(r"[^\S ]|  |^ | $")
+#: White space other than lone blanks and line ends between other characters.
+ODD_WHITE = (
+    r"[\t\v\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"|[ \n][ \n]|^[ \n]|[ \n]$"
+)
+WHITE = re.compile(r"\s")
 CACHED, CACHED_LENGTH = 500_000, 64
-#: Texts whose new words are encoded together.
-TEXTS = 256
+#: Bytes of texts that are cut into words together, and words that are encoded as one text.
+TOGETHER, JOINED = 4_000_000, 1_000
 
 
 class TokenIds:
     """Ids of whole texts, word by word; words seen before are looked up.
 
     Encoding words one by one gives the ids of the whole text, as a byte-level
-    tokenizer splits a text at every single blank between other characters
-    before it merges anything.
+    tokenizer splits a text at every single blank or line end between other
+    characters before it merges anything.  Texts with other white space are
+    encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are its threads
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        size = max(vocab.values()) + 1
+        #: Ids of tokens that begin with a blank or a line end, as the byte-level alphabet writes them.
+        self.opens = {" ": np.zeros(size, bool), "\n": np.zeros(size, bool)}
+        for token, i in vocab.items():
+            self.opens[" "][i] = token.startswith("\u0120")
+            self.opens["\n"][i] = token.startswith("\u010a")
         self.known: dict[str, bytes] = {}
 
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in found]
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        codes = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(c.ids, np.uint32).tobytes() for w, c in zip(words, codes, strict=True)}
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; new words of all texts are encoded together."""
-        cut = []
-        for text in texts:
-            words = WORD_EDGE.split(text) if ODD_WHITE.search(text) else text.split(" ")
-            words[1:] = [" " + w for w in words[1:]]
-            cut.append(words)
+        """Ids of words as they stand inside a text: after a blank, unless they bring a line end.
+
+        Words of one kind are encoded as one text, which a token with the
+        blank or line end in front cuts into words again.
+        """
+        found: dict[str, bytes] = {}
+        alone = []
+        kinds: dict[str, list[str]] = {" ": [], "\n": []}
+        for word in words:
+            lead, rest = ("\n", word[1:]) if word.startswith("\n") else (" ", word)
+            (kinds[lead] if rest and not WHITE.search(rest) else alone).append(word)
+        for lead, group in kinds.items():
+            blank = " " if lead == " " else ""
+            for at in range(0, len(group), JOINED):
+                part = group[at : at + JOINED]
+                ids = self.encode_whole([blank + blank.join(part)])[0]
+                cuts = (4 * np.flatnonzero(self.opens[lead][np.frombuffer(ids, "<u4")])).tolist()
+                if len(cuts) == len(part) and cuts[0] == 0:
+                    ends = [*cuts[1:], len(ids)]
+                    found.update((w, ids[a:b]) for w, a, b in zip(part, cuts, ends, strict=True))
+                else:
+                    alone += part
+        whole = [w if w.startswith("\n") else " " + w for w in alone]
+        return found | dict(zip(alone, self.encode_whole(whole), strict=True))
+
+    def _by_words(self, texts: pa.Array) -> list[bytes]:
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        flat = cut.flatten().dictionary_encode()
+        words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
         known = self.known
-        new = self._learn(list({w for words in cut for w in words}.difference(known)))
-        found = [b"".join([known[w] if w in known else new[w] for w in words]) for words in cut]
+        new = self._learn([w for w in words if w not in known])
+        ids = [known[w] if w in known else new[w] for w in words]
+        # The first word of a text has no blank before it.
+        first = offsets[:-1]
+        opening = list(dict.fromkeys(words[c] for c in codes[first]))
+        place = {w: len(words) + i for i, w in enumerate(opening)}
+        ids += self.encode_whole(opening)
+        codes[first] = [place[words[c]] for c in codes[first]]
         if len(known) > CACHED:
             known.clear()
         known.update((w, c) for w, c in new.items() if len(w) <= CACHED_LENGTH)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[codes]
+        ends = np.cumsum(each)
+        at = np.repeat(starts[codes] - (ends - each), each) + np.arange(each.sum())
+        placed = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        cuts = [0, *(4 * ends[offsets[1:] - 1]).tolist()]
+        return [placed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_batch(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; texts are taken together up to ``TOGETHER`` bytes."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        odd = pc.match_substring_regex(texts, ODD_WHITE).to_numpy(zero_copy_only=False)
+        found: list[bytes] = [b""] * len(texts)
+        plain = np.flatnonzero(~odd)
+        run = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)[plain]) // TOGETHER
+        for part in np.split(plain, np.flatnonzero(np.diff(run)) + 1) if len(plain) else ():
+            for i, ids in zip(part, self._by_words(texts.take(pa.array(part))), strict=True):
+                found[i] = ids
+        for i in np.flatnonzero(odd):
+            found[i] = self.encode_whole([texts[i].as_py()])[0]
         return found
 
 
@@ -90,9 +155,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end
     end = np.array([end_id], np.uint32).tobytes()
     for batch in batches:
         encoder, rows, owner = token_ids(path), [], []
-        texts = [text.as_py() or "" for text in batch.column("_text")]
-        encoded = (ids for at in range(0, len(texts), TEXTS) for ids in encoder.encode_batch(texts[at : at + TEXTS]))
-        for i, ids in enumerate(encoded):
+        for i, ids in enumerate(encoder.encode_batch(pc.fill_null(batch.column("_text"), ""))):
             ids, start = ids + end, 0
             for piece, length in enumerate(piece_lengths(len(ids) // 4, capacity)):
                 rows.append((piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
