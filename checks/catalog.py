@@ -62,8 +62,10 @@ def given_scores(spark: SparkSession, d: str) -> analysis.ScoreTables:
 
 def analysed(spark: SparkSession, d: str) -> DataFrame:
     """The whole analysis with scores supplied as tables."""
-    df = with_word_codes(tables.messages(spark, d), "text", code=md5_code)
-    return analysis.analyze(df, given_scores(spark, d), tables.gazetteer(spark))
+    return analysis.analyze(
+        tables.messages(spark, d), given_scores(spark, d), tables.gazetteer(spark),
+        embed=lambda df: with_word_codes(df, "cleaned_text", code=md5_code),
+    )
 
 
 _saved: dict[tuple[str, str], str] = {}
@@ -222,8 +224,8 @@ def q_dedup_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_clusters(spark: SparkSession, d: str) -> DataFrame:
-    docs = document_codes(spark, d).drop("vector")
-    return dedup.cluster_summary(docs.join(dedup.deduplicate(document_codes(spark, d)), "message_id"))
+    docs = document_codes(spark, d)
+    return dedup.cluster_summary(docs.drop("vector").join(dedup.deduplicate(docs), "message_id"))
 
 
 def q_window_count(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +240,7 @@ def q_analyze(spark: SparkSession, d: str) -> DataFrame:
     return saved_results(spark, d).select(
         "message_id", "cleaned_text", "lang_code", "lang_method", "is_relevant", "relevance_confidence",
         bar("event_types"), score_text("type_scores"), "urgency_level", "urgency_score", place_summary(),
-        "is_duplicate", "cluster_id", "pipeline_version",
+        "is_duplicate", "cluster_id", "similarity", "matched_id", "pipeline_version",
     )
 
 
@@ -265,8 +267,8 @@ def q_response(spark: SparkSession, d: str) -> DataFrame:
 
 def q_analyze_models(spark: SparkSession, d: str) -> DataFrame:
     """The whole analysis with everything learnt from the tables."""
-    df = with_word_codes(tables.messages(spark, d), "text")
-    marks = df.join(
+    df = tables.messages(spark, d)
+    marks = with_word_codes(clean_messages(df), "cleaned_text").join(
         tables.table(spark, d, "labels").select((2 * F.col("doc_id")).alias("message_id"), "quality"), "message_id", "left"
     ).withColumns({
         "kind": F.pmod(F.regexp_extract("source", r"(\d+)", 1).try_cast("int"), F.lit(8)),

@@ -171,8 +171,9 @@ urgency = ctes(*CLEANED, *URGENCY) + f"""SELECT message_id, {level('urgency_raw'
 EDGE = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"
 LEAD = r"^[^\p{L}\p{N}_]+"
 GAZ = f"gaz AS ({tables.GAZETTEER_SQL})"
-NAMES = """names AS (SELECT lower(name) AS key, arg_min(kind, (-coalesce(importance, 0.5), display_name)) AS kind,
-    max(coalesce(importance, 0.5)) AS score FROM gaz GROUP BY lower(name))"""
+NAME_KEY = f"lower(regexp_replace(trim(name), '{EDGE}', '', 'g'))"
+NAMES = f"""names AS (SELECT {NAME_KEY} AS key, arg_min(kind, (-coalesce(importance, 0.5), display_name)) AS kind,
+    max(coalesce(importance, 0.5)) AS score FROM gaz GROUP BY {NAME_KEY})"""
 
 
 def mentions(source: str) -> list[str]:
@@ -183,7 +184,7 @@ def mentions(source: str) -> list[str]:
         "starts AS (SELECT message_id, w, unnest(range(len(w))) AS i FROM words)",
         f"""spans AS (SELECT message_id, w, i, n, array_to_string(w[i+1:i+n], ' ') AS raw
     FROM starts CROSS JOIN range(1, 4) AS r(n) WHERE i + n <= len(w)
-    AND lower(regexp_replace(w[i+1], '{EDGE}', '', 'g')) IN (SELECT string_split(key, ' ')[1] FROM names))""",
+    AND regexp_matches(w[i+1], '[\\p{{L}}\\p{{N}}_]'))""",
         f"""hits AS (SELECT message_id, i, n, kind, score, text,
       (CASE WHEN i = 0 THEN 0 ELSE length(array_to_string(w[1:i], ' ')) + 1 END
         + length(raw) - length(regexp_replace(raw, '{LEAD}', '')))::INT AS start
@@ -209,7 +210,7 @@ MERGED = [
 ]
 CONFIDENCE = """round(least(1.0, coalesce(importance, 0.5) * 0.6 + CASE WHEN len(bbox) = 4
       THEN greatest(0.0, 1.0 - abs(bbox[2] - bbox[1]) * abs(bbox[4] - bbox[3]) / 100.0) ELSE 0.5 END * 0.4), 4)"""
-ENTRIES = f"""entries AS (SELECT lower(name) AS key, upper(country) AS hint, round(lat, 6) AS latitude, round(lng, 6) AS longitude,
+ENTRIES = f"""entries AS (SELECT {NAME_KEY} AS key, upper(country) AS hint, round(lat, 6) AS latitude, round(lng, 6) AS longitude,
     display_name, upper(country) AS country, {CONFIDENCE} AS geo_confidence, coalesce(importance, 0.5) AS imp FROM gaz)"""
 ANYWHERE = "anywhere AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY key ORDER BY imp DESC, display_name) = 1)"
 LOCAL = "local AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY key, hint ORDER BY imp DESC, display_name) = 1)"
@@ -315,14 +316,16 @@ RESULTS = [
 ]
 RESULT_DUP = [
     *RESULTS,
-    "entering AS (SELECT message_id, arrival_seq AS seq, text AS raw_text FROM r WHERE cleaned_text <> '')",
-    *vectors_of("entering", "raw_text"), *checked("vecs", 500, 0.85),
-    """rd AS (SELECT r.*, coalesce(is_duplicate, false) AS is_duplicate, cluster_id FROM r LEFT JOIN dup USING (message_id))""",
+    "entering AS (SELECT message_id, arrival_seq AS seq, cleaned_text AS body FROM r WHERE cleaned_text <> '')",
+    *vectors_of("entering", "body"), *checked("vecs", 500, 0.85),
+    """rd AS (SELECT r.*, coalesce(is_duplicate, false) AS is_duplicate, cluster_id,
+      coalesce(similarity, 0.0) AS similarity, matched_id FROM r LEFT JOIN dup USING (message_id))""",
 ]
 TYPE_LIST = "replace(event_types, '|', ', ')"
 
 analyze = ctes(*RESULT_DUP) + """SELECT message_id, cleaned_text, lang_code, lang_method, is_relevant, relevance_confidence,
-  event_types, type_scores, urgency_level, urgency_score, locations, is_duplicate, cluster_id, '0.1.0' AS pipeline_version FROM rd"""
+  event_types, type_scores, urgency_level, urgency_score, locations, is_duplicate, cluster_id, similarity, matched_id,
+  '0.1.0' AS pipeline_version FROM rd"""
 analyze_json = ctes(*RESULT_DUP) + """SELECT message_id, lang_code AS code, urgency_level AS level,
   CASE WHEN is_relevant THEN 'true' ELSE 'false' END AS relevant, nullif(string_split(event_types, '|')[1], '') AS first_type,
   first_place, first_country, cluster_id AS cluster, '0.1.0' AS version FROM rd"""

@@ -2,7 +2,8 @@
 
 The texts of ``documents`` lack most of what the operators look for.  The
 ``messages`` table therefore holds every document whole, with marks added
-around it, and a blank message after each document labelled toxic.  The same
+around it, a blank message after each document labelled toxic, and reposts
+that equal another message once they are cleaned.  The same
 expressions build it in Spark and in the SQL used for checking.
 """
 
@@ -14,11 +15,11 @@ DOCUMENT_TEXT = """concat(
     CASE WHEN doc_id % 7 = 0 THEN concat('RT @user', CAST(doc_id % 50 AS STRING), ': ') ELSE '' END,
     text,
     CASE doc_id % 6
-      WHEN 0 THEN ' URGENT: people trapped, building collapsed in Hatay. Please help, emergency! Au secours, socorro'
+      WHEN 0 THEN ' URGENT: roof collapsed on a bus in Hatay, passengers trapped. Emergency, please help! Au secours, socorro'
       WHEN 1 THEN ' flood damage near Lyon, hospital needs ambulance'
       WHEN 2 THEN ' necesitamos ayuda urgente en San Pedro Sula, San Pedro'
       WHEN 3 THEN ' fire at City Hospital, children missing near Port Market Lyon Hatay'
-      WHEN 4 THEN ' rain expected tonight'
+      WHEN 4 THEN concat(' rain tonight from St. John', chr(39), 's to Washington D.C., then (Stratford-upon-Avon) and - Port Vila; Port Vila]')
       ELSE ' great pizza at Nova Bank' END,
     CASE WHEN doc_id % 4 = 0 THEN ' #FloodAlert #HELPNow' ELSE '' END,
     CASE WHEN doc_id % 5 = 0 THEN concat('  https://t.co/', CAST(doc_id AS STRING), '.JPG') ELSE '' END,
@@ -40,13 +41,21 @@ BLANK_COLUMNS = {
     "source": "'blank'",
     "text": "'   '",
 }
+REPOSTED = "doc_id % 11 = 5 AND doc_id % 7 <> 0"
+REPOST_COLUMNS = {
+    "message_id": "2 * doc_id + 4000000001",
+    "arrival_seq": "2 * doc_id + 1",
+    "lang": "lang",
+    "source": "'repost'",
+    "text": f"concat('RT @echo: ', {DOCUMENT_TEXT}, ' https://t.co/again')",
+}
 
 
 def _select(columns: dict[str, str], table: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {table}"
 
 
-MESSAGES_SQL = f"{_select(DOCUMENT_COLUMNS, 'documents')} UNION ALL {_select(BLANK_COLUMNS, 'labels')} WHERE toxic = 1"
+MESSAGES_SQL = f"{_select(DOCUMENT_COLUMNS, 'documents')} UNION ALL {_select(BLANK_COLUMNS, 'labels')} WHERE toxic = 1 UNION ALL {_select(REPOST_COLUMNS, 'documents')} WHERE {REPOSTED}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +76,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str, *, spread_out: bool = True) -> DataFrame:
-    docs = documents(spark, sf_dir) if spread_out else table(spark, sf_dir, "documents")
-    docs = docs.selectExpr(*[f"{e} AS {n}" for n, e in DOCUMENT_COLUMNS.items()])
+    given = documents(spark, sf_dir) if spread_out else table(spark, sf_dir, "documents")
+    docs = given.selectExpr(*[f"{e} AS {n}" for n, e in DOCUMENT_COLUMNS.items()])
+    reposts = given.where(REPOSTED).selectExpr(*[f"{e} AS {n}" for n, e in REPOST_COLUMNS.items()])
     blanks = table(spark, sf_dir, "labels").where("toxic = 1")
-    return docs.unionByName(blanks.selectExpr(*[f"{e} AS {n}" for n, e in BLANK_COLUMNS.items()]))
+    blanks = blanks.selectExpr(*[f"{e} AS {n}" for n, e in BLANK_COLUMNS.items()])
+    return docs.unionByName(blanks).unionByName(reposts)
 
 
 # Small lookup table: name, kind, display name, lat, lng, importance, bbox, country.
@@ -83,6 +94,10 @@ GAZETTEER = (
     ("Pedro", "PER", "Pedro", None, None, 0.2, None, None),
     ("City Hospital", "ORG", "City Hospital", 51.5, -0.12, 0.41, (51.4, 51.6), "gb"),
     ("Port Market", "ORG", "Port Market", None, None, 0.33, None, None),
+    ("St. John's", "LOC", "St. John's, Newfoundland", 47.5615, -52.7126, 0.58, (47.3, 47.7, -53.0, -52.6), "ca"),
+    ("Washington D.C.", "LOC", "Washington, District of Columbia", 38.9072, -77.0369, 0.8, (38.79, 39.0, -77.12, -76.9), "us"),
+    ("Stratford-upon-Avon", "LOC", "Stratford-upon-Avon, England", 52.1917, -1.7083, 0.47, None, "gb"),
+    ("[Port Vila]", "LOC", "Port Vila, Vanuatu", -17.7334, 168.3273, 0.52, None, "vu"),
     ("Nova Bank", "ORG", "Nova Bank", 40.0, -3.0, 0.44, None, "es"),
 )
 

@@ -13,10 +13,9 @@ def texts(spark, *rows):
     return spark.createDataFrame(list(enumerate(rows)), "message_id long, cleaned_text string")
 
 
-@pytest.mark.parametrize("first_words", [20_000, 0])
-def test_match_longest_with_offsets(spark, first_words):
+def test_match_longest_with_offsets(spark):
     df = texts(spark, "Near (Lyon), then San Pedro Sula; san pedro! City Hospital", "nothing here", "", "Lyon")
-    found = match_places(df, tables.gazetteer(spark), max_first_words=first_words).orderBy("message_id", "start").collect()
+    found = match_places(df, tables.gazetteer(spark)).orderBy("message_id", "start").collect()
     raw = df.collect()[0].cleaned_text
     assert [(r.message_id, r.text, r.kind) for r in found] == [
         (0, "Lyon", "LOC"), (0, "San Pedro Sula", "LOC"), (0, "san pedro", "LOC"), (0, "City Hospital", "ORG"), (3, "Lyon", "LOC"),
@@ -24,6 +23,17 @@ def test_match_longest_with_offsets(spark, first_words):
     assert all(raw[r.start:r.end] == r.text for r in found[:4])
 
 
+def test_same_mentions_with_few_and_many_names(spark):
+    gaz = tables.gazetteer(spark).where("name in ('St. John''s', 'Washington D.C.', 'Lyon', '[Port Vila]')")
+    more = spark.range(50_000).selectExpr("concat('Zz', id, ' place') AS name", "'LOC' AS kind", "'' AS display_name")
+    long_text = "word " * 20_000 + "(Lyon)"
+    df = texts(spark, "flood near St. John's and Lyon", "from WASHINGTON D.C., to - Port Vila]", long_text)
+    want = [(0, "St. John's", 11), (0, "Lyon", 26), (1, "WASHINGTON D.C", 5), (1, "Port Vila", 26), (2, "Lyon", 100_001)]
+    for names in (gaz, gaz.unionByName(more, allowMissingColumns=True)):
+        found = match_places(df, names).orderBy("message_id", "start").collect()
+        assert [(r.message_id, r.text, r.start) for r in found] == want
+
+
 def mention_rows(spark, rows):
     return spark.createDataFrame(rows, "message_id long, text string, kind string, score double, start int, end int")
 

@@ -1,9 +1,10 @@
 """Message vectors and scores against label vectors.
 
-A message vector comes in one of two shapes: a list of floats (an embedding
-supplied by the caller) or a list of integer codes (hashed words, made here).
-Codes are a compact stand-in for a wide vector: they travel through shuffles
-and become a matrix only inside a task.
+A message vector comes in one of three shapes: a list of floats (an embedding
+supplied by the caller), a list of 32-bit codes (hashed words, made here, one
+for each word and pair of the text), or a list of 64-bit counts, which is what
+codes are folded into before they are written or shuffled: its length does not
+grow with the text.
 """
 
 from __future__ import annotations
@@ -64,6 +65,11 @@ def to_matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
+    if pa.types.is_int64(vectors.type.value_type):
+        lengths, values = _flat(vectors)
+        matrix = np.zeros((len(vectors), CODE_DIM))
+        matrix[lengths == CODE_DIM] = values.reshape(-1, CODE_DIM)
+        return _unit(matrix)
     if pa.types.is_integer(vectors.type.value_type):
         parts = [_from_codes(vectors.slice(i, CHUNK)) for i in range(0, len(vectors), CHUNK)]
         return np.concatenate(parts) if parts else np.zeros((0, CODE_DIM))
@@ -84,14 +90,37 @@ def _flat(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lengths, vectors.flatten().to_numpy(zero_copy_only=False)
 
 
-def _from_codes(vectors: pa.ListArray) -> np.ndarray:
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
+
+def _signed_counts(vectors: pa.ListArray) -> np.ndarray:
     lengths, values = _flat(vectors)
     rows, width = len(vectors), 2 * CODE_DIM
     owner = np.repeat(np.arange(rows), lengths)
     counts = np.bincount(owner * width + values, minlength=rows * width).reshape(rows, width)
-    matrix = (counts[:, :CODE_DIM] - counts[:, CODE_DIM:]).astype(np.float64)
-    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+    return counts[:, :CODE_DIM] - counts[:, CODE_DIM:]
+
+
+def _from_codes(vectors: pa.ListArray) -> np.ndarray:
+    return _unit(_signed_counts(vectors).astype(np.float64))
+
+
+def folded(df: DataFrame, name: str = "vector") -> Column:
+    """Codes as counts of fixed length; other vectors as they are."""
+    if not isinstance(df.schema[name].dataType.elementType, T.IntegerType):
+        return F.col(name)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def fold(vectors: pa.Array) -> pa.Array:
+        parts = [_signed_counts(vectors.slice(i, CHUNK)) for i in range(0, len(vectors), CHUNK)]
+        counts = np.concatenate(parts) if parts else np.zeros((0, CODE_DIM), np.int64)
+        offsets = np.arange(0, counts.size + 1, CODE_DIM, dtype=np.int32)
+        missing = vectors.is_null() if vectors.null_count else None
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel().astype(np.int64)), mask=missing)
+
+    return fold(F.col(name))
 
 
 def similarities(vector: Column, prototypes: np.ndarray) -> Column:
@@ -147,6 +176,6 @@ def learn_prototypes(df: DataFrame, label_col: str, vector_col: str, labels: lis
 
 
 __all__ = [
-    "CODE_DIM", "fast_code", "learn_prototypes", "md5_code", "similarities", "to_matrix",
+    "CODE_DIM", "fast_code", "folded", "learn_prototypes", "md5_code", "similarities", "to_matrix",
     "unit_vectors", "with_word_codes", "word_codes",
 ]

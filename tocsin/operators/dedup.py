@@ -31,14 +31,17 @@ from pyspark.sql import functions as F
 
 from tocsin import config as C
 from tocsin.functions.text import is_blank
-from tocsin.functions.vectors import to_matrix
+from tocsin.functions.vectors import folded, to_matrix
 from tocsin.operators.ordering import with_row_index, with_totals_before
 from tocsin.runtime import materialise
 
+# Rows of a block at most.  The size of blocks changes the work, not the result.
 MAX_BLOCK = 8_192
+# Parts into which the border rows of chains with one beginning are dealt.
+SALTS = 64
 
 BLOCK_SCHEMA = (
-    "_key string, message_id long, row_index long, block long, parent_index long, similarity double, "
+    "_key string, message_id long, row_index long, block long, matched_id long, similarity double, "
     "head_index long, head_rank long, head_cluster long"
 )
 
@@ -72,7 +75,7 @@ def _resolve_block(window: int, threshold: float, block_rows: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("row_index")
-        index = table["row_index"].to_numpy()
+        index, named = table["row_index"].to_numpy(), table["message_id"].to_numpy()
         carried = table["carried_cluster"].to_pandas().to_numpy(dtype=np.float64)
         block = int(table["block"][0].as_py())
         first = int(np.searchsorted(index, block * block_rows))
@@ -99,7 +102,7 @@ def _resolve_block(window: int, threshold: float, block_rows: int):
             "message_id": table["message_id"].slice(first).combine_chunks(),
             "row_index": index[own],
             "block": np.full(len(index) - first, block, dtype=np.int64),
-            "parent_index": pa.array(index[np.where(duplicate, best, 0)][own], mask=~duplicate[own]),
+            "matched_id": pa.array(named[np.where(duplicate, best, 0)][own], mask=~duplicate[own]),
             "similarity": np.where(seeded, 0.0, score)[own],
             "head_index": index[head[own]],
             "head_rank": pa.array(rank[head[own]], mask=~plain),
@@ -145,7 +148,12 @@ def resolve_chains(local: DataFrame, *, block_rows: int, window: int) -> DataFra
 def number_clusters(
     local: DataFrame, border: DataFrame, *, block_rows: int, opened_before: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``cluster_number`` to every row of ``local``."""
+    """Add ``cluster_number`` to every row of ``local``.
+
+    Rows meet their own block, or the border row their chain leaves by, and
+    only border rows meet the block where a chain begins.  A message with
+    many copies begins most chains, so those are spread by salt.
+    """
     opened = local.where((F.col("head_index") == F.col("row_index")) & F.col("head_cluster").isNull())
     per_block = opened.groupBy("_key", "block").agg(F.count("*").alias("opened"))
     offsets = with_totals_before(per_block, "block", "opened", "before", by=("_key",))
@@ -154,18 +162,20 @@ def number_clusters(
         offsets, start = offsets.join(opened_before, "_key", "left"), F.coalesce("clusters", F.lit(0))
     offsets = offsets.select("_key", F.col("block").alias("head_block"), (F.col("before") + start).alias("offset"))
     leaves = F.col("head_index") < F.col("block") * block_rows
-    inner = local.where(~leaves).withColumn("head_block", F.col("block"))
-    outer = (
-        local.where(leaves)
-        .drop("head_rank", "head_cluster")
-        .join(border.withColumnRenamed("row_index", "head_index"), ["_key", "head_index"])
+    number = F.coalesce("head_cluster", F.col("offset") + F.col("head_rank")).alias("cluster_number")
+    columns = ["_key", "message_id", "row_index", "matched_id", "similarity"]
+    inner = (
+        local.where(~leaves)
+        .join(offsets.withColumnRenamed("head_block", "block"), ["_key", "block"], "left")
+        .select(*columns, number)
     )
-    return (
-        inner.unionByName(outer)
-        .join(offsets, ["_key", "head_block"], "left")
-        .withColumn("cluster_number", F.coalesce("head_cluster", F.col("offset") + F.col("head_rank")))
-        .select("_key", "message_id", "row_index", "parent_index", "similarity", "cluster_number")
+    salted = border.withColumn("_salt", F.pmod("row_index", F.lit(SALTS)))
+    begins = salted.select("_key", "head_block", "_salt").distinct().join(offsets, ["_key", "head_block"], "left")
+    numbers = salted.join(begins, ["_key", "head_block", "_salt"]).select(
+        "_key", F.col("row_index").alias("head_index"), number
     )
+    outer = local.where(leaves).join(numbers, ["_key", "head_index"]).select(*columns, "cluster_number")
+    return inner.unionByName(outer)
 
 
 def assign_clusters(
@@ -201,12 +211,11 @@ def assign_clusters(
 
 
 def name_matches(clusters: DataFrame) -> DataFrame:
-    """Replace numbers by names: the cluster's, and the id of the match."""
-    parents = clusters.select("_key", F.col("row_index").alias("parent_index"), F.col("message_id").alias("matched_id"))
-    return clusters.join(parents, ["_key", "parent_index"], "left").select(
+    """Replace cluster numbers by names."""
+    return clusters.select(
         "_key",
         "message_id",
-        F.col("parent_index").isNotNull().alias("is_duplicate"),
+        F.col("matched_id").isNotNull().alias("is_duplicate"),
         cluster_name(F.col("cluster_number")).alias("cluster_id"),
         F.round("similarity", 4).alias("similarity"),
         "matched_id",
@@ -227,13 +236,13 @@ def no_match(*keep: str) -> list:
 def entering_rows(
     df: DataFrame, *, text_col: str | None, vector_col: str, seq_col: str, by: str | None
 ) -> DataFrame:
-    """The few columns the check needs, written once."""
+    """The few columns the check needs, with vectors of fixed length, written once."""
     blank = is_blank(F.col(text_col)) if text_col else F.lit(False)
     key = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
     return materialise(
         df.select(
             key.alias("_key"), "message_id", F.col(seq_col).alias("_seq"),
-            F.when(~blank, F.col(vector_col)).alias("vector"), blank.alias("_blank"),
+            F.when(~blank, folded(df, vector_col)).alias("vector"), blank.alias("_blank"),
         ),
         "entering",
     )
@@ -246,11 +255,13 @@ def cluster_name(number: Column) -> Column:
 def with_matched_text(results: DataFrame, texts: DataFrame, *, text_col: str = "cleaned_text") -> DataFrame:
     """Add the text each duplicate was matched with.
 
-    A message is matched by at most ``window`` others, so the join has no
-    hot key.
+    Only duplicates take part in the join, and a message is matched by at
+    most ``window`` others, so it has no hot key.
     """
     matched = texts.select(F.col("message_id").alias("matched_id"), F.col(text_col).alias("matched_text"))
-    return results.join(matched, "matched_id", "left").select(*results.columns, "matched_text")
+    found = results.where(F.col("matched_id").isNotNull()).join(matched, "matched_id", "left")
+    rest = results.where(F.col("matched_id").isNull()).withColumn("matched_text", F.lit(None).cast("string"))
+    return found.select(*results.columns, "matched_text").unionByName(rest)
 
 
 def deduplicate(

@@ -9,72 +9,121 @@ from tocsin import config as C
 from tocsin import schemas
 from tocsin.functions.text import is_blank, strip
 
-# A gazetteer with at most this many distinct first words has them put into
-# the scan as a hash set; a larger one is joined on every word position.
-MAX_FIRST_WORDS = 20_000
-
 EDGE = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"
 LEADING = r"^[^\p{L}\p{N}_]+"
+# Words whose places in the text are worked out together.
+STRETCH = 64
+# Parts into which the rows of one name or first word are dealt.
+SALTS = 16
+
+
+def bare(text: Column) -> Column:
+    """Lower-cased text without punctuation at either end."""
+    return F.lower(F.regexp_replace(text, EDGE, ""))
 
 
 def name_key(name: Column) -> Column:
-    return F.lower(strip(name))
+    """What names and stretches of text are compared by."""
+    return bare(strip(name))
+
+
+def first_word(key: Column) -> Column:
+    return bare(F.split(key, " ")[0])
 
 
 def gazetteer_names(gazetteer: DataFrame) -> DataFrame:
     """One row per name: the kind and score of its most important entry."""
     importance = F.coalesce("importance", F.lit(0.5))
-    return gazetteer.groupBy(name_key(F.col("name")).alias("key")).agg(
-        F.min_by("kind", F.struct(-importance, "display_name")).alias("kind"),
-        F.max(importance).alias("score"),
+    return (
+        gazetteer.groupBy(name_key(F.col("name")).alias("key"))
+        .agg(
+            F.min_by("kind", F.struct(-importance, "display_name")).alias("kind"),
+            F.max(importance).alias("score"),
+        )
+        .where(F.col("key") != "")
     )
 
 
-def match_places(
-    df: DataFrame, gazetteer: DataFrame, *, text_col: str = "cleaned_text", max_first_words: int = MAX_FIRST_WORDS
-) -> DataFrame:
+def salted(values: DataFrame) -> DataFrame:
+    return values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def word_starts(df: DataFrame, text_col: str, longest: int) -> DataFrame:
+    """Every word with its number, its offset in the text and the words from it on.
+
+    Offsets are summed over stretches of words first, so the work is linear
+    in the length of the text.
+    """
+    words = F.col("_words")
+    stretches = F.transform(
+        F.sequence(F.lit(0), F.size(words) - 1, F.lit(STRETCH)),
+        lambda c: F.struct(
+            c.alias("base"),
+            F.slice(words, c + 1, F.lit(STRETCH)).alias("own"),
+            F.slice(words, c + 1, F.lit(STRETCH + longest - 1)).alias("more"),
+        ),
+    )
+    begins = F.aggregate(
+        "_stretches",
+        F.array(F.lit(0)),
+        lambda found, s: F.concat(
+            found, F.array(F.element_at(found, -1) + F.length(F.array_join(s["own"], " ")) + 1)
+        ),
+    )
+    rows = (
+        df.where(~is_blank(F.col(text_col)))
+        .select("message_id", F.split(text_col, " ").alias("_words"))
+        .select("message_id", stretches.alias("_stretches"))
+        .select("message_id", "_stretches", begins.alias("_begins"))
+        .select("message_id", F.inline(F.arrays_zip("_stretches", "_begins")))
+        .where(F.col("_stretches").isNotNull())
+        .select("message_id", "_stretches.*", F.col("_begins").alias("begin"))
+    )
+    word = F.transform(
+        "own",
+        lambda w, i: F.struct(
+            (F.col("base") + i).alias("i"),
+            (
+                F.col("begin") + F.length(F.array_join(F.slice("own", F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)
+            ).alias("offset"),
+            bare(w).alias("head"),
+            F.slice("more", i + 1, F.lit(longest)).alias("next"),
+        ),
+    )
+    return rows.select("message_id", F.inline(word)).where(F.col("head") != "")
+
+
+def match_places(df: DataFrame, gazetteer: DataFrame, *, text_col: str = "cleaned_text") -> DataFrame:
     """Gazetteer names found in the text, as tagged mentions.
 
     Returns ``message_id, text, kind, score, start, end``.  At each word the
     longest name wins, and a name inside an earlier, longer one is dropped.
-    Only word positions that can start a name leave the row they are in; no
-    join is hinted, so small gazetteers are broadcast by their measured size
-    and large ones are shuffled.
+    Names and text are compared without outer punctuation, as ``name_key``
+    makes them.  Only words that start a name go on, with as many words as
+    the longest name that starts so.  No join is hinted: small gazetteers are
+    broadcast by their measured size, large ones are shuffled, and a common
+    name or first word is dealt to several tasks.
     """
     names = gazetteer_names(gazetteer)
-    longest = names.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
-    firsts = names.select(F.split("key", " ")[0].alias("w")).distinct().limit(max_first_words + 1).collect()
-
-    words = F.split(text_col, " ")
-    places = F.transform(words, lambda w, i: F.struct(i.alias("i"), F.lower(F.regexp_replace(w, EDGE, "")).alias("w")))
-    if len(firsts) <= max_first_words:
-        wanted = [row["w"] for row in firsts]
-        places = F.filter(places, lambda p: p["w"].isin(wanted))
-
-    at = F.col("i")
-    starts = (
-        df.where(~is_blank(F.col(text_col)))
-        .select("message_id", words.alias("words"), places.alias("places"))
-        .select("message_id", "words", F.explode_outer(F.transform("places", lambda p: p["i"])).alias("i"))
-        .where(F.col("i").isNotNull())
-        .select(
-            "message_id",
-            "i",
-            F.slice("words", at + 1, F.lit(longest)).alias("next"),
-            (F.length(F.array_join(F.slice("words", F.lit(1), at), " ")) + F.when(at > 0, 1).otherwise(0)).alias("offset"),
-        )
-    )
+    size = F.size(F.split("key", " "))
+    heads = names.groupBy(first_word(F.col("key")).alias("head")).agg(F.max(size).alias("most"))
+    longest = names.agg(F.max(size)).first()[0] or 1
+    salt = F.pmod(F.xxhash64("message_id"), F.lit(SALTS)).cast("int").alias("_salt")
+    starts = word_starts(df, text_col, longest).withColumn("_salt", salt).join(salted(heads), ["head", "_salt"])
     spans = starts.select(
-        "message_id", "i", "next", "offset", F.explode(F.sequence(F.lit(1), F.size("next"))).alias("n")
+        "message_id", "i", "next", "offset", "_salt",
+        F.explode(F.sequence(F.lit(1), F.least(F.size("next"), F.col("most")))).alias("n"),
     ).withColumn("raw", F.array_join(F.slice("next", F.lit(1), F.col("n")), " "))
     spans = spans.select(
         "message_id",
         "i",
         "n",
+        "_salt",
         F.regexp_replace("raw", EDGE, "").alias("text"),
         (F.col("offset") + F.length("raw") - F.length(F.regexp_replace("raw", LEADING, ""))).alias("start"),
     ).withColumn("key", F.lower("text"))
-    hits = spans.join(names, "key")
+    # Both the aggregate and the window below find the rows of a message together.
+    hits = spans.join(salted(names), ["key", "_salt"]).repartition("message_id")
     best = (
         hits.groupBy("message_id", "i")
         .agg(F.max_by(F.struct("text", "kind", "score", "start"), "n").alias("m"))

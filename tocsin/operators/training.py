@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ def train_relevance(
     *,
     text_col: str = "text",
     label_col: str = "label",
-    epochs: int = 3,
+    max_iter: int = 100,
     features: int = 1 << 18,
     penalties: tuple[float, ...] = (0.01, 0.1),
     max_tokens: int | None = None,
@@ -46,7 +46,9 @@ def train_relevance(
     """Fit the model and measure it.  Returns the model and one metrics row.
 
     Candidates differ in their penalty; the one with the least loss on the
-    validation rows (a quarter of the training rows if none are given) wins.
+    validation rows wins.  If none are given, a quarter of the training rows
+    is held out for that and for the metrics, and the winner is then fitted on
+    all rows.  ``max_iter`` bounds the solver, which stops at its tolerance.
     """
     rows = labelled(train, text_col=text_col, label_col=label_col)
     stages = token_stages(max_tokens) + [
@@ -55,26 +57,31 @@ def train_relevance(
     ]
     front = Pipeline(stages=stages).fit(rows)
     prepared = front.transform(rows).select("features", "target").persist()
-    learner = LogisticRegression(featuresCol="features", labelCol="target", maxIter=epochs)
+    learner = LogisticRegression(featuresCol="features", labelCol="target", maxIter=max_iter)
     loss = MulticlassClassificationEvaluator(labelCol="target", metricName="logLoss", probabilityCol="probability")
     grid = ParamGridBuilder().addGrid(learner.regParam, list(penalties)).build()
     if validation is None:
-        search = TrainValidationSplit(
-            estimator=learner, estimatorParamMaps=grid, evaluator=loss, trainRatio=0.75, seed=seed
-        )
-        best = search.fit(prepared).bestModel
-        held_out = prepared
+        fitted_on, held_out = prepared.randomSplit([0.75, 0.25], seed)
+        if held_out.isEmpty() or fitted_on.isEmpty():
+            fitted_on = held_out = prepared
     else:
-        held_out = front.transform(labelled(validation, text_col=text_col, label_col=label_col))
-        fitted = [learner.copy(params).fit(prepared) for params in grid]
-        best = min(fitted, key=lambda model: loss.evaluate(model.transform(held_out)))
-    metrics = quality(
+        fitted_on, held_out = prepared, front.transform(labelled(validation, text_col=text_col, label_col=label_col))
+    fitted = [learner.copy(params).fit(fitted_on) for params in grid]
+    losses = [loss.evaluate(model.transform(held_out)) for model in fitted]
+    chosen = losses.index(min(losses))
+    best = fitted[chosen]
+    measured = quality(
         confusion(
             best.transform(held_out).select(
                 (F.col("prediction") == 1.0).alias("pred_relevant"), (F.col("target") == 1.0).alias("gold_relevant")
             )
         )
     )
+    # One row, worked out while the prepared rows are still there.
+    metrics = train.sparkSession.createDataFrame(measured.collect(), measured.schema)
+    if fitted_on is not prepared:
+        best = learner.copy(grid[chosen]).fit(prepared)
+    prepared.unpersist()
     return PipelineModel(stages=[*front.stages, best]), metrics
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tocsin import config as C
 from tocsin import schemas
 from tocsin.functions.text import is_blank
-from tocsin.functions.vectors import similarities
+from tocsin.functions.vectors import similarities, with_word_codes
 from tocsin.functions.numbers import softmax
 from tocsin.operators.clean import clean_messages
 from tocsin.operators.dedup import deduplicate
@@ -141,6 +142,7 @@ def analyze(
     language: LanguageModel | None = None,
     vectors: DataFrame | None = None,
     vector_col: str = "vector",
+    embed: Callable[[DataFrame], DataFrame] | None = None,
     skip_dedup: bool = False,
     window: int | None = None,
     threshold: float | None = None,
@@ -148,13 +150,20 @@ def analyze(
 ) -> DataFrame:
     """Full result row of every message; see ``RESULT_COLUMNS``.
 
-    ``df`` has ``message_id, arrival_seq, text`` and, unless duplicates are
-    skipped, ``vector_col``.  The cleaned and classified rows are written
+    ``df`` has ``message_id, arrival_seq, text``.  Vectors stand for the
+    cleaned text: they come from ``vectors`` by ``message_id``, from a
+    ``vector_col`` of ``df``, or ``embed`` adds them to the cleaned rows (by
+    default from hashed words).  The cleaned and classified rows are written
     once; places and duplicates then read only the columns they need, and
     their narrow results are joined to each other before the wide rows move,
     which happens once.
     """
-    base = classify(clean_messages(df), scores, language=language, settings=settings)
+    cleaned = clean_messages(df)
+    if vectors is not None:
+        cleaned = cleaned.drop(vector_col).join(vectors.select("message_id", vector_col), "message_id", "left")
+    elif vector_col not in df.columns and not (skip_dedup and not isinstance(scores, Prototypes)):
+        cleaned = embed(cleaned) if embed else with_word_codes(cleaned, "cleaned_text", vector_col)
+    base = classify(cleaned, scores, language=language, settings=settings)
     base = materialise(base, "classified")
     relevant = base.where("is_relevant").select("message_id", "cleaned_text")
     located = locations_by_message(geocode(extract_places(relevant, gazetteer), gazetteer))
