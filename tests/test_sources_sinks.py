@@ -26,7 +26,7 @@ def write_csv(path, header, rows):
 def test_json(spark, tmp_path):
     path = tmp_path / "m.json"
     path.write_text(json.dumps([{"text": "a", "type": "T", "label": "L"}, {"text": "b", "label": "L"}, {"text": "c"}]))
-    assert [tuple(r) for r in readers.read_messages_json(spark, str(path)).collect()] == [("a", "T"), ("b", "L"), ("c", "")]
+    assert [tuple(r) for r in readers.read_messages_json(spark, str(path), lines=False).collect()] == [("a", "T"), ("b", "L"), ("c", "")]
 
 
 def test_csv_columns_are_found_by_name(spark, tmp_path):

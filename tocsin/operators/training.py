@@ -37,7 +37,7 @@ def train_relevance(
     *,
     text_col: str = "text",
     label_col: str = "label",
-    max_iter: int = 100,
+    epochs: int = 3,
     features: int = 1 << 18,
     penalties: tuple[float, ...] = (0.01, 0.1),
     max_tokens: int | None = None,
@@ -48,7 +48,7 @@ def train_relevance(
     Candidates differ in their penalty; the one with the least loss on the
     validation rows wins.  If none are given, a quarter of the training rows
     is held out for that and for the metrics, and the winner is then fitted on
-    all rows.  ``max_iter`` bounds the solver, which stops at its tolerance.
+    all rows.  ``epochs`` are solver steps over all rows.
     """
     rows = labelled(train, text_col=text_col, label_col=label_col)
     stages = token_stages(max_tokens) + [
@@ -57,7 +57,7 @@ def train_relevance(
     ]
     front = Pipeline(stages=stages).fit(rows)
     prepared = front.transform(rows).select("features", "target").persist()
-    learner = LogisticRegression(featuresCol="features", labelCol="target", maxIter=max_iter)
+    learner = LogisticRegression(featuresCol="features", labelCol="target", maxIter=epochs)
     loss = MulticlassClassificationEvaluator(labelCol="target", metricName="logLoss", probabilityCol="probability")
     grid = ParamGridBuilder().addGrid(learner.regParam, list(penalties)).build()
     if validation is None:

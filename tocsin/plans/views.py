@@ -69,10 +69,7 @@ def priority_feed(results: DataFrame) -> DataFrame:
     The numbering is distributed: a sort of the whole feed in one task is not
     needed, and callers sort by ``position`` only when they print.
     """
-    ranked = results.where("is_relevant").withColumn("_rank", urgency_rank(F.col("urgency_level")))
-    numbered = with_row_index(ranked, "arrival_seq", "position", lead_col="_rank", tie_cols=("message_id",))
-    return numbered.select(
-        (F.col("position") + 1).alias("position"),
+    shown = results.where("is_relevant").select(
         "message_id",
         "arrival_seq",
         "urgency_level",
@@ -80,7 +77,11 @@ def priority_feed(results: DataFrame) -> DataFrame:
         F.col("lang_code").alias("lang"),
         clip(F.col("cleaned_text"), 200).alias("text"),
         F.array_join(F.transform("locations", place_text), ", ").alias("places"),
+        urgency_rank(F.col("urgency_level")).alias("_rank"),
     )
+    # Texts are clipped before rows move.
+    numbered = with_row_index(shown, "arrival_seq", "position", lead_col="_rank", tie_cols=("message_id",))
+    return numbered.select((F.col("position") + 1).alias("position"), *shown.columns[:-1])
 
 
 def feed_heading() -> Column:
@@ -91,18 +92,18 @@ def feed_heading() -> Column:
 
 
 def feed_export(results: DataFrame) -> DataFrame:
-    """Rows of the feed file, in feed order (a range-partitioned sort)."""
-    return (
-        results.where("is_relevant")
-        .orderBy(urgency_rank(F.col("urgency_level")), "arrival_seq", "message_id")
-        .select(
-            F.col("urgency_level").alias("urgency"),
-            joined_types("").alias("types"),
-            F.col("lang_code").alias("lang"),
-            F.substring("cleaned_text", 1, 200).alias("text"),
-            place_names().alias("locations"),
-        )
+    """Rows of the feed file, in feed order (a range-partitioned sort of clipped texts)."""
+    shown = results.where("is_relevant").select(
+        F.col("urgency_level").alias("urgency"),
+        joined_types("").alias("types"),
+        F.col("lang_code").alias("lang"),
+        F.substring("cleaned_text", 1, 200).alias("text"),
+        place_names().alias("locations"),
+        urgency_rank(F.col("urgency_level")).alias("_rank"),
+        "arrival_seq",
+        "message_id",
     )
+    return shown.orderBy("_rank", "arrival_seq", "message_id").drop("_rank", "arrival_seq", "message_id")
 
 
 def located_mentions(results: DataFrame) -> DataFrame:

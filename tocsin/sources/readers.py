@@ -26,11 +26,11 @@ def pick_label(columns: list[str], candidates: tuple[str, ...] = LABEL_COLUMNS)
     return next((c for c in candidates if c in columns), None)
 
 
-def read_messages_json(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+def read_messages_json(spark: SparkSession, path: str, *, lines: bool = True) -> DataFrame:
     """Objects with ``text`` and ``type`` or ``label`` as text and label.
 
-    A file that is one JSON array is read by one task; large inputs should
-    hold an object per line (``lines=True``), which Spark can split.
+    Files hold an object per line, which Spark can split.  A file that is one
+    JSON array takes ``lines=False`` and is read by one task.
     """
     rows = spark.read.schema(schemas.LABELLED_JSON).option("multiLine", not lines).json(path)
     return rows.select("text", F.coalesce("type", "label", F.lit("")).alias("label"))
@@ -70,20 +70,22 @@ def _files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return sorted(row["path"] for row in listing.select("path").collect())
 
 
-def read_splits(spark: SparkSession, folder: str) -> DataFrame:
+def read_splits(spark: SparkSession, folder: str, *, multi_line: bool = True) -> DataFrame:
     """Training and evaluation rows with a ``split`` column.
 
     Training is the first CSV, else the first JSON, named ``train``;
     evaluation the first file named ``val``, ``development`` or ``test``.
-    Without one, the training rows serve for both.
+    Without one, the training rows serve for both.  With ``multi_line`` fields
+    may hold line ends and JSON files are arrays, and each file is one task's;
+    without, a record is a line and files are split.
     """
     def first(*patterns: str) -> str | None:
         return next((f for p in patterns for f in _files(spark, folder, p)), None)
 
     def load(path: str) -> DataFrame:
         if path.endswith(".csv"):
-            return as_labelled(read_csv(spark, path), EVAL_LABEL_COLUMNS)
-        return read_messages_json(spark, path)
+            return as_labelled(read_csv(spark, path, multi_line=multi_line), EVAL_LABEL_COLUMNS)
+        return read_messages_json(spark, path, lines=not multi_line)
 
     train = first("*train*.csv", "*train*.json")
     if train is None:
