@@ -37,19 +37,25 @@ def _plain(edges: DataFrame) -> DataFrame:
     return edges.select((F.col("_u") + F.lit(0)).alias("_u"), (F.col("_v") + F.lit(0)).alias("_v"))
 
 
+def _unfinished(edges: DataFrame) -> int:
+    """How many nodes hang on several nodes, or on one and have others hanging on them."""
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("_u").alias("_end"), F.lit(1).alias("_hangs")),
+        F.struct(F.col("_v").alias("_end"), F.lit(0).alias("_hangs")),
+    )))
+    found = ends.groupBy("_end").agg(F.sum("_hangs").alias("_times"), F.min("_hangs").alias("_only"))
+    return found.filter("_times > 1 or (_times = 1 and _only = 0)").count()
+
+
 def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
     """The least node that each node reaches: ``node, root``, for all nodes but the roots themselves.
 
-    Large-star and small-star steps alternate until nothing changes; each
-    hangs the neighbours of a node on the least of them.  No node's
+    Large-star and small-star steps alternate until every node hangs on one
+    root; each hangs the neighbours of a node on the least of them.  No node's
     neighbours are gathered: only minima are, and rows of a hub stay spread.
     """
-    now = edges.select(F.col(left).alias("_u"), F.col(right).alias("_v")).filter("_u <> _v").distinct()
-    now = pin(_plain(now))
-    seen = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_u", "_v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or not state[0]:
-            return now.select(F.col("_u").alias("node"), F.col("_v").alias("root"))
-        seen = tuple(state)
+    ends = F.greatest(left, right).alias("_u"), F.least(left, right).alias("_v")
+    now = pin(_plain(edges.select(*ends).filter("_u <> _v").distinct()))
+    while _unfinished(now):
         now = pin(_plain(_small_star(_large_star(now))))
+    return now.select(F.col("_u").alias("node"), F.col("_v").alias("root"))
