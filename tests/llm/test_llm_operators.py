@@ -221,6 +221,22 @@ def test_vantage_search(spark, factor):
     assert vantage_search.nearest(table.limit(0), 50).count() == 0
 
 
+def test_vantage_ties_have_the_smallest_ids(spark):
+    rng = np.random.default_rng(8)
+    order = rng.permutation(400)  # so that neither tree order nor row order is id order
+    near = np.array([3.0, 1.0, 2.0, 5.0])
+    vectors = {int(i): (at + 1) * near for at, i in enumerate(order[:150])}  # one direction, 150 points
+    vectors |= {int(i): np.eye(4)[at % 4] * (at + 1) for at, i in enumerate(order[150:300])}
+    vectors |= {int(i): rng.integers(0, 2, 4).astype(float) + [0, 0, 0, 1] for i in order[300:]}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    found = vantage_search.nearest(table, every=20, k=5).toPandas()
+    for query in range(0, 400, 20):
+        others = np.array([i for i in range(400) if i != query])
+        scores = vantage_search.exact_cosines(np.repeat(vectors[query][None], 399, 0), np.array([vectors[i] for i in others]))
+        expected = [others[i] for i in np.lexsort((others, -scores))[:5]]
+        assert found[found["query_id"] == query].sort_values("rank")["vec_id"].tolist() == expected
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

@@ -26,7 +26,7 @@ from tocsin.llm.common import pin
 SHARD_ROWS = 8_192
 BLOCK_ROWS = 1_024
 LEAF = 48
-#: More than rounding can change a distance by.
+#: More than rounding can change a distance by, in few dimensions; `Search` widens it for many.
 SLACK = 1e-7
 
 INDEX = "dim long, shard long, ids array<array<long>>, vectors binary, nodes binary"
@@ -82,11 +82,17 @@ def distance(cosines: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The ``k`` nearest points of one tree for a block of queries."""
+    """The ``k`` nearest points of one tree for a block of queries.
+
+    Which of several equally far points are among them is chance; ``ties``
+    has them all.
+    """
 
     def __init__(self, points: np.ndarray, nodes: np.ndarray, queries: np.ndarray, k: int, factor: float) -> None:
         self.points, self.nodes, self.queries, self.factor = points, nodes, queries, factor
         self.k = min(k, max(1, len(points)))
+        rounding = max(1, points.shape[1]) * np.finfo(float).eps  # of the square of a distance
+        self.slack, self.square_slack = max(SLACK, 4 * np.sqrt(rounding)), 8 * rounding
         self.best = np.full((len(queries), self.k), np.inf)
         self.where = np.full((len(queries), self.k), -1)
         if len(nodes):
@@ -124,7 +130,38 @@ class Search:
         for child, low, high in ((at + 1, low_near, high_near), (right, low_far, high_far)):
             gap = np.maximum(np.maximum(low - away, away - high), 0)
             least = np.minimum(self.bound[who], self.best[who, -1])
-            self.walk(child, who[gap * self.factor <= least + SLACK], True)
+            self.walk(child, who[gap * self.factor <= least + self.slack], True)
+
+    def ties(self) -> list[np.ndarray]:
+        """For each query every point as near as its ``k``-th one, but for rounding; there is no limit to their number."""
+        who, where = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        last = self.best[:, -1]
+        most = last * last + self.square_slack
+
+        def take(asked: np.ndarray, start: int, away: np.ndarray) -> None:
+            row, column = np.nonzero(away * away <= most[asked, None])
+            who.append(asked[row].astype(np.int32))
+            where.append((start + column).astype(np.int32))
+
+        def walk(at: int, asked: np.ndarray) -> None:
+            if not len(asked):
+                return
+            start, end, right = (int(x) for x in self.nodes[at, :3])
+            if right < 0:
+                take(asked, start, distance(self.queries[asked] @ self.points[start:end].T))
+                return
+            low_near, high_near, low_far, high_far = self.nodes[at, 3:]
+            away = distance(self.queries[asked] @ self.points[start])
+            take(asked, start, away[:, None])
+            for child, low, high in ((at + 1, low_near, high_near), (right, low_far, high_far)):
+                gap = np.maximum(np.maximum(low - away, away - high), 0)
+                walk(child, asked[gap * self.factor <= last[asked] + self.slack])
+
+        if len(self.nodes):
+            walk(0, np.arange(len(self.queries)))
+        owner, found = np.concatenate(who), np.concatenate(where)
+        by = np.argsort(owner, kind="stable")
+        return np.split(found[by], np.searchsorted(owner[by], np.arange(1, len(self.queries))))
 
 
 def _index_shards(rows: pd.DataFrame) -> pd.DataFrame:
@@ -169,11 +206,13 @@ def _search_block(index: pd.DataFrame, block: pd.DataFrame, k: int, factor: floa
         vectors = np.frombuffer(row["vectors"]).reshape(-1, dim)
         nodes = np.frombuffer(row["nodes"]).reshape(-1, 7)
         queries, asked = np.stack(block["vector"].to_numpy()).astype(float), block["vec_id"].to_numpy()
-        # Two more points than asked for: one may be the query alone, one settles near ties.
-        found = Search(scaled(vectors), nodes, scaled(queries), k + 2, factor).where
-        for i, places in enumerate(found):
-            places = places[places >= 0]
+        least_ids = np.array([ids[0] for ids in row["ids"]])
+        # One more point than asked for, as one may be the query alone, and all that tie with the last.
+        for i, places in enumerate(Search(scaled(vectors), nodes, scaled(queries), k + 1, factor).ties()):
             scores = exact_cosines(np.repeat(queries[i : i + 1], len(places), 0), vectors[places])
+            # An id of a later point has one smaller or nearer id at least in each of these.
+            first = np.lexsort((least_ids[places], -scores))[: k + 1]
+            places, scores = places[first], scores[first]
             ids = [(j, s) for p, s in zip(places, scores, strict=True) for j in row["ids"][p][: k + 1] if j != asked[i]]
             for j, s in sorted(ids, key=lambda x: (-x[1], x[0]))[:k]:
                 out["query_id"].append(asked[i])
