@@ -191,6 +191,39 @@ def test_secret_spans():
     assert secret_scan.scan(None) == ([], [])
 
 
+def openssh():
+    field = lambda data: len(data).to_bytes(4, "big") + data
+    parts = field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big")
+    return secret_scan.OPENSSH + parts + field(b"\7" * 51) + field(bytes(range(144)))
+
+
+@pytest.mark.parametrize("data", [RSA, RSA[:-1] + b"\xff", openssh()])
+@pytest.mark.parametrize("width", [0, 64, 76])
+def test_keys_are_found_however_they_are_written(data, width):
+    def wrap(text, end="\n"):
+        return end.join(text[i : i + width] for i in range(0, len(text), width)) if width else text
+
+    key, url = base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode()
+    for text in (wrap(key), wrap(key, "\r\n  "), wrap(key, "\\n"), wrap(url.rstrip("=")), wrap(data.hex()), wrap(data.hex().upper())):
+        for before, after in (("PRIVATE_KEY=", "\nNEXT=1"), ("KEY: ", "\nword"), ('"', '\\n"'), ("", "")):
+            found = secret_scan.scan(before + text + after)[1]
+            assert ("key_data", len(before), len(before) + len(text)) in found
+        assert "key_data" not in [k for k, _, _ in secret_scan.scan(text[: len(text) // 3])[1]]
+
+
+def test_key_blocks_with_headers_and_escaped_lines():
+    key = base64.b64encode(RSA).decode()
+    lines = [key[i : i + 64] for i in range(0, len(key), 64)]
+    label = "RSA PRIVATE KEY-----"
+    cipher = base64.b64encode(bytes(range(256))).decode()
+    texts = [end.join([f"-----BEGIN {label}", *lines, f"-----END {label}"]) for end in ("\n", "\r\n", "\\n", "\\r\\n", '\\n" +\n  "')]
+    texts += [f"-----BEGIN {label}{e}Proc-Type: 4,ENCRYPTED{e}DEK-Info: AES-128-CBC,00FF{e}{e}{cipher}{e}-----END {label}" for e in ("\n", "\\n")]
+    for text in texts:
+        assert ("key_block", 2, 2 + len(text)) in secret_scan.scan(f"x {text} y")[1]
+    assert not secret_scan.scan(f"-----BEGIN {label}\nProc-Type: none\n\n{cipher}\n-----END {label}")[1]
+    assert not secret_scan.scan(f"-----BEGIN {label}\nthe key goes here\n-----END {label}")[1]
+
+
 def test_secret_table(docs, empty):
     found = secret_scan.find_secrets(docs, masked=True).collect()
     assert len(found) == len(rows_of())

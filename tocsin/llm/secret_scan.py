@@ -2,8 +2,9 @@
 
 Base spans follow three patterns.  Further spans are reported only once they
 have been decoded and parsed: key blocks whose body is well-formed DER or
-OpenSSH key data, base64 or hex runs that hold such data, and signed tokens
-whose header is a JSON object that names an algorithm.
+OpenSSH key data or enciphered, base64 (either alphabet) or hex runs (either
+case) that hold such data on one or several lines, and signed tokens whose
+header is a JSON object that names an algorithm.
 """
 
 from __future__ import annotations
@@ -28,11 +29,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs are whole, as the leftmost place with 16 characters is where a run starts.
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
-BLOCK = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+BLOCK = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*)-----END \1-----")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-#: A base64 run of 48 characters holds 36 bytes, less than any private key.
-RUN = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{48,}={0,2}(?![A-Za-z0-9+/=])")
-LEAST_HEX_DATA = 72
+#: What may stand between two lines of a key: blanks, line ends, also escaped, and the marks of quotes and comments.
+GAP = re.compile(r"""(?:[\s"',>#*]|\\u000[aAdD]|\\[nrt]?|(?<=["'\s])\+(?=\s))+""")
+HEX_GAP = re.compile(r"""(?:[\s"',:>#*]|\\u000[aAdD]|\\[nrt]?)+""")
+HEADER = re.compile(r"^[ \t]*[A-Za-z][A-Za-z0-9-]*:[^\n]*(?:\n[ \t]+[^\n]*(?=\n[ \t]*\n))*$", re.MULTILINE)
+CIPHERED = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,\s*(?:[0-9A-Fa-f]{2})+")
+BASE64_CHARS, HEX_CHARS = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
+PLAIN_CHARS, PADDING = re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"={0,2}")
+URL_SAFE = str.maketrans("-_", "+/")
+#: How a DER sequence and the OpenSSH magic begin in base64 and in hex.
+STARTS = re.compile(r"M(?=[A-I])"), re.compile(r"b3BlbnNzaC1rZXkt")
+HEX_STARTS = re.compile(r"30(?=[0-9A-Fa-f\s:])"), re.compile(r"6[fF](?=:?70:?65:?6[eE]:?73:?73:?68)")
+#: Less than any private key.
+LEAST_DATA = 36
 OPENSSH = b"openssh-key-v1\0"
 SEQUENCE, INTEGER, OCTETS = 0x30, 0x02, 0x04
 Span = tuple[str, int, int]
@@ -97,7 +108,8 @@ def is_key(data: bytes) -> bool:
 
 
 def from_base64(text: str) -> bytes | None:
-    body = text.rstrip("=")
+    """The bytes of base64 of either alphabet, padded or not."""
+    body = text.rstrip("=").translate(URL_SAFE)
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -106,7 +118,7 @@ def from_base64(text: str) -> bytes | None:
 
 def is_signed_token(text: str) -> bool:
     """A header of three dot-separated parts that is a JSON object with an algorithm."""
-    header = from_base64(text.split(".", 1)[0].translate(str.maketrans("-_", "+/")))
+    header = from_base64(text.split(".", 1)[0])
     try:
         found = json.loads(header) if header else None
     except (ValueError, RecursionError):
@@ -121,19 +133,107 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def block_data(body: str) -> tuple[str, bytes | None]:
+    """The header lines of a key block and its decoded data; line ends may be escaped."""
+    lines = re.sub(r"\\+(?:r|n|u000[aAdD])", "\n", body)
+    headers = "\n".join(m[0] for m in HEADER.finditer(lines))
+    return headers, from_base64(GAP.sub("", HEADER.sub("", lines)))
+
+
+def is_block(label: str, body: str) -> bool:
+    """Key data, or enciphered data with the fields that say so."""
+    headers, data = block_data(body)
+    if not data:
+        return False
+    ciphered = "ENCRYPTED" in headers and CIPHERED.search(headers) and len(data) >= LEAST_DATA
+    return bool(is_key(data) or ciphered or label.startswith("ENCRYPTED") and der_items(data))
+
+
+def joined(text: str, at: int, size: int, chars: re.Pattern, gap: re.Pattern) -> tuple[bytes, int] | None:
+    """The first ``size`` bytes encoded from ``at`` on, whatever lines they are on, and their end."""
+    need = 2 * size if chars is HEX_CHARS else -(-4 * size // 3)
+    parts: list[str] = []
+    if need > len(text) - at:
+        return None
+    while need:
+        m = chars.match(text, at)
+        if not m:
+            return None
+        parts.append(m[0][:need])
+        need, at = need - len(parts[-1]), at + len(parts[-1])
+        if need:
+            m = gap.match(text, at)
+            if not m:
+                return None
+            at = m.end()
+    data = bytes.fromhex("".join(parts)) if chars is HEX_CHARS else from_base64("".join(parts))
+    return (data[:size], at) if data else None
+
+
+def key_size(text: str, at: int, chars: re.Pattern, gap: re.Pattern) -> int | None:
+    """How many bytes a key that starts at ``at`` says that it has."""
+    take = lambda size: (joined(text, at, size, chars, gap) or (b"",))[0]
+    head = take(9)
+    if head[:1] == b"\x30":
+        wide = head[1] & 0x7F if head[1] >= 0x80 else 0
+        if wide > 4 or head[1] == 0x80 or head[2 + wide : 4 + wide] != b"\x02\x01":
+            return None
+        return 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+    if take(len(OPENSSH)) != OPENSSH:
+        return None
+    size = len(OPENSSH)
+    for field in range(5):  # cipher, derivation, its options, after a count the public key, the private keys
+        size += 4 if field == 3 else 0
+        found = take(size + 4)
+        if not found:
+            return None
+        size += 4 + int.from_bytes(found[size:], "big")
+    return size
+
+
+def key_runs(text: str, encoded: str) -> Iterator[tuple[int, int]]:
+    """Where base64 or hex of key data starts and ends, on one line or on several."""
+    in_hex = encoded == "hex"
+    chars, gap = (HEX_CHARS, HEX_GAP) if in_hex else (BASE64_CHARS, GAP)
+    last = 0
+    for at in sorted(m.start() for p in (HEX_STARTS if in_hex else STARTS) for m in p.finditer(text)):
+        before = text[at - 1 : at] if text[at - 2 : at] not in ("\\n", "\\r", "\\t") else ""
+        if at < last or before and (HEX_CHARS.match(before) if in_hex else before.isascii() and (before.isalnum() or before in "+/")):
+            continue
+        # A run that is a key as a whole, as OpenSSH data may be cut short behind the public key.
+        for form in (chars,) if in_hex else (chars, PLAIN_CHARS):
+            run = form.match(text, at)
+            data = from_base64(run[0]) if not in_hex else bytes.fromhex(run[0]) if len(run[0]) % 2 == 0 else None
+            if data and len(data) >= LEAST_DATA and is_key(data):
+                end = run.end()
+                break
+        else:
+            size = key_size(text, at, chars, gap)
+            found = joined(text, at, size, chars, gap) if size and size >= LEAST_DATA else None
+            if not found or not is_key(found[0]):
+                continue
+            end = found[1]
+        if not in_hex:
+            end = PADDING.match(text, end).end()
+        after = text[end : end + 1]
+        if after and (HEX_CHARS.match(after) if in_hex else after.isascii() and (after.isalnum() or after in "+/=")):
+            continue
+        last = end
+        yield at, end
+
+
 def confirmed_spans(text: str, hexes: list[Span]) -> list[Span]:
-    found = []
-    for m in BLOCK.finditer(text):
-        data = from_base64("".join(m[2].split()))
-        if data and (is_key(data) or m[1].startswith("ENCRYPTED") and der_items(data)):
-            found.append(("key_block", *m.span()))
+    found = [("key_block", *m.span()) for m in BLOCK.finditer(text) if is_block(m[1], m[2])]
+    blocks = list(found)
     found += [("signed_token", *m.span()) for m in SIGNED.finditer(text) if is_signed_token(m[0])]
-    for m in RUN.finditer(text):
-        data = from_base64(m[0])
-        if data and is_key(data):
-            found.append(("key_data", *m.span()))
-    for _, start, end in hexes:
-        if end - start >= LEAST_HEX_DATA and (end - start) % 2 == 0 and is_key(bytes.fromhex(text[start:end])):
+    runs = {*key_runs(text, "base64"), *key_runs(text, "hex")}
+    for _, start, end in hexes:  # lower-case runs that touch other letters
+        if end - start >= 2 * LEAST_DATA and (end - start) % 2 == 0 and is_key(bytes.fromhex(text[start:end])):
+            runs.add((start, end))
+    # The lines of a block are listed with it; data on one line is listed by itself as well.
+    for start, end in runs:
+        one_line = not re.search(r"[^A-Za-z0-9+/=_-]", text[start:end])
+        if one_line or not any(a <= start and end <= b for _, a, b in blocks):
             found.append(("key_data", start, end))
     return found
 
