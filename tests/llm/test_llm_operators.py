@@ -360,6 +360,20 @@ def test_licences(docs, empty):
     assert licence_scan.find_licences(empty).count() == 0
 
 
+def test_licence_notices_inside_other_text():
+    known = licence_scan.Templates(licence_scan.TEMPLATES, licence_scan.LEAST)
+    other = " ".join(f"İ word{i} and more" for i in range(300))
+    for number, (name, notice) in enumerate(licence_scan.TEMPLATES):
+        for before, after in ((f"{other}\n\n", f"\n\n{other}"), (f"{other} ", f" {other}"), ("Copyright 2020 Foo. ", "")):
+            start, end = len(before), len(before) + len(notice.rstrip("."))
+            found = [m for m in licence_scan.scan_text(before + notice + after, known) if m[0] == name and m[3] < end and m[4] > start]
+            assert any(m[1] == number for m in found)
+    found = licence_scan.scan_text("Copyright 2020 Foo. All rights reserved.", known)
+    assert [(m[0], m[2:5]) for m in found] == [("Proprietary", ("passage", 20, 39))]
+    assert len(licence_scan.scan_text(f"{other} All rights reserved. {other} All rights reserved. {other}", known)) == 2
+    assert not licence_scan.scan_text(f"{other}\n\n{other} all rights", known)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,6 +1,7 @@
 """Licence statements in texts, by Dice coefficient over word bigrams.
 
-A text is compared whole, by its paragraphs and by its lines.  With a set of
+A text is compared whole, by its paragraphs and by its lines, and in passages:
+stretches of words wherever they begin and end.  With a set of
 ``a`` bigrams against a template's ``b`` the coefficient is at most
 ``2 min(a, b) / (a + b)``, so only templates of about the same size can reach
 the threshold; the others are skipped unseen.
@@ -14,6 +15,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +62,18 @@ class Templates:
         self.least = least
         self.sizes = [x[0] for x in sets]
         self.names = [(x[2], x[1]) for x in sets]
+        self.grams = [x[3] for x in sets]
+        self.at = {name: at for at, name in enumerate(self.names)}
         self.holders: dict[tuple[str, str], list[int]] = defaultdict(list)
         for at, (_, _, _, grams) in enumerate(sets):
             for gram in grams:
                 self.holders[gram].append(at)
+        self.known = set(self.holders)
+
+    def possible(self, grams: set[tuple[str, str]]) -> list[int]:
+        """Templates with so many bigrams in a text that a passage of it can reach the threshold."""
+        shared = Counter(at for g in grams & self.known for at in self.holders[g])
+        return sorted(at for at, n in shared.items() if n >= self.sizes[at] * self.least / (2 - self.least) - 1e-9)
 
     def best(self, grams: set[tuple[str, str]]) -> tuple[float, str, int] | None:
         """The best template with at least the threshold; ties go to the earlier name, then template."""
@@ -83,13 +93,101 @@ class Templates:
         return -score, name, template
 
 
+def placed_words(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The words of a text, and where they start and end in it."""
+    small = text.lower()
+    spans = [m.span() for m in WORD.finditer(small)]
+    words, starts, ends = [small[a:b] for a, b in spans], [a for a, _ in spans], [b for _, b in spans]
+    if len(small) != len(text):  # a few capitals have two characters in lower case
+        place = [i for i, c in enumerate(text) for _ in c.lower()]
+        starts, ends = [place[a] for a in starts], [place[b - 1] + 1 for b in ends]
+    return words, starts, ends
+
+
+def windows(grams: list[tuple[str, str]], before: np.ndarray, known: set, least: float) -> list[tuple[float, int, int, int]]:
+    """Disjoint stretches of bigrams that reach the threshold, best first: coefficient, shared bigrams, first and last place.
+
+    ``before`` has the place where each bigram last was, or -1.  A best stretch begins with a shared bigram.
+    """
+    hit = np.fromiter((g in known for g in grams), bool, len(grams))
+    size, found = len(known), []
+    most = size * (2 - least) / least
+    for start in np.flatnonzero(hit).tolist():
+        width = int(most) + 2
+        while True:
+            new = before[start : start + width] < start
+            different = np.cumsum(new)
+            if different[-1] > most or start + width >= len(grams):
+                break
+            width *= 2
+        shared = np.cumsum(new & hit[start : start + width])
+        dice = np.where(different <= most + 1e-9, 2 * shared / (different + size), 0)
+        end = int(np.argmax(dice))
+        if dice[end] >= least:
+            found.append((float(dice[end]), int(shared[end]), start, start + end))
+    taken: list[tuple[int, int]] = []
+    kept = []
+    for window in sorted(found, key=lambda x: (-x[0], x[2])):
+        at = bisect_left(taken, (window[2], window[2]))
+        if (at == 0 or taken[at - 1][1] < window[2]) and (at == len(taken) or taken[at][0] > window[3]):
+            taken.insert(at, window[2:])
+            kept.append(window)
+    return kept
+
+
+def overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of some disjoint spans in order shares a character with this one."""
+    at = bisect_left(spans, (end, end))
+    return at > 0 and spans[at - 1][1] > start
+
+
+def passages(text: str, whole: set[tuple[str, str]], templates: Templates, units_found: list[Match]) -> list[Match]:
+    """Stretches of words that state a licence, but for those that a unit or a fuller passage explains.
+
+    Another match explains a passage if they overlap and its template holds
+    more than half of what the passage shares with its own.
+    """
+    possible = templates.possible(whole)
+    if not possible:
+        return []
+    words, starts, ends = placed_words(text)
+    grams = list(zip(words, words[1:], strict=False))
+    last: dict[tuple[str, str], int] = {}
+    before = np.empty(len(grams), np.int64)
+    for i, gram in enumerate(grams):
+        before[i] = last.get(gram, -1)
+        last[gram] = i
+    found = [
+        (shared, dice, at, first, end) for at in possible
+        for dice, shared, first, end in windows(grams, before, templates.grams[at], templates.least)
+    ]
+    found.sort(key=lambda x: (-x[0], -x[1], templates.names[x[2]], x[3]))
+    others: dict[int, list[tuple[int, int]]] = defaultdict(list)  # matches so far by template
+    for name, template, _, start, end, _ in units_found:
+        others[templates.at[name, template]].append((start, end))
+    chosen = []
+    fuller: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for _, dice, at, first, end in found:
+        a, b = starts[first], ends[end + 1]
+        mine = set(grams[first : end + 1]) & templates.grams[at]
+        alike = [t for t in {*others, *fuller} if 2 * len(mine & templates.grams[t]) > len(mine)]
+        if any(overlaps(fuller[t], a, b) for t in alike if t in fuller):
+            continue
+        fuller[at].insert(bisect_left(fuller[at], (a, b)), (a, b))
+        if not any(c < b and d > a for t in alike for c, d in others.get(t, ())):
+            chosen.append((*templates.names[at], "passage", a, b, dice))
+    return sorted(chosen, key=lambda m: (m[3], m[4], m[0], m[1]))
+
+
 def scan_text(text: str | None, templates: Templates) -> list[Match]:
-    found = []
+    found, whole = [], set()
     for level, start, end in units(text or ""):
-        best = templates.best(bigrams(text[start:end]))
+        grams = bigrams(text[start:end])
+        whole = grams if level == "text" else whole
+        best = templates.best(grams)
         if best:
             found.append((best[1], best[2], level, start, end, best[0]))
-    return found
+    return found + passages(text, whole, templates, found) if whole else found
 
 
 def _scan_rows(batches: Iterator[pa.RecordBatch], texts: list[tuple[str, str]], least: float) -> Iterator[pa.RecordBatch]:
@@ -116,7 +214,10 @@ def find_licences(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Every text, paragraph or line that states a licence, with the best template.
+    """Every text, paragraph, line or passage that states a licence, with the best template.
+
+    A passage is a stretch of words, wherever it begins and ends, that no
+    match overlapping it explains.
 
     Returns ``doc_id, licence, template, level, start, end, dice``; spans are
     code points, end exclusive.  Null and empty texts and units of fewer than
