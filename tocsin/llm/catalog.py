@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from tocsin.llm import (
     block_names,
+    decision_lists,
     jaccard_join,
     language_codes,
     licence_scan,
     packing,
+    prefix_trie,
     secret_scan,
     sentence_pieces,
     sharding,
+    token_alignment,
     toxicity,
     vantage_search,
 )
@@ -65,6 +68,20 @@ def op10_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_codes.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(
+        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    )
+
+
+def op13_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_lists.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_licence_dice": op1_licence_dice,
     "op2_block_names": op2_block_names,
@@ -76,6 +93,9 @@ QUERIES = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_interleave": op9_interleave,
     "op10_output_codes": op10_output_codes,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_decision_lists": op13_decision_lists,
 }
 
 ORACLES = {
@@ -96,4 +116,37 @@ ORACLES = {
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
                      vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
+    "op11_prefix_trie": """
+        WITH RECURSIVE t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS said
+            FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS pos FROM t),
+        -- crc32 of the decimal id, bit by bit; its last two bits are inverted ones of the register
+        c AS (SELECT conv_id, count(*) AS own,
+                     xor(list_reduce(list_transform(range(length(conv_id::VARCHAR)), lambda i: ord(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT),
+                         lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                             lambda x, y: xor(x >> 1, (x & 1) * 3988292384)), 4294967295), 4294967295) % 4 AS h
+              FROM o GROUP BY conv_id),
+        r AS (SELECT c.conv_id, o.pos, o.said, o.text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.pos <= c.h
+              UNION ALL SELECT c.conv_id, o.pos, o.said, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h),
+        p AS (SELECT conv_id, text, said, row_number() OVER w AS depth, count(*) OVER (PARTITION BY conv_id) AS len
+              FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+        k AS (SELECT conv_id, depth, len, text, md5(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM p
+              UNION ALL SELECT c.conv_id, 0, coalesce(max(p.len), 0), '', '' FROM c LEFT JOIN p USING (conv_id) GROUP BY c.conv_id),
+        f AS (SELECT k.*, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM k),
+        n AS (SELECT depth, node, max(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+                     len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS words,
+                     sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len), '')) AS ends_sha256
+              FROM f GROUP BY depth, node),
+        m AS (SELECT n.*, u.conv_id AS parent_conv_id,
+                     (SELECT count(*) FROM n AS d WHERE d.depth = n.depth + 1 AND d.above = n.node) AS n_children
+              FROM n LEFT JOIN n AS u ON u.depth = n.depth - 1 AND u.node = n.above),
+        -- every node sends its own values to itself and to all nodes above it
+        s AS (SELECT depth, node, above, (n_children = 0)::BIGINT AS leaf, (n_convs - 1) * words AS saved FROM m
+              UNION ALL SELECT m.depth, m.node, m.above, s.leaf, s.saved
+              FROM s JOIN m ON m.depth = s.depth - 1 AND m.node = s.above),
+        g AS (SELECT depth, node, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM s GROUP BY depth, node)
+        SELECT m.conv_id, m.depth, m.parent_conv_id, m.n_convs, m.n_children, g.n_leaves, g.saved_tokens, m.ends_sha256
+        FROM m JOIN g USING (depth, node)""",
 }
