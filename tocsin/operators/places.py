@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tocsin import config as C
 from tocsin import schemas
 from tocsin.functions.text import is_blank, strip
+from tocsin.operators.name_scan import find_names
+from tocsin.runtime import materialise
 
 EDGE = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"
-LEADING = r"^[^\p{L}\p{N}_]+"
-# Words whose places in the text are worked out together.
-STRETCH = 64
-# Parts into which the rows of one name or first word are dealt.
-SALTS = 16
+# Parts into which the rows of one name are dealt.
+SALTS = 64
+ANYWHERE = ""
 
 
 def bare(text: Column) -> Column:
@@ -27,10 +28,6 @@ def name_key(name: Column) -> Column:
     return bare(strip(name))
 
 
-def first_word(key: Column) -> Column:
-    return bare(F.split(key, " ")[0])
-
-
 def gazetteer_names(gazetteer: DataFrame) -> DataFrame:
     """One row per name: the kind and score of its most important entry."""
     importance = F.coalesce("importance", F.lit(0.5))
@@ -44,98 +41,17 @@ def gazetteer_names(gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def salted(values: DataFrame) -> DataFrame:
-    return values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def word_starts(df: DataFrame, text_col: str, longest: int) -> DataFrame:
-    """Every word with its number, its offset in the text and the words from it on.
-
-    Offsets are summed over stretches of words first, so the work is linear
-    in the length of the text.
-    """
-    words = F.col("_words")
-    stretches = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 1, F.lit(STRETCH)),
-        lambda c: F.struct(
-            c.alias("base"),
-            F.slice(words, c + 1, F.lit(STRETCH)).alias("own"),
-            F.slice(words, c + 1, F.lit(STRETCH + longest - 1)).alias("more"),
-        ),
-    )
-    begins = F.aggregate(
-        "_stretches",
-        F.array(F.lit(0)),
-        lambda found, s: F.concat(
-            found, F.array(F.element_at(found, -1) + F.length(F.array_join(s["own"], " ")) + 1)
-        ),
-    )
-    rows = (
-        df.where(~is_blank(F.col(text_col)))
-        .select("message_id", F.split(text_col, " ").alias("_words"))
-        .select("message_id", stretches.alias("_stretches"))
-        .select("message_id", "_stretches", begins.alias("_begins"))
-        .select("message_id", F.inline(F.arrays_zip("_stretches", "_begins")))
-        .where(F.col("_stretches").isNotNull())
-        .select("message_id", "_stretches.*", F.col("_begins").alias("begin"))
-    )
-    word = F.transform(
-        "own",
-        lambda w, i: F.struct(
-            (F.col("base") + i).alias("i"),
-            (
-                F.col("begin") + F.length(F.array_join(F.slice("own", F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)
-            ).alias("offset"),
-            bare(w).alias("head"),
-            F.slice("more", i + 1, F.lit(longest)).alias("next"),
-        ),
-    )
-    return rows.select("message_id", F.inline(word)).where(F.col("head") != "")
-
-
 def match_places(df: DataFrame, gazetteer: DataFrame, *, text_col: str = "cleaned_text") -> DataFrame:
     """Gazetteer names found in the text, as tagged mentions.
 
-    Returns ``message_id, text, kind, score, start, end``.  At each word the
+    Returns ``message_id, text, kind, score, start, end``.  At each place the
     longest name wins, and a name inside an earlier, longer one is dropped.
     Names and text are compared without outer punctuation, as ``name_key``
-    makes them.  Only words that start a name go on, with as many words as
-    the longest name that starts so.  No join is hinted: small gazetteers are
-    broadcast by their measured size, large ones are shuffled, and a common
-    name or first word is dealt to several tasks.
+    makes them; text in a script without blanks is searched at every letter.
+    The names are read when the plan is made and passed over each text by
+    automata, so neither words nor texts are shuffled.
     """
-    names = gazetteer_names(gazetteer)
-    size = F.size(F.split("key", " "))
-    heads = names.groupBy(first_word(F.col("key")).alias("head")).agg(F.max(size).alias("most"))
-    longest = names.agg(F.max(size)).first()[0] or 1
-    salt = F.pmod(F.xxhash64("message_id"), F.lit(SALTS)).cast("int").alias("_salt")
-    starts = word_starts(df, text_col, longest).withColumn("_salt", salt).join(salted(heads), ["head", "_salt"])
-    spans = starts.select(
-        "message_id", "i", "next", "offset", "_salt",
-        F.explode(F.sequence(F.lit(1), F.least(F.size("next"), F.col("most")))).alias("n"),
-    ).withColumn("raw", F.array_join(F.slice("next", F.lit(1), F.col("n")), " "))
-    spans = spans.select(
-        "message_id",
-        "i",
-        "n",
-        "_salt",
-        F.regexp_replace("raw", EDGE, "").alias("text"),
-        (F.col("offset") + F.length("raw") - F.length(F.regexp_replace("raw", LEADING, ""))).alias("start"),
-    ).withColumn("key", F.lower("text"))
-    # Both the aggregate and the window below find the rows of a message together.
-    hits = spans.join(salted(names), ["key", "_salt"]).repartition("message_id")
-    best = (
-        hits.groupBy("message_id", "i")
-        .agg(F.max_by(F.struct("text", "kind", "score", "start"), "n").alias("m"))
-        .select("message_id", "i", "m.*")
-        .withColumn("end", F.col("start") + F.length("text"))
-    )
-    earlier = Window.partitionBy("message_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        best.withColumn("_reach", F.max("end").over(earlier))
-        .where(F.col("_reach").isNull() | (F.col("end") > F.col("_reach")))
-        .select("message_id", "text", "kind", "score", "start", "end")
-    )
+    return find_names(df.where(~is_blank(F.col(text_col))), gazetteer_names(gazetteer), text_col=text_col)
 
 
 def is_facility(text: Column) -> Column:
@@ -222,27 +138,78 @@ def lookup_requests(mentions: DataFrame, *, name_col: str = "text", country_col:
     return asked.groupBy(*asked.columns).agg(F.count("*").alias("asked"))
 
 
+def look_up(requests: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """The place of each distinct ``_key, _hint``, null if unknown.
+
+    A hint is a country after ``=``; ``ANYWHERE`` asks in all countries.
+    """
+    anywhere = best_entries(gazetteer).select(F.col("key").alias("_key"), F.col("place").alias("_any"))
+    local = best_entries(gazetteer, by_country=True).select(
+        F.col("key").alias("_key"), F.concat(F.lit("="), "hint").alias("_hint"), F.col("place").alias("_local")
+    )
+    place = F.when(F.col("_hint") == ANYWHERE, F.col("_any")).otherwise(F.col("_local"))
+    return (
+        requests.join(anywhere, "_key", "left").join(local, ["_key", "_hint"], "left")
+        .select("_key", "_hint", place.alias("_place"))
+    )
+
+
+class LookupTable:
+    """Answers kept between runs, misses included.
+
+    New requests are found by an anti-join and looked up once; each run that
+    has some adds one folder.  Remove the folder to ask anew, for instance
+    for a new version of the gazetteer.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def known(self) -> DataFrame | None:
+        """All answers so far, none before the first run."""
+        try:
+            return self.spark.read.schema(schemas.LOOKUP).parquet(f"{self.folder}/answers")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def answer(self, requests: DataFrame, gazetteer: DataFrame) -> DataFrame:
+        known = self.known()
+        new = requests if known is None else requests.join(known.select("_key", "_hint"), ["_key", "_hint"], "left_anti")
+        found = materialise(look_up(new, gazetteer).select(*[F.col(f.name).cast(f.dataType) for f in schemas.LOOKUP.fields]), "answers")
+        if not found.isEmpty():
+            found.write.mode("append").parquet(f"{self.folder}/answers")
+        if known is None:
+            return found
+        return found.unionByName(known.join(requests, ["_key", "_hint"], "left_semi"))
+
+
 def geocode(
-    mentions: DataFrame, gazetteer: DataFrame, *, name_col: str = "text", country_col: str | None = None
+    mentions: DataFrame,
+    gazetteer: DataFrame,
+    *,
+    name_col: str = "text",
+    country_col: str | None = None,
+    lookups: LookupTable | None = None,
 ) -> DataFrame:
     """Add coordinates, display name, country and confidence; null if unknown.
 
-    The gazetteer is reduced to one row per name first, so the join neither
-    multiplies rows nor meets a hot key on the gazetteer side.  A null
-    country asks in all countries.
+    Equal requests are asked once, and never again with ``lookups``.  The
+    distinct pairs of request and salt meet the answers first, so a name that
+    most mentions have is spread over many tasks.  A null country asks in all
+    countries.
     """
-    key = name_key(F.col(name_col))
-    out = mentions.withColumn("_key", F.when(~is_blank(F.col(name_col)), key))
-    anywhere = best_entries(gazetteer).select(F.col("key").alias("_key"), F.col("place").alias("_any"))
-    out = out.join(anywhere, "_key", "left")
-    place = F.col("_any")
-    if country_col:
-        local = best_entries(gazetteer, by_country=True).select(
-            F.col("key").alias("_key"), F.col("hint").alias("_hint"), F.col("place").alias("_local")
-        )
-        out = out.withColumn("_hint", F.upper(country_col)).join(local, ["_key", "_hint"], "left")
-        place = F.when(F.col("_hint").isNull(), F.col("_any")).otherwise(F.col("_local"))
-    out = out.withColumn("_place", place)
+    hint = F.concat(F.lit("="), F.upper(country_col)) if country_col else F.lit(None).cast("string")
+    asked = mentions.withColumns({
+        "_key": F.when(~is_blank(F.col(name_col)), name_key(F.col(name_col))).otherwise(""),
+        "_hint": F.coalesce(hint, F.lit(ANYWHERE)),
+        "_salt": F.pmod(F.xxhash64("message_id"), F.lit(SALTS)),
+    })
+    salted = asked.where("_key <> ''").select("_key", "_hint", "_salt").distinct()
+    requests = salted.select("_key", "_hint").distinct()
+    answers = look_up(requests, gazetteer) if lookups is None else lookups.answer(requests, gazetteer)
+    out = asked.join(salted.join(answers, ["_key", "_hint"]), ["_key", "_hint", "_salt"], "left")
     return out.select(
         *mentions.columns,
         "_place.latitude", "_place.longitude", "_place.display_name", "_place.country", "_place.geo_confidence",
@@ -264,6 +231,6 @@ def locations_by_message(located: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "best_entries", "extract_places", "gazetteer_names", "geocode", "geocode_confidence",
-    "keep_places", "locations_by_message", "lookup_requests", "match_places", "merge_adjacent",
+    "LookupTable", "best_entries", "extract_places", "gazetteer_names", "geocode", "geocode_confidence",
+    "keep_places", "locations_by_message", "look_up", "lookup_requests", "match_places", "merge_adjacent",
 ]

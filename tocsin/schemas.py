@@ -52,3 +52,16 @@ LOCATION = T.StructType([
     T.StructField("display_name", T.StringType()),
     T.StructField("country", T.StringType()),
 ])
+
+# What is kept of a lookup: the name, the country hint and the place, null if unknown.
+LOOKUP = T.StructType([
+    T.StructField("_key", T.StringType()),
+    T.StructField("_hint", T.StringType()),
+    T.StructField("_place", T.StructType([
+        T.StructField("latitude", T.DoubleType()),
+        T.StructField("longitude", T.DoubleType()),
+        T.StructField("display_name", T.StringType()),
+        T.StructField("country", T.StringType()),
+        T.StructField("geo_confidence", T.DoubleType()),
+    ])),
+])
