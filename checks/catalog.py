@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -236,14 +235,18 @@ def place_summary(column: str = "locations") -> Column:
     return F.array_join(F.transform(column, views.place_text), BAR).alias(column)
 
 
-def q_analyze(spark: SparkSession, d: str) -> DataFrame:
-    return saved_results(spark, d).select(
+def result_rows(results: DataFrame) -> DataFrame:
+    return results.select(
         "message_id", "cleaned_text", "lang_code", "lang_method", "is_relevant", "relevance_confidence",
         bar("event_types"), score_text("type_scores"), "urgency_level", "urgency_score", place_summary(),
         "is_duplicate", "cluster_id", "similarity", "matched_id", "pipeline_version",
     )
 
 
+def q_analyze(spark: SparkSession, d: str) -> DataFrame:
+    return result_rows(saved_results(spark, d))
+
+
 def q_analyze_json(spark: SparkSession, d: str) -> DataFrame:
     """Fields read back from the nested JSON result."""
     path = {
@@ -403,9 +406,17 @@ def q_relevance_model(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
-    schema = tables.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+STREAM_BATCHES = 4
+
+
+def in_batches(spark: SparkSession, df: DataFrame, seq_col: str = "arrival_seq") -> DataFrame:
+    """``df`` as a stream: files that arrive in ``STREAM_BATCHES`` groups by equal ranges of ``seq_col``."""
+    folder, top = runtime.new_table_path(spark, "arrivals"), df.agg(F.max(seq_col)).first()[0]
+    files = max(1, spark.sparkContext.defaultParallelism // STREAM_BATCHES)
+    part = F.floor(F.col(seq_col) * STREAM_BATCHES / F.lit(top + 1))
+    for i in range(STREAM_BATCHES):
+        df.where(part == i).repartition(files).write.mode("append").parquet(folder)
+    return readers.stream_messages(spark, folder, df.schema, files_per_batch=files)
 
 
 def run_to_end(writer, spark: SparkSession) -> None:
@@ -414,42 +425,46 @@ def run_to_end(writer, spark: SparkSession) -> None:
     query.awaitTermination()
 
 
-def streamed_messages(spark: SparkSession, d: str) -> DataFrame:
-    return stream_of(spark, d, "documents").selectExpr(
-        "doc_id AS message_id", "doc_id AS arrival_seq", "lang", "text",
-        f"{RELEVANCE_SCORE.replace('message_id', 'doc_id').replace('chars', 'length(text)')} AS label_score",
-        "CAST(NULL AS ARRAY<DOUBLE>) AS type_scores_raw",
-        "array(0.9D, 0.1D, 0.0D, 0.0D) AS urgency_scores",
-    )
+_streamed: dict[tuple[str, str], jobs.WindowState] = {}
+
+
+def streamed_results(spark: SparkSession, d: str) -> jobs.WindowState:
+    """The whole analysis as a stream of several batches, run once in this session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _streamed:
+        state = jobs.WindowState(spark, runtime.new_table_path(spark, "streamed"))
+        run_to_end(
+            jobs.analyse_whole_stream(
+                in_batches(spark, tables.messages(spark, d)), state, given_scores(spark, d), lambda _: tables.gazetteer(spark),
+                embed=lambda df: with_word_codes(df, "cleaned_text", code=md5_code),
+                lookups=places.LookupTable(spark, runtime.new_table_path(spark, "lookups")),
+            ), spark,
+        )
+        _streamed[key] = state
+    return _streamed[key]
 
 
 def q_stream_totals(spark: SparkSession, d: str) -> DataFrame:
-    results = jobs.analyse_stream(streamed_messages(spark, d), analysis.ScoreColumns())
-    name = f"totals_{uuid.uuid4().hex}"
-    run_to_end(jobs.stream_totals(results).writeStream.outputMode("complete").format("memory").queryName(name), spark)
-    return spark.table(name)
+    return streamed_results(spark, d).totals()
 
 
 def q_stream_analysis(spark: SparkSession, d: str) -> DataFrame:
-    results = jobs.analyse_stream(streamed_messages(spark, d), analysis.ScoreColumns()).select(
-        "message_id", "cleaned_text", "lang_code", "is_relevant", bar("event_types"), "urgency_level", "urgency_score"
-    )
-    path = runtime.new_table_path(spark, "streamed")
-    run_to_end(results.writeStream.format("parquet").option("path", path), spark)
-    return spark.read.parquet(path)
+    return result_rows(streamed_results(spark, d).results())
 
 
 def streamed_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return stream_of(spark, d, "embeddings").selectExpr(
+    rows = tables.table(spark, d, "embeddings").selectExpr(
         "vec_id AS message_id", "vec_id AS arrival_seq", "embedding AS vector", "CAST(label AS STRING) AS source"
     )
+    return in_batches(spark, rows)
+
+
+VECTOR_WINDOW = dict(text_col=None, window=100, threshold=0.3)
 
 
 def q_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     state = jobs.WindowState(spark, runtime.new_table_path(spark, "window"))
-    run_to_end(
-        jobs.deduplicate_stream(streamed_vectors(spark, d), state, text_col=None, window=100, threshold=0.3), spark
-    )
+    run_to_end(jobs.deduplicate_stream(streamed_vectors(spark, d), state, **VECTOR_WINDOW), spark)
     return state.results()
 
 
@@ -460,6 +475,23 @@ def q_stream_dedup_keyed(spark: SparkSession, d: str) -> DataFrame:
     return state.results()
 
 
+def q_stream_reset(spark: SparkSession, d: str) -> DataFrame:
+    """A new run in the middle of a stream: the second half meets an empty window."""
+    folder, half = runtime.new_table_path(spark, "reset"), STREAM_BATCHES // 2
+    runs = [jobs.WindowState(spark, folder), jobs.WindowState(spark, folder, "run-1", first_batch=half)]
+    run_to_end(
+        streamed_vectors(spark, d).writeStream.foreachBatch(
+            lambda batch, i: jobs.check_batch(batch, i, runs[i >= half], **VECTOR_WINDOW)
+        ), spark,
+    )
+    return runs[1].results()
+
+
+def q_dedup_skipped(spark: SparkSession, d: str) -> DataFrame:
+    """The duplicate check switched off."""
+    return dedup.deduplicate(cleaned(spark, d), skip=True)
+
+
 def q_dedup_by_key(spark: SparkSession, d: str) -> DataFrame:
     """One window per source of the documents."""
     docs = tables.documents(spark, d).select(
@@ -555,4 +587,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_totals": q_stream_totals,
     "stream_dedup": q_stream_dedup,
     "stream_dedup_by_key": q_stream_dedup_keyed,
+    "stream_reset": q_stream_reset,
+    "dedup_skipped": q_dedup_skipped,
 }

@@ -452,17 +452,12 @@ SELECT round((po - agree_by_chance / (n * n)) / (1 - agree_by_chance / (n * n)),
 
 # --- streams give the batch answer ------------------------------------------
 
-STREAMED = [
-    "m AS (SELECT doc_id AS message_id, doc_id AS arrival_seq, lang, source, text, length(text) AS chars FROM documents)", STAGED, CLEAN,
-    f"sr AS (SELECT *, cleaned_text <> '' AND {RELEVANCE_SCORE} >= 0.65 AS is_relevant FROM c)",
-    f"sb AS (SELECT *, {BOOST} AS boost FROM (SELECT *, lower(cleaned_text) AS low FROM sr))",
-    """su AS (SELECT *, CASE WHEN is_relevant THEN least(1.0::DOUBLE, (0.0::DOUBLE + 0.9::DOUBLE * 1.0::DOUBLE + 0.1::DOUBLE * 0.75::DOUBLE) * 0.7::DOUBLE
-      + boost * 0.3::DOUBLE) ELSE 0.0::DOUBLE END AS urg FROM sb)""",
-]
-stream_analysis = ctes(*STREAMED) + f"""SELECT message_id, cleaned_text, CASE WHEN cleaned_text = '' THEN 'und' ELSE lang END AS lang_code, is_relevant,
-  CASE WHEN is_relevant THEN 'UNKNOWN' ELSE '' END AS event_types, {level("urg")} AS urgency_level, round(urg, 4) AS urgency_score FROM su"""
-stream_totals = ctes(*STREAMED) + """SELECT count(*) AS total_processed, count(*) FILTER (is_relevant) AS total_relevant,
-  count(*) FILTER (is_relevant AND urg >= 0.85) AS total_critical FROM su"""
+stream_analysis = analyze
+stream_totals = running_totals
+HALF = "half AS (SELECT * FROM emb WHERE seq * 4 // (SELECT max(seq) + 1 FROM emb) >= 2)"
+stream_reset = ctes(EMB, HALF, *checked("half", 100, 0.3)) + "SELECT message_id, is_duplicate, cluster_id, similarity, matched_id FROM dup"
+dedup_skipped = f"""SELECT message_id, false AS is_duplicate, CAST(NULL AS VARCHAR) AS cluster_id, 0.0::DOUBLE AS similarity,
+  CAST(NULL AS BIGINT) AS matched_id FROM ({tables.MESSAGES_SQL})"""
 
 NOT_IN_SQL = ("analyze_models", "relevance_model")
 
