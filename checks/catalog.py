@@ -121,7 +121,9 @@ def q_nfc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return tables.messages(spark, d).select("message_id", X.symbols_to_words(F.col("text")).alias("text"))
+    """Single symbols, flags, keycaps, skin tones and joined sequences behind and between other text."""
+    text = F.concat("text", F.expr(tables.symbol_case(lambda s, _: s, " a{0}b {0} 3")))
+    return tables.messages(spark, d).select("message_id", X.symbols_to_words(text).alias("text"))
 
 
 def q_requests(spark: SparkSession, d: str) -> DataFrame:

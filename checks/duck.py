@@ -69,7 +69,8 @@ FROM c"""
 
 clean_switches_off = ctes(M, STAGED) + f"SELECT message_id, {finish(REPOST)} AS cleaned_text FROM staged"
 nfc_normalise = ctes(M) + "SELECT message_id, nfc_normalize(text) AS text FROM m"
-emoji_words = ctes(M) + f"SELECT message_id, {symbols('text')} AS text FROM m"
+SYMBOL_CASE = tables.symbol_case(lambda _, word: f" {word} ", " a{0}b {0} 3")
+emoji_words = ctes(M) + f"SELECT message_id, {symbols('text')} || {SYMBOL_CASE} AS text FROM m"
 
 # --- sources ---------------------------------------------------------------
 

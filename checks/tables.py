@@ -15,7 +15,7 @@ DOCUMENT_TEXT = """concat(
     CASE WHEN doc_id % 7 = 0 THEN concat('RT @user', CAST(doc_id % 50 AS STRING), ': ') ELSE '' END,
     text,
     CASE doc_id % 6
-      WHEN 0 THEN ' URGENT: roof collapsed on a bus in Hatay, passengers trapped. Emergency, please help! Au secours, socorro'
+      WHEN 0 THEN ' URGENT: smoke over the harbour of Hatay, a crane collapsed, crew trapped. Emergency, please help! Au secours, socorro'
       WHEN 1 THEN ' flood damage near Lyon, hospital needs ambulance'
       WHEN 2 THEN ' necesitamos ayuda urgente en San Pedro Sula, San Pedro'
       WHEN 3 THEN ' fire at City Hospital, children missing near Port Market Lyon Hatay'
@@ -27,6 +27,30 @@ DOCUMENT_TEXT = """concat(
     CASE WHEN doc_id % 8 = 3 THEN ' \U0001F525\U0001F198 SOS' ELSE '' END,
     CASE WHEN doc_id % 10 = 7 THEN ' Tu\u0308rkiye\u200b cafe\u0301' ELSE '' END)"""
 
+# Symbols and sequences that stand behind a message, by number, and the word each becomes.
+SYMBOL_WORDS = (
+    ("\U0001F525", "fire"), ("\U0001F198", "SOS_button"), ("\U0001F1F9\U0001F1F7", "flag_tr"), ("\U0001F1EF\U0001F1F5", "flag_jp"),
+    ("1\uFE0F\u20E3", "keycap_1"), ("#\u20E3", "keycap_hash"), ("*\uFE0F\u20E3", "keycap_asterisk"),
+    ("\U0001F44D\U0001F3FD", "thumbs_up_medium_skin_tone"), ("\U0001F44D", "thumbs_up"),
+    ("\u270A\U0001F3FF", "raised_fist_dark_skin_tone"), ("\u270A", "raised_fist"), ("\u26F0\uFE0F", "mountain"),
+    ("\u26F0", "mountain"), ("\U0001F468\u200D\U0001F469\u200D\U0001F467", "man_woman_girl"),
+    ("\U0001F469\U0001F3FB\u200D\U0001F692", "woman_light_skin_tone_fire_engine"),
+    ("\U0001F3F4\U000E0067\U000E0062\U000E0073\U000E0063\U000E0074\U000E007F", "flag_gbsct"),
+    ("\u2764\uFE0F", "red_heart"), ("\u2764\uFE0F\u200D\U0001F525", "red_heart_fire"), ("\u26A0\uFE0F", "warning"),
+    ("\u2614", "umbrella_with_rain_drops"), ("\u2708\uFE0F", "airplane"), ("\u2620\uFE0F", "skull_and_crossbones"),
+    ("\u2693", "anchor"), ("\u26FA", "tent"), ("\u23F0", "alarm_clock"), ("\u2B50", "white_medium_star"),
+    ("\U0001F30A", "water_wave"), ("\U0001F6A8", "police_car_light"), ("\U0001F691", "ambulance"), ("\U0001F64F", "folded_hands"),
+    ("\U0001FAE0", "melting_face"), ("\U0001F7E0", "large_orange_circle"), ("\U0001F9EF", "fire_extinguisher"),
+    ("\U0001F3FB", "light_skin_tone"),
+)
+
+
+def symbol_case(value, around: str) -> str:
+    """SQL: a choice by message of what ``value`` makes of each symbol, between other characters."""
+    whens = (f"WHEN {i} THEN '{around.format(value(s, w))}'" for i, (s, w) in enumerate(SYMBOL_WORDS))
+    return f"CASE message_id % {len(SYMBOL_WORDS)} " + " ".join(whens) + " END"
+
+
 DOCUMENT_COLUMNS = {
     "message_id": "2 * doc_id",
     "arrival_seq": "2 * doc_id",

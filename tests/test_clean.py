@@ -2,7 +2,9 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from tocsin.functions import text as X
 from tocsin.operators.clean import clean_messages
 
 
@@ -70,3 +72,16 @@ def test_normal_form_of_every_character(spark):
         want = unicodedata.normalize("NFC", text)
         want = re.sub(r"\s+", " ", re.sub("[\u200b\u200c\u200d\ufeff]", "", want)).strip()
         assert row.cleaned_text == want
+
+
+def test_symbol_sequences(spark):
+    cases = {
+        "x\U0001F1E9\U0001F1EAy": "x flag_de y", "\U0001F1E9 alone": "\U0001F1E9 alone", "call 112 or #1 *": "call 112 or #1 *",
+        "2\uFE0F\u20E3\u26F0": " keycap_2  mountain ", "\U0001F44D\U0001F3FB\U0001F44D": " thumbs_up_light_skin_tone  thumbs_up ",
+        "\U0001F468\U0001F3FD\u200D\u2695\uFE0F!": " man_medium_skin_tone_medical_symbol !", "no symbol \u200D here": "no symbol \u200D here",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
+    found = [r.w for r in df.select("i", X.symbols_to_words(F.col("text")).alias("w")).orderBy("i").collect()]
+    assert found == list(cases.values())
+    family = run(spark, ["\U0001F468\u200D\U0001F469\u200D\U0001F466 in \U0001F1F9\U0001F1F7"])[0].cleaned_text
+    assert family == "man_woman_boy in flag_tr"

@@ -76,20 +76,30 @@ def segment_hashtags(text: Column) -> Column:
 
 # --- symbols -------------------------------------------------------------
 
-# Unicode blocks that hold pictographic symbols.
+# Unicode blocks that hold pictographic symbols, and symbols outside them.
 SYMBOL_BLOCKS = (
-    (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF), (0x1FA70, 0x1FAFF),
+    (0x2600, 0x27BF), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F7E0, 0x1F7EB), (0x1F900, 0x1F9FF), (0x1FA70, 0x1FAFF),
 )
-EMOJI_STYLE = "\ufe0f"
+LONE_SYMBOLS = (0x203C, 0x2049, 0x231A, 0x231B, 0x23F0, 0x23F1, 0x23F2, 0x23F3, 0x2B50, 0x2B55, 0x1F004, 0x1F0CF, 0x1F18E)
+# The five skin tones, from light to dark, and what joins or styles the parts of a sequence.
+SKIN_TONES = {
+    0x1F3FB: "light_skin_tone", 0x1F3FC: "medium_light_skin_tone", 0x1F3FD: "medium_skin_tone",
+    0x1F3FE: "medium_dark_skin_tone", 0x1F3FF: "dark_skin_tone",
+}
+EMOJI_STYLE, JOINER, KEYCAP = "\ufe0f", "\u200d", "\u20e3"
+REGIONAL, TAG = 0x1F1E6, 0xE0000
+FLAG = "[\\x{1F1E6}-\\x{1F1FF}]{2}"
+KEYCAPS = "[0-9#*]\\x{FE0F}?\\x{20E3}"
+TAGGED = "\\x{1F3F4}[\\x{E0020}-\\x{E007E}]+\\x{E007F}"
 
 
 @lru_cache(maxsize=1)
 def symbol_aliases() -> dict[str, str]:
     """Symbol -> word, by rule from the Unicode character names."""
-    points = (p for first, last in SYMBOL_BLOCKS for p in range(first, last + 1))
-    names = ((chr(p), unicodedata.name(chr(p), "")) for p in points)
+    points = [p for first, last in SYMBOL_BLOCKS for p in range(first, last + 1)]
+    names = ((chr(p), unicodedata.name(chr(p), "")) for p in (*points, *LONE_SYMBOLS))
     by_rule = {s: n.lower().replace(" ", "_") for s, n in names if n}
-    return {**by_rule, **C.SYMBOL_NAMES}
+    return {**by_rule, **{chr(p): n for p, n in SKIN_TONES.items()}, **C.SYMBOL_NAMES}
 
 
 def _runs(points: list[int], gap: int = 1) -> list[tuple[int, int]]:
@@ -113,11 +123,14 @@ def _within(points: list[int], ranges: str) -> str:
 
 
 def symbols_to_words(text: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Replace each symbol by its alias with a space on both sides.
-
-    Sequences go before the symbols they start with.  Single symbols are
-    looked up by code point in literal arrays, one per run of code points,
-    so a lookup costs one subtraction; text without symbols is not split.
+    """Replace each symbol or sequence of symbols by one word with a space on both sides.
+
+    A sequence is a base with a style, a skin tone and further bases behind
+    joiners; its word has the words of its parts.  Flags become ``flag_`` and
+    their letters, keycaps ``keycap_`` and their character.  Sequences that
+    ``aliases`` names go first.  Single symbols are looked up by code point
+    in literal arrays, one per run of code points, so a lookup costs one
+    subtraction; text without symbols is not split.
     """
     aliases = symbol_aliases() if aliases is None else aliases
     sequences = sorted((s for s in aliases if len(s) > 1), key=len, reverse=True)
@@ -127,21 +140,43 @@ def symbols_to_words(text: Column, aliases: dict[str, str] | None = None) -> Col
     if not points:
         return text
     symbol = _within(points, _ranges(points))
+    part = f"{symbol}\\x{{FE0F}}?[\\x{{1F3FB}}-\\x{{1F3FF}}]?\\x{{FE0F}}?"
+    cluster = f"{FLAG}|{KEYCAPS}|{TAGGED}|{part}(?:\\x{{200D}}{part})*"
 
-    def name_of(piece: Column) -> Column:
+    def name_of(char: Column) -> Column:
         name = F.lit("")
         for first, last in _runs(points, gap=512):
             words = "|".join(aliases.get(chr(p), "") for p in range(first, last + 1))
-            at = F.ascii(piece) - F.lit(first - 1)
+            at = F.ascii(char) - F.lit(first - 1)
             name = F.when(
-                F.ascii(piece).between(first, last),
+                F.ascii(char).between(first, last),
                 F.element_at(F.split(F.lit(words), r"\|"), at),
             ).otherwise(name)
-        return F.concat(F.lit(" "), name, F.lit(" "))
-
-    pieces = find_all(text, f"{symbol}{EMOJI_STYLE}?|[^{_ranges(points)}]+")
-    named = F.transform(pieces, lambda p: F.when(p.rlike(f"^{symbol}"), name_of(p)).otherwise(p))
-    return F.when(text.rlike(symbol), F.array_join(named, "")).otherwise(text)
+        return name
+
+    def letters(piece: Column, base: int) -> Column:
+        return F.array_join(F.transform(F.split(piece, ""), lambda c: F.char(F.ascii(c) - F.lit(base))), "")
+
+    def word_of(piece: Column) -> Column:
+        first = F.substring(piece, 1, 1)
+        keys = F.when(first == "#", "hash").when(first == "*", "asterisk").otherwise(first)
+        bases = F.split(F.translate(piece, EMOJI_STYLE + JOINER, ""), "")
+        return (
+            F.when(piece.rlike(f"^{FLAG}"), F.concat(F.lit("flag_"), letters(piece, REGIONAL - ord("a"))))
+            .when(piece.rlike(f"^{KEYCAPS}"), F.concat(F.lit("keycap_"), keys))
+            .when(
+                piece.rlike(f"^{TAGGED}"),
+                F.concat(F.lit("flag_"), letters(F.regexp_replace(piece, "^.|.$", ""), TAG)),
+            )
+            .otherwise(F.array_join(F.transform(bases, name_of), "_"))
+        )
+
+    starts = f"\\x{{1F1E6}}-\\x{{1F1FF}}0-9#*{_ranges(points)}"
+    pieces = find_all(text, f"{cluster}|[^{starts}]+|(?s:.)")
+    named = F.transform(
+        pieces, lambda p: F.when(p.rlike(f"^(?:{cluster})$"), F.concat(F.lit(" "), word_of(p), F.lit(" "))).otherwise(p)
+    )
+    return F.when(text.rlike(f"{symbol}|{FLAG}|\\x{{20E3}}"), F.array_join(named, "")).otherwise(text)
 
 
 # --- normal form ---------------------------------------------------------
