@@ -5,6 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -389,3 +392,98 @@ def test_pipeline(spark):
     assert set(kept["near_copies"]) == {1, 3, 4} and kept["secrets"][4] == "the place of [secret]\" here"
     packed = corpus_pipeline.STAGES[-1][1](spark, table, "").collect()
     assert {r["doc_id"] for r in packed} == {1, 3, 4} and len({r["sequence_id"] for r in packed}) == 1
+
+
+def seconds(job) -> float:
+    start = time.perf_counter()
+    job()
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize("unit", [
+    "30 84 00 00 ff ff 02 01 00 ", "30 84 00 0f 00 00 02 01 00 ", "-MA", "MIIEow_", "b3BlbnNzaC1rZXktdjEA-", "eyJ.", "30:82:",
+])
+def test_secret_scan_is_linear_in_repetitive_texts(unit):
+    def scan(size):
+        text = unit * (size // len(unit))
+        return seconds(lambda: secret_scan.confirmed_spans(text, [s for s in secret_scan.base_spans(text) if s[0] == "hex"]))
+
+    scan(50_000)
+    small, large = scan(250_000), scan(1_000_000)
+    assert large < 4 and large < 10 * small + 0.3
+
+
+def test_licence_scan_is_linear_in_repetitive_texts():
+    templates = licence_scan.Templates(list(licence_scan.TEMPLATES), 0.8)
+
+    def scan(size):
+        return seconds(lambda: licence_scan.scan_text("all " + "rights reserved " * (size // 16), templates))
+
+    scan(20_000)
+    small, large = scan(250_000), scan(1_000_000)
+    assert large < 10 * small + 0.3
+
+
+def windows_of_every_stretch(grams, known, least):
+    """Best end of each start, by trying all of them."""
+    best = []
+    for start, gram in enumerate(grams):
+        if gram in known:
+            tries = [
+                (2 * len(set(grams[start : end + 1]) & known) / (len(set(grams[start : end + 1])) + len(known)), -end)
+                for end in range(start, len(grams))
+            ]
+            dice, end = max(tries)
+            if dice >= least:
+                best.append((dice, start, -end))
+    kept = []
+    for dice, start, end in sorted(best, key=lambda x: (-x[0], x[1])):
+        if all(end < a or start > b for _, a, b in kept):
+            kept.append((round(dice, 9), start, end))
+    return kept
+
+
+def test_licence_windows_against_every_stretch():
+    rnd = random.Random(4)
+    for _ in range(120):
+        words = [rnd.randrange(rnd.choice([2, 3, 6, 14])) for _ in range(rnd.randrange(2, 50))]
+        grams, last, before = list(zip(words, words[1:])), {}, np.empty(len(words) - 1, np.int64)
+        for i, gram in enumerate(grams):
+            before[i] = last.get(gram, -1)
+            last[gram] = i
+        known = set(rnd.sample(sorted({(a, b) for a in range(14) for b in range(14)}), 5)) | set(rnd.sample(grams, min(3, len(grams))))
+        found = licence_scan.windows(grams, before, known, 0.4)
+        assert [(round(d, 9), a, b) for d, _, a, b in found] == windows_of_every_stretch(grams, known, 0.4)
+
+
+def test_base_secret_spans_against_plain_python(spark, sf_dir):
+    kinds = ["assign", "access", "hex"]
+    patterns = [
+        re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
+        re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+"),
+    ]
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = dict(tuple(r) for r in df.select("doc_id", "text").collect())
+    for row in secret_scan.find_secrets(df).collect():
+        spans = []
+        for order, (kind, pattern, least, group) in enumerate(zip(kinds, patterns, (12, 18, 16), (2, 0, 0))):
+            spans += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(texts[row["doc_id"]] or "")
+                      if len(m[group]) >= least]
+        assert row["base_sha256"] == hashlib.sha256(",".join(s for *_, s in sorted(spans)).encode()).hexdigest()
+
+
+def test_shards_against_plain_python(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = dict(tuple(r) for r in df.select("doc_id", "text").collect())
+    rows = sharding.interleaved_shards(df, shards=16).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+    counts = Counter(r["shard"] for r in rows)
+    assert set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
+    for shard, count in counts.items():
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(count))
+    for source, of in Counter(r["source"] for r in rows).items():
+        held = Counter(r["shard"] for r in rows if r["source"] == source)
+        assert max(abs(held[s] - of / 16) for s in range(16)) < 2

@@ -12,8 +12,9 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -104,27 +105,67 @@ def placed_words(text: str) -> tuple[list[str], list[int], list[int]]:
     return words, starts, ends
 
 
+class Firsts:
+    """The places from a start on where a bigram stands for the first time, kept while the start moves right.
+
+    Every place enters and leaves once, however often the text repeats itself.
+    """
+
+    def __init__(self, before: np.ndarray) -> None:
+        self.before = before.tolist()
+        after = np.full(len(before), len(before), np.int64)
+        again = np.flatnonzero(before >= 0)
+        after[before[again]] = again
+        self.after = after.tolist()
+        self.start = self.reach = 0
+        self.places: deque[int] = deque()
+
+    def moved(self, start: int, count: int) -> list[int]:
+        """The first ``count`` such places, or all."""
+        if start >= self.reach:
+            self.reach = start
+            self.places.clear()
+        else:
+            for place in range(self.start, start):
+                self.places.popleft()
+                if self.after[place] < self.reach:
+                    self._insert(self.after[place])
+        self.start = start
+        while self.reach < len(self.before) and len(self.places) < count:
+            if self.before[self.reach] < start:
+                self.places.append(self.reach)
+            self.reach += 1
+        return list(islice(self.places, count))
+
+    def _insert(self, place: int) -> None:
+        # A repeated bigram mostly comes back near the end of what is known.
+        back = []
+        while self.places and self.places[-1] > place:
+            back.append(self.places.pop())
+        self.places.append(place)
+        self.places.extend(reversed(back))
+
+
 def windows(grams: list[tuple[str, str]], before: np.ndarray, known: set, least: float) -> list[tuple[float, int, int, int]]:
     """Disjoint stretches of bigrams that reach the threshold, best first: coefficient, shared bigrams, first and last place.
 
-    ``before`` has the place where each bigram last was, or -1.  A best stretch begins with a shared bigram.
+    ``before`` has the place where each bigram last was, or -1.  A best
+    stretch begins with a shared bigram and ends with one that is new in it,
+    so only first places are looked at, as many as a stretch can hold.
     """
-    hit = np.fromiter((g in known for g in grams), bool, len(grams))
+    hit = [g in known for g in grams]
     size, found = len(known), []
     most = size * (2 - least) / least
-    for start in np.flatnonzero(hit).tolist():
-        width = int(most) + 2
-        while True:
-            new = before[start : start + width] < start
-            different = np.cumsum(new)
-            if different[-1] > most or start + width >= len(grams):
-                break
-            width *= 2
-        shared = np.cumsum(new & hit[start : start + width])
-        dice = np.where(different <= most + 1e-9, 2 * shared / (different + size), 0)
-        end = int(np.argmax(dice))
-        if dice[end] >= least:
-            found.append((float(dice[end]), int(shared[end]), start, start + end))
+    firsts, count = Firsts(before), int(most + 1e-9)
+    for start in (i for i, shared in enumerate(hit) if shared):
+        shared, best, best_shared, end = 0, 0.0, 0, start
+        for different, place in enumerate(firsts.moved(start, count), 1):
+            shared += hit[place]
+            dice = 2 * shared / (different + size)
+            if dice > best:
+                best, best_shared, end = dice, shared, place
+        if best >= least:
+            found.append((best, best_shared, start, end))
     taken: list[tuple[int, int]] = []
     kept = []
     for window in sorted(found, key=lambda x: (-x[0], x[2])):

@@ -14,7 +14,8 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -149,70 +150,179 @@ def is_block(label: str, body: str) -> bool:
     return bool(is_key(data) or ciphered or label.startswith("ENCRYPTED") and der_items(data))
 
 
-def joined(text: str, at: int, size: int, chars: re.Pattern, gap: re.Pattern) -> tuple[bytes, int] | None:
-    """The first ``size`` bytes encoded from ``at`` on, whatever lines they are on, and their end."""
-    need = 2 * size if chars is HEX_CHARS else -(-4 * size // 3)
-    parts: list[str] = []
-    if need > len(text) - at:
-        return None
-    while need:
-        m = chars.match(text, at)
-        if not m:
-            return None
-        parts.append(m[0][:need])
-        need, at = need - len(parts[-1]), at + len(parts[-1])
-        if need:
-            m = gap.match(text, at)
-            if not m:
-                return None
+class Stretch:
+    """Encoded characters that follow each other, on one line or on several, without what stands between the lines."""
+
+    def __init__(self, in_hex: bool) -> None:
+        self.in_hex = in_hex
+        self.starts: list[int] = []  # of each line, in the text
+        self.before: list[int] = []  # characters in earlier lines
+        self.parts: list[str] = []
+        self.size = 0
+
+    def add(self, start: int, part: str) -> None:
+        self.starts.append(start)
+        self.before.append(self.size)
+        self.parts.append(part)
+        self.size += len(part)
+
+    def close(self) -> Stretch:
+        self.chars = "".join(self.parts)
+        return self
+
+    def index(self, at: int) -> int:
+        """Number of the character that stands at ``at`` in the text."""
+        line = bisect_right(self.starts, at) - 1
+        return self.before[line] + at - self.starts[line]
+
+    def place(self, index: int) -> int:
+        """Where in the text the character before ``index`` ends."""
+        line = bisect_right(self.before, index - 1) - 1
+        return self.starts[line] + index - self.before[line]
+
+    def line_end(self, at: int) -> int:
+        line = bisect_right(self.starts, at) - 1
+        return self.starts[line] + len(self.parts[line])
+
+    def peek(self, start: int, offset: int, count: int) -> bytes:
+        """``count`` bytes at ``offset`` behind the character ``start``; fewer at the end or where nothing decodes."""
+        if self.in_hex:
+            return bytes.fromhex(self._even(self.chars[start + 2 * offset : start + 2 * (offset + count)]))
+        skip, lead = divmod(offset, 3)
+        body = self.chars[start + 4 * skip : start + 4 * (skip + (lead + count + 2) // 3)]
+        data = from_base64(body if len(body) % 4 != 1 else body[:-1]) or b""
+        return data[lead : lead + count]
+
+    @staticmethod
+    def _even(digits: str) -> str:
+        return digits[: len(digits) // 2 * 2]
+
+    def characters(self, size: int) -> int:
+        return 2 * size if self.in_hex else -(-4 * size // 3)
+
+
+def stretches(text: str, chars: re.Pattern, gap: re.Pattern) -> list[Stretch]:
+    """All stretches of a text in order, each character read once."""
+    found, at = [], 0
+    while m := chars.search(text, at):
+        stretch = Stretch(chars is HEX_CHARS)
+        while m:
+            stretch.add(m.start(), m[0])
             at = m.end()
-    data = bytes.fromhex("".join(parts)) if chars is HEX_CHARS else from_base64("".join(parts))
-    return (data[:size], at) if data else None
+            between = gap.match(text, at)
+            m = chars.match(text, between.end()) if between else None
+        found.append(stretch.close())
+    return found
 
 
-def key_size(text: str, at: int, chars: re.Pattern, gap: re.Pattern) -> int | None:
-    """How many bytes a key that starts at ``at`` says that it has."""
-    take = lambda size: (joined(text, at, size, chars, gap) or (b"",))[0]
-    head = take(9)
-    if head[:1] == b"\x30":
-        wide = head[1] & 0x7F if head[1] >= 0x80 else 0
-        if wide > 4 or head[1] == 0x80 or head[2 + wide : 4 + wide] != b"\x02\x01":
+def der_key_size(peek: Callable[[int, int], bytes], available: int) -> int | None:
+    """Size of the private key that begins here, read item by item without decoding what the items hold.
+
+    The same shape that ``is_der_key`` asks for; an item of a wrong kind or
+    size ends the reading.
+    """
+    def header(at: int) -> tuple[int, int, int] | None:
+        head = peek(at, 6)
+        if len(head) < 2:
             return None
-        return 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
-    if take(len(OPENSSH)) != OPENSSH:
+        tag, size, behind = head[0], head[1], 2
+        if size >= 0x80:
+            wide = size & 0x7F
+            if not 1 <= wide <= 4 or len(head) < 2 + wide:
+                return None
+            size, behind = int.from_bytes(head[2 : 2 + wide], "big"), 2 + wide
+        return tag, at + behind, at + behind + size
+
+    outer = header(0)
+    if not outer or outer[0] != SEQUENCE or not LEAST_DATA <= outer[2] <= available:
+        return None
+    version = header(outer[1])
+    if not version or version[0] != INTEGER or version[2] - version[1] != 1 or peek(version[1], 1) not in (b"\0", b"\1"):
+        return None
+    rest: list[tuple[int, int, int]] = []
+    at = version[2]
+    while at < outer[2]:
+        item = header(at)
+        if not item or item[2] > outer[2]:
+            return None
+        rest.append(item)
+        tags = [tag for tag, _, _ in rest[:2]]
+        if tags[0] not in (INTEGER, OCTETS) and tags[:2] not in ([SEQUENCE], [SEQUENCE, OCTETS]) or tags[0] == INTEGER and item[0] != INTEGER:
+            return None
+        at = item[2]
+    if not rest:
+        return None
+    tags = [tag for tag, _, _ in rest]
+    if tags[:2] == [SEQUENCE, OCTETS]:
+        parts = header(rest[0][1])
+        found = bool(parts) and parts[0] == 0x06 and der_items(peek(rest[0][1], rest[0][2] - rest[0][1])) is not None
+    else:
+        curve = tags[0] == OCTETS and rest[0][2] - rest[0][1] >= 16
+        found = curve or len(tags) >= 5 and all(tag == INTEGER for tag in tags)
+    return outer[2] if found else None
+
+
+def openssh_size(peek: Callable[[int, int], bytes], available: int, fields: int) -> int | None:
+    """Size of OpenSSH key data up to its field ``fields``, if that many fit."""
+    if peek(0, len(OPENSSH)) != OPENSSH:
         return None
     size = len(OPENSSH)
-    for field in range(5):  # cipher, derivation, its options, after a count the public key, the private keys
+    for field in range(fields):  # cipher, derivation, its options, after a count the public key, the private keys
         size += 4 if field == 3 else 0
-        found = take(size + 4)
-        if not found:
+        head = peek(size, 4)
+        if len(head) < 4:
+            return None
+        size += 4 + int.from_bytes(head, "big")
+        if size > available:
             return None
-        size += 4 + int.from_bytes(found[size:], "big")
     return size
 
 
 def key_runs(text: str, encoded: str) -> Iterator[tuple[int, int]]:
-    """Where base64 or hex of key data starts and ends, on one line or on several."""
+    """Where base64 or hex of key data starts and ends, on one line or on several.
+
+    A place is decided by the sizes that its first items claim, so a text of
+    many places is read a few bytes at each.
+    """
     in_hex = encoded == "hex"
     chars, gap = (HEX_CHARS, HEX_GAP) if in_hex else (BASE64_CHARS, GAP)
+    starts = sorted(m.start() for p in (HEX_STARTS if in_hex else STARTS) for m in p.finditer(text))
+    if not starts:
+        return
+    runs = stretches(text, chars, gap)
+    first = [run.starts[0] for run in runs]
+    plain = {} if in_hex else {m.start(): m.end() for m in PLAIN_CHARS.finditer(text)}
+    plain_starts = sorted(plain)
     last = 0
-    for at in sorted(m.start() for p in (HEX_STARTS if in_hex else STARTS) for m in p.finditer(text)):
+    for at in starts:
         before = text[at - 1 : at] if text[at - 2 : at] not in ("\\n", "\\r", "\\t") else ""
         if at < last or before and (HEX_CHARS.match(before) if in_hex else before.isascii() and (before.isalnum() or before in "+/")):
             continue
-        # A run that is a key as a whole, as OpenSSH data may be cut short behind the public key.
-        for form in (chars,) if in_hex else (chars, PLAIN_CHARS):
-            run = form.match(text, at)
-            data = from_base64(run[0]) if not in_hex else bytes.fromhex(run[0]) if len(run[0]) % 2 == 0 else None
-            if data and len(data) >= LEAST_DATA and is_key(data):
-                end = run.end()
+        run = runs[bisect_right(first, at) - 1]
+        begin = run.index(at)
+
+        def peek(offset: int, count: int, run: Stretch = run, begin: int = begin) -> bytes:
+            return run.peek(begin, offset, count)
+
+        available = (run.size - begin) * (1 if in_hex else 3) // (2 if in_hex else 4)
+        end = None
+        # A run that is OpenSSH data as a whole, as it may be cut short behind the public key.
+        magic, ends = text[at] in "b6", []
+        if magic:
+            ends = [run.line_end(at)] if in_hex else [run.line_end(at), plain[plain_starts[bisect_right(plain_starts, at) - 1]]]
+        for stop in ends:
+            whole = stop - at
+            if whole % 2 if in_hex else whole % 4 == 1:
+                continue
+            size = whole // 2 if in_hex else whole * 3 // 4
+            if size >= LEAST_DATA and openssh_size(peek, size, 4):
+                end = stop
                 break
-        else:
-            size = key_size(text, at, chars, gap)
-            found = joined(text, at, size, chars, gap) if size and size >= LEAST_DATA else None
-            if not found or not is_key(found[0]):
+        if end is None:
+            size = openssh_size(peek, available, 5) if magic else der_key_size(peek, available)
+            if not size or size < LEAST_DATA:
                 continue
-            end = found[1]
+            end = run.place(begin + run.characters(size))
         if not in_hex:
             end = PADDING.match(text, end).end()
         after = text[end : end + 1]
