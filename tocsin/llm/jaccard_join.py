@@ -53,6 +53,8 @@ BUCKET_CODES = 400_000
 KEY_RANGES = 256
 #: Longs of a set's parity bitmap, which tells most pairs that are too different.
 BITMAP = 8
+#: Sets whose tokens are counted and listed together.
+CHUNK_NODES = 1_024
 #: Rounds of leaders at most; what they leave unlinked is checked pair by pair.
 TURNS = 4
 #: About so many rows of an inverted list count as its cost.
@@ -372,45 +374,107 @@ def _nodes(texts: DataFrame, classes: DataFrame, shingles: int, width: int, perc
     ))
 
 
-def _listed(nodes: DataFrame, percent: int) -> DataFrame:
-    """The shingles that each set has in common with others, and the first of them by frequency.
+def _chunk_cells(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """How many sets of a chunk have each token, packed by bucket of tokens."""
+    for batch in batches:
+        chunks = batch.column("_chunk").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            if start == stop:
+                continue
+            flat = batch.column("_tokens").slice(start, stop - start).flatten().to_numpy()
+            tokens, counts = np.unique(flat, return_counts=True)
+            bucket = (tokens.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True]) if len(order) else [0]
+            parts = [order[low:high] for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(bucket[p[0]]) for p in parts], pa.int64()),
+                    pa.array([int(chunks[start])] * len(parts), pa.int64()),
+                    pa.array([tokens[p].tobytes() for p in parts], pa.binary()),
+                    pa.array([counts[p].astype(np.int32).tobytes() for p in parts], pa.binary()),
+                ],
+                ["_bucket", "_chunk", "_codes", "_counts"],
+            )
 
-    ``_node, _n, _need, _p1, _listed, _shared``; sets with too few are left out.
-    """
-    tokens = nodes.select("_node", F.explode("_tokens").alias("_token"))
-    frequent = tokens.groupBy("_token").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
-    ordered = tokens.join(frequent, "_token").groupBy("_node").agg(
-        F.sort_array(F.collect_list(F.struct("_df", "_token"))).alias("_all")
-    )
-    need = F.ceil(F.col("_n") * percent / 100)
-    return pin(
-        nodes.select("_node", "_n").join(ordered, "_node")
-        .withColumns({"_need": need, "_p1": (F.size("_all") - need + 1).cast("int")})
-        .filter("_p1 > 0")
-        .select(
-            "_node", "_n", "_need", "_p1", F.slice("_all", 1, F.col("_p1") + 1).alias("_listed"),
-            F.transform("_all", lambda x: x["_token"]).alias("_shared"),
-        )
-        .withColumn("_bits", _bitmap(F.col("_shared")))
-    )
 
+def _cell_frequencies(cells: pa.Table) -> pa.Table:
+    """For each chunk those of its tokens in this bucket that more than one set has, with how many have them."""
+    codes = [np.frombuffer(x, np.int64) for x in cells.column("_codes").to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.int32) for x in cells.column("_counts").to_pylist()])
+    _, where = np.unique(np.concatenate(codes), return_inverse=True)
+    total = np.bincount(where, counts).astype(np.int64)[where]
+    ends = np.cumsum([len(x) for x in codes])
+    parts = [(x, total[end - len(x) : end]) for x, end in zip(codes, ends.tolist(), strict=True)]
+    return pa.table({
+        "_chunk": cells.column("_chunk"),
+        "_codes": pa.array([x[n > 1].tobytes() for x, n in parts], pa.binary()),
+        "_dfs": pa.array([n[n > 1].tobytes() for _, n in parts], pa.binary()),
+    })
 
-def _bitmap(tokens: Column) -> Column:
-    """For each place of a bitmap whether an odd number of the tokens fall on it.
 
-    Two sets differ in at least as many tokens as their bitmaps differ in
-    places.
-    """
-    one = F.lit(1).cast("long")
+LISTED = (
+    "_node long, _n long, _need long, _p1 int, _listed array<struct<_df: long, _token: long>>, _shared array<long>, _bits array<long>"
+)
+
+
+def _listed_rows(sets: pa.Table, found: pa.Table, percent: int) -> pa.Table:
+    """The sets of one chunk with the tokens they share; see ``_listed``."""
+    codes = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in found.column("_codes").to_pylist())])
+    dfs = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in found.column("_dfs").to_pylist())])
+    order = np.argsort(codes)
+    codes, dfs = np.append(codes[order], 0), np.append(dfs[order], 0)  # the last entry stands for no token
+    tokens = sets.column("_tokens").combine_chunks()
+    sizes = sets.column("_n").to_numpy()
+    flat, owner = tokens.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    at = np.searchsorted(codes[:-1], flat)
+    known = (codes[at] == flat) & (dfs[at] > 0)
+    flat, owner, df = flat[known], owner[known], dfs[at[known]]
+    order = np.lexsort((flat, df, owner))
+    flat, owner, df = flat[order], owner[order], df[order]
+    shared = np.bincount(owner, minlength=len(sizes))
+    need = -(-percent * sizes // 100)
+    first = shared - need + 1
+    kept = first > 0
+    # For each place of a bitmap whether an odd number of the tokens fall on it: two sets
+    # differ in at least as many tokens as their bitmaps differ in places.
+    place = owner * (64 * BITMAP) + (flat % BITMAP) * 64 + ((flat >> 8) & 63)
+    odd = (np.bincount(place, minlength=64 * BITMAP * len(sizes)) & 1).astype(np.uint8).reshape(-1, 64)
+    bits = np.packbits(odd, axis=1, bitorder="little").view("<i8").reshape(-1, BITMAP)[kept]
+    rank = np.arange(len(flat)) - np.repeat(np.cumsum(shared) - shared, shared)
+    in_kept = kept[owner]
+    listed = in_kept & (rank <= first[owner])
+    list_sizes = np.bincount(owner[listed], minlength=len(sizes))[kept]
+
+    def lists(values: pa.Array, lengths: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), values)
+
+    pairs = pa.StructArray.from_arrays([pa.array(df[listed]), pa.array(flat[listed])], ["_df", "_token"])
+    return pa.table({
+        "_node": sets.column("_node").to_numpy()[kept], "_n": sizes[kept], "_need": need[kept],
+        "_p1": first[kept].astype(np.int32), "_listed": lists(pairs, list_sizes),
+        "_shared": lists(pa.array(flat[in_kept]), shared[kept]),
+        "_bits": lists(pa.array(bits.ravel()), np.full(int(kept.sum()), BITMAP)),
+    })
 
-    def part(i: int) -> Column:
-        mine = F.filter(tokens, lambda t: F.pmod(t, F.lit(BITMAP)) == i)
-        place = lambda t: F.pmod(F.shiftright(t, 8), F.lit(64)).cast("int")
-        return F.aggregate(
-            mine, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, place(t)))
-        )
 
-    return F.array(*[part(i) for i in range(BITMAP)])
+def _listed(nodes: DataFrame, percent: int) -> DataFrame:
+    """The shingles that each set has in common with others, and the first of them by frequency.
+
+    ``_node, _n, _need, _p1, _listed, _shared, _bits``; sets with too few are
+    left out.  Sets are taken in chunks; a chunk asks for each of its tokens
+    once, so one that most sets have is met once a chunk.
+    """
+    total = nodes.agg(F.sum("_n")).first()[0] or 0
+    buckets = max(16, total // BUCKET_CODES)
+    chunked = nodes.select(F.floor(F.col("_node") / CHUNK_NODES).cast("long").alias("_chunk"), "_node", "_n", "_tokens")
+    cells = chunked.select("_chunk", "_tokens").mapInArrow(
+        lambda it: _chunk_cells(it, buckets), "_bucket long, _chunk long, _codes binary, _counts binary"
+    )
+    found = cells.groupBy("_bucket").applyInArrow(_cell_frequencies, "_chunk long, _codes binary, _dfs binary")
+    joined = chunked.groupBy("_chunk").cogroup(found.groupBy("_chunk"))
+    return pin(joined.applyInArrow(lambda sets, dfs: _listed_rows(sets, dfs, percent), LISTED))
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
