@@ -2,9 +2,9 @@
 
 The model file is parsed from its protobuf form and rebuilt: normaliser,
 blank marker, unigram scores or merges, and byte fallback.  Texts are cut
-before each blank where no piece can reach across, and words seen before are
-looked up; new ones are encoded together, on several threads, and compared
-with what the sentencepiece library gives.
+before each blank where no piece can reach across; the different words of a
+batch are encoded together and each text's ids put together from them.  The
+sentencepiece library encodes the raw texts, and whole ids are compared.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 EDGE = re.compile(f"(?<=[^{MARK}])(?={MARK})")
-CACHED, CACHED_LENGTH = 200_000, 64
+#: Bytes of texts that are cut into words together.
+TOGETHER = 2_000_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -153,8 +156,8 @@ class Pieces:
         self.cuts = self.model.escape and not any(
             MARK in p.lstrip(MARK) for p, _, kind in self.model.pieces if kind in (NORMAL, USER)
         )
-        self.known: dict[str, tuple[bytes, bool]] = {}
         self.spelled = [self._spelled(*p) for p in self.model.pieces]
+        self.bytes_of = pa.array(self.spelled, pa.binary())
 
     def _spelled(self, piece: str, _: float, kind: int) -> bytes:
         if kind == BYTE:
@@ -179,33 +182,64 @@ class Pieces:
         marked = self.marked(normal)
         return EDGE.split(marked) if self.cuts else [marked] if marked else []
 
-    def _learn(self, units: list[str]) -> dict[str, tuple[bytes, bool]]:
-        own = [code.ids for code in self.tokenizer.encode_batch(units, add_special_tokens=False)]
-        plain = [u.replace(MARK, " ") for u in units]
-        # The other library would add a blank of its own, so a word with one follows a letter, which is taken off.
-        after = ["a" if self.cuts and u.startswith(MARK) else "" for u in units]
-        if self.model.dummy_prefix:
-            plain = [p if a else p.removeprefix(" ") for p, a in zip(plain, after, strict=True)]
-        skip = len(self.peer.encode("a"))
-        found = self.peer.encode([a + p for a, p in zip(after, plain, strict=True)], num_threads=2)
-        theirs = [ids[skip:] if a else ids for a, ids in zip(after, found, strict=True)]
-        return {
-            u: (np.array(a, np.uint32).tobytes(), a == b) for u, a, b in zip(units, own, theirs, strict=True)
-        }
+    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units one after another, and how many each has."""
+        found = [code.ids for code in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+
+    def _lists(self, normal: list[str]) -> pa.ListArray:
+        """The units of each text, most of them cut column by column."""
+        marked = [self.marked(n) for n in normal]
+        if self.cuts and self.model.dummy_prefix and not any(MARK + MARK in m for m in marked):
+            # Every unit of such texts begins with one mark.
+            lists = pc.split_pattern(pa.array([m[1:] for m in marked], pa.string()), MARK)
+            flat = pc.binary_join_element_wise(MARK, lists.flatten(), "")
+            return pa.ListArray.from_arrays(lists.offsets, flat)
+        return pa.array([[u for u in self.units(n) if u] for n in normal], pa.list_(pa.string()))
+
+    def _own(self, normal: list[str]) -> list[np.ndarray]:
+        """Ids of texts without an empty one; a unit is encoded once for all of them."""
+        lists = self._lists(normal)
+        offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        flat = lists.flatten().dictionary_encode()
+        ids, counts = self._learn(flat.dictionary.to_pylist())
+        chosen = flat.indices.to_numpy().astype(np.int64)
+        lengths = counts[chosen]
+        ends = np.cumsum(lengths)
+        starts = np.cumsum(counts) - counts
+        placed = ids[np.repeat(starts[chosen] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        return np.split(placed, np.r_[0, ends][offsets[1:-1]])
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """For each text the little-endian 32-bit ids and whether both libraries agree on all its words."""
-        cut = [[u for u in self.units(self.normal(t)) if u] for t in texts]
-        new = self._learn(list({u: None for units in cut for u in units if u not in self.known}))
-        known, found = self.known, []
-        for units in cut:
-            hits = [known.get(u) or new[u] for u in units]
-            found.append((b"".join([h[0] for h in hits]), all([h[1] for h in hits])))
-        if len(self.known) > CACHED:
-            self.known.clear()
-        self.known.update((u, x) for u, x in new.items() if len(u) <= CACHED_LENGTH)
+        """For each text the little-endian 32-bit ids and whether the other library gives the same for the raw text."""
+        found: list[tuple[bytes, bool]] = []
+        normal = [self.normal(t) for t in texts]
+        full = [i for i, n in enumerate(normal) if n]
+        plain = [i for i in full if "  " not in normal[i] and MARK not in normal[i] and not normal[i].startswith(" ")]
+        own = [b""] * len(texts)
+        for part in (plain, sorted(set(full) - set(plain))):
+            if part:
+                for i, ids in zip(part, self._own([normal[i] for i in part]), strict=True):
+                    own[i] = ids.astype("<u4").tobytes()
+        for ids, theirs in zip(own, self.peer.encode(texts, num_threads=1), strict=True):
+            found.append((ids, ids == np.array(theirs, "<u4").tobytes()))
         return found
 
+    def gives_back(self, ids: list[bytes], normal: list[str]) -> list[bool]:
+        """Whether decoding gives each normalised text back."""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        spelled = self.bytes_of.take(pa.array(flat.astype(np.int64)))
+        # What is taken lies in one buffer, in order.
+        data = spelled.buffers()[2].to_pybytes() if len(flat) else b""
+        offsets = np.frombuffer(spelled.buffers()[1], np.int32)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+        cuts = offsets[np.r_[0, np.cumsum([len(x) // 4 for x in ids])]].astype(np.int64)
+        lead = " " if self.model.dummy_prefix else ""
+        return [
+            data[a:b] == (lead + n if n else "").encode() or self.decode(x) == n
+            for x, n, a, b in zip(ids, normal, cuts[:-1], cuts[1:], strict=True)
+        ]
+
     def decode(self, ids: bytes) -> str:
         """The text of some ids; bytes that are no UTF-8 become replacement characters."""
         spelled = self.spelled
@@ -221,12 +255,14 @@ def pieces(path: str) -> Pieces:
 def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         coder, rows = pieces(path), []
-        for start in range(0, batch.num_rows, 256):
-            texts = [t.as_py() or "" for t in batch.column("_text").slice(start, 256)]
-            for text, (ids, parity) in zip(texts, coder.encode_batch(texts), strict=True):
-                same = coder.decode(ids) == coder.normal(text)
-                listed = np.frombuffer(ids, np.uint32) if with_ids else None
-                rows.append((len(ids) // 4, zlib.crc32(ids), parity, same, listed))
+        given = pc.fill_null(batch.column("_text"), "")
+        runs = np.cumsum(pc.binary_length(given).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
+        for part in np.split(np.arange(len(given)), np.flatnonzero(np.diff(runs)) + 1) if len(given) else ():
+            texts = given.slice(int(part[0]), len(part)).to_pylist()
+            found = coder.encode_batch(texts)
+            same = coder.gives_back([ids for ids, _ in found], [coder.normal(t) for t in texts])
+            for (ids, parity), back in zip(found, same, strict=True):
+                rows.append((len(ids) // 4, zlib.crc32(ids), parity, back, np.frombuffer(ids, np.uint32) if with_ids else None))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays(
@@ -240,8 +276,8 @@ def encode(
 ) -> DataFrame:
     """Ids of every text: ``doc_id, n_tokens, ids_crc32, parity, round_trip, ids``.
 
-    ``parity`` says whether the sentencepiece library encodes all words of
-    the text alike, ``round_trip`` whether decoding gives the normalised text
+    ``parity`` says whether the sentencepiece library gives the raw text the
+    same ids, ``round_trip`` whether decoding gives the normalised text
     back.  Null counts as empty and has no ids; repeated rows are encoded
     alike.  Ids are left out (null) unless ``with_ids``.
     """
