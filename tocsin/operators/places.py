@@ -201,11 +201,12 @@ def geocode(
     countries.
     """
     hint = F.concat(F.lit("="), F.upper(country_col)) if country_col else F.lit(None).cast("string")
-    asked = mentions.withColumns({
+    # Requests and mentions are read from it: written once, or the texts would be searched twice.
+    asked = materialise(mentions.withColumns({
         "_key": F.when(~is_blank(F.col(name_col)), name_key(F.col(name_col))).otherwise(""),
         "_hint": F.coalesce(hint, F.lit(ANYWHERE)),
         "_salt": F.pmod(F.xxhash64("message_id"), F.lit(SALTS)),
-    })
+    }), "mentions")
     salted = asked.where("_key <> ''").select("_key", "_hint", "_salt").distinct()
     requests = salted.select("_key", "_hint").distinct()
     answers = look_up(requests, gazetteer) if lookups is None else lookups.answer(requests, gazetteer)
