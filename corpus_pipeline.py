@@ -17,9 +17,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told, having no letter, go; ambiguous ones stay."""
+    """Documents without a letter go; ambiguous ones stay, and all with letters if no language could be learnt."""
     found = language_codes.identify(docs, carry=COLUMNS)
-    return found.filter(F.col("lang_pred") != language_codes.UNDETERMINED).select("carried.*")
+    told = F.col("lang_pred") != language_codes.UNDETERMINED
+    return found.filter(told | F.col("carried.text").rlike(r"\p{L}")).select("carried.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +37,21 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least id stays; rows without id stay."""
-    least = jaccard_join.jaccard_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(least, "doc_id", "left_semi").select(*COLUMNS)
-    return named.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    """Of each group of similar documents the one with the least id stays; a null id counts as the largest.
+
+    Rows are told apart by a code of id and text, so several texts of one id
+    and rows without id are compared like others, and of rows that repeat
+    both one stays.
+    """
+    coded = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
+    groups = jaccard_join.jaccard_groups(coded, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    least = (
+        groups.distinct().join(coded.select("_row", "doc_id").distinct(), "_row")
+        .groupBy("component_id").agg(F.min(rank).alias("_first"))
+        .select(F.col("_first._row").alias("_row"))
+    )
+    return coded.join(least, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
