@@ -394,6 +394,30 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed} == {1, 3, 4} and len({r["sequence_id"] for r in packed}) == 1
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_keeps_letters_without_any_language(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12 34", None, "s", 5), (None, None, None, None, None)], DOCUMENTS)
+    assert [r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [1]
+
+
+def test_pipeline_near_copies_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    base, other = (" ".join(f"{x}{i} and then" for i in range(40)) for x in ("word", "thing"))
+    rows = [(3, base), (3, other), (3, base), (None, base + " more"), (5, other + " more"), (None, "alone here"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCUMENTS)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    found = sorted(((r["doc_id"], r["text"]) for r in kept), key=str)
+    assert found == sorted([(3, base), (3, other), (None, "alone here"), (7, None), (8, "")], key=str)
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+
+
 def seconds(job) -> float:
     start = time.perf_counter()
     job()
