@@ -1,5 +1,8 @@
 """Urgency, event types, relevance and language rules."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,13 @@ from pyspark.sql import functions as F
 from tocsin import config as C
 from tocsin.functions.vectors import learn_prototypes, with_word_codes
 from tocsin.operators.event_types import label_event_types, scores_to_arrays
-from tocsin.operators.language import detect_language, load_language_model, save_language_model, train_language_model
+from tocsin.operators.language import (
+    BUCKETS,
+    detect_language,
+    load_language_model,
+    save_language_model,
+    train_language_model,
+)
 from tocsin.operators.relevance import decide_relevance, score_with_model, score_with_prototypes
 from tocsin.operators.training import area_under_roc, load_model, save_model, train_relevance
 from tocsin.operators.urgency import matched_keywords, score_urgency
@@ -96,7 +105,8 @@ def test_language(spark, sf_dir, tmp_path):
     model = train_language_model(docs.where("doc_id % 2 = 0"))
     save_language_model(model, spark, str(tmp_path / "lm"))
     again = load_language_model(spark, str(tmp_path / "lm"))
-    assert again.languages == model.languages and np.allclose(again.log_prob, model.log_prob)
+    assert again.languages == model.languages and np.allclose(again.floor, model.floor)
+    assert all((getattr(again, x) == getattr(model, x)).all() for x in ("starts", "columns", "weights"))
     rows = detect_language(docs.where("doc_id % 2 = 1"), again, text_col="text").collect()
     right = sum(r.lang == r.lang_code for r in rows)
     assert right / len(rows) > 0.95
@@ -107,6 +117,65 @@ def test_language(spark, sf_dir, tmp_path):
     assert got[2].lang_method == "trigram"
 
 
+def plain_shares(train, texts):
+    """Posterior of the best language by add-one smoothed trigram buckets, in plain Python."""
+    def codes(text):
+        points = [ord(c) for c in " " + text.lower().replace("\n", " ").strip(" ") + " "]
+        return [(a * 961 + b * 31 + c) % BUCKETS for a, b, c in zip(points, points[1:], points[2:])]
+
+    counts, rows = {}, {}
+    for text, lang in train:
+        counts.setdefault(lang, Counter()).update(codes(text))
+        rows[lang] = rows.get(lang, 0) + 1
+    for text in texts:
+        scores = {
+            lang: math.log(rows[lang] / len(train))
+            + sum(math.log((seen[c] + 1) / (seen.total() + BUCKETS)) for c in codes(text))
+            for lang, seen in counts.items()
+        }
+        best = max(sorted(scores), key=scores.get)
+        yield best, 1 / sum(math.exp(s - scores[best]) for s in scores.values())
+
+
+def test_language_confidence_equals_dense_scores(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("trim(text) <> ''")
+    train = [(r.text, r.lang) for r in docs.where("doc_id % 2 = 0").select("text", "lang").collect()]
+    pieces = docs.where("doc_id % 2 = 1").select("doc_id", F.substring("text", 1, 12).alias("text")).where("trim(text) <> ''")
+    model = train_language_model(spark.createDataFrame(train, "text string, lang string"))
+    rows = detect_language(pieces, model, text_col="text").orderBy("doc_id").collect()
+    want = list(plain_shares(train, [r.text for r in rows]))
+    assert len(rows) > 80 and [r.lang_code for r in rows] == [w[0] for w in want]
+    assert max(abs(r.lang_confidence - w[1]) for r, w in zip(rows, want, strict=True)) < 0.01
+
+
+def test_many_languages_stay_small(spark):
+    rng = np.random.default_rng(5)
+    made = ["".join(x) for x in zip(*[iter("".join(chr(97 + i // 26) + chr(97 + i % 26) for i in range(176)))] * 2)]
+    words = {lang: ["".join(map(chr, rng.integers(0x100, 0x250, 6))) for _ in range(300)] for lang in made}
+    def text(lang):
+        return " ".join(rng.choice(words[lang], 60))
+    train = spark.createDataFrame([(text(lang), lang) for lang in made for _ in range(20)], "text string, lang string")
+    model = train_language_model(train)
+    assert len(model.languages) == 176 and model.nbytes < 20 << 20
+    held = spark.createDataFrame([(lang, text(lang)) for lang in made for _ in range(3)], "lang string, text string")
+    assert detect_language(held, model, text_col="text").where("lang = lang_code").count() == held.count()
+    small = train_language_model(train, max_bytes=176 * 4 * 400)
+    assert np.bincount(small.columns).max() == 400
+    assert detect_language(held, small, text_col="text").where("lang = lang_code").count() > 0.95 * held.count()
+    with pytest.raises(ValueError):
+        train_language_model(train, max_bytes=1000)
+
+
+def test_dirty_labels_make_no_languages(spark):
+    rows = [("some english words", "EN"), ("more english words", "en-GB"), ("english too", " en_us "), ("unas palabras", "es")]
+    junk = [(f"text {i}", x) for i, x in enumerate(["", "12", "unknown!", "https://x.y", "und", None, "e", "english"])]
+    model = train_language_model(spark.createDataFrame(rows + junk, "text string, lang string"))
+    assert model.languages == ("en", "es") and np.allclose(np.exp(model.log_prior), [0.75, 0.25])
+    none = train_language_model(spark.createDataFrame(junk, "text string, lang string"))
+    found = detect_language(spark.createDataFrame(rows, "text string, lang string"), none, text_col="text").collect()
+    assert none.languages == () and {(r.lang_code, r.lang_method) for r in found} == {("und", "failed")}
+
+
 def test_training(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(
         "doc_id", "text", "text AS cleaned_text", "CASE WHEN lang = 'en' THEN 'rescue' ELSE 'Not_Humanitarian' END AS label"

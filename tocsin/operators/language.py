@@ -1,9 +1,10 @@
 """Language of a message from character trigrams.
 
 The model is learnt from a table of labelled texts.  Trigrams are hashed into
-a fixed number of buckets, so the model has the same size however much text
-or however many scripts it has seen, and scoring is a projection that needs
-neither a join nor a shuffle.
+a fixed number of buckets, and only what a language has seen is kept, as a
+sparse table of fixed-point weights with a bound on its bytes.  So hundreds of
+languages fit into a few MB however much text there was, and scoring is a
+projection that needs neither a join nor a shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,18 @@ from tocsin.functions.text import is_blank
 
 BUCKETS = 1 << 15
 METHOD = "trigram"
+#: Weights are natural logarithms in steps of 1 / SCALE.
+SCALE = 1024
+#: Bytes of an entry: a column number and a weight of two bytes each.
+ENTRY_BYTES = 4
+#: The sparse table is never larger; each language has an equal share of it.
+MAX_BYTES = 16 << 20
+#: With a smaller share a language could not be told from others.
+LEAST_ENTRIES = 128
+#: What counts as a label, once trimmed, lower-cased and cut at its first - or _.
+LABEL = "[a-z]{2,3}"
+#: Scores of one step of the scoring loop, and entries that it expands, about.
+STEP = 1 << 20
 
 
 def with_trigram_codes(df: DataFrame, text_col: str, name: str = "_codes") -> DataFrame:
@@ -39,11 +52,58 @@ def with_trigram_codes(df: DataFrame, text_col: str, name: str = "_codes") -> Da
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log probabilities, one row per bucket and one column per language."""
+    """For each bucket the languages that know it and how much more likely it is than an unseen one.
+
+    The entries of bucket ``b`` are ``starts[b]`` to ``starts[b + 1]``.  A
+    text's score in a language is its prior, plus ``floor`` for each trigram,
+    plus the weights of those that the language knows.
+    """
 
     languages: tuple[str, ...]
     log_prior: np.ndarray
-    log_prob: np.ndarray
+    floor: np.ndarray
+    starts: np.ndarray
+    columns: np.ndarray
+    weights: np.ndarray
+
+    @property
+    def nbytes(self) -> int:
+        arrays = (self.log_prior, self.floor, self.starts, self.columns, self.weights)
+        return sum(x.nbytes for x in arrays)
+
+    def scores(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """One row for each text, one column for each language; ``codes`` holds the texts one after another."""
+        width = len(self.languages)
+        scores = self.log_prior + lengths[:, None] * self.floor
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        counts = np.diff(self.starts)
+        known = counts[codes]
+        ends = np.cumsum(known)
+        low = 0
+        while low < len(codes):
+            # A step is bounded by its entries and by the texts that it touches.
+            done = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, done + STEP, "right")))
+            first = owner[low]
+            high = min(high, max(low + 1, int(np.searchsorted(owner, first + max(1, STEP // width), "left"))))
+            size = known[low:high]
+            shift = self.starts[codes[low:high]] - (np.cumsum(size) - size)
+            at = np.arange(size.sum()) + np.repeat(shift, size)
+            cell = np.repeat(owner[low:high] - first, size) * width + self.columns[at]
+            rows = owner[high - 1] - first + 1
+            found = np.bincount(cell, self.weights[at], rows * width).reshape(rows, width)
+            scores[first : first + rows] += found / SCALE
+            low = high
+        return scores
+
+
+def clean_label(label: Column) -> Column:
+    """The language a label names: ``EN``, ``en-GB`` and `` en_us`` all mean ``en``.
+
+    Null if what is left is not a code of two or three letters, or is ``und``.
+    """
+    code = F.lower(F.regexp_extract(F.trim(label), "^([^-_]*)", 1))
+    return F.when(code.rlike(f"^{LABEL}$") & (code != "und"), code)
 
 
 def train_language_model(
@@ -51,78 +111,117 @@ def train_language_model(
     *,
     text_col: str = "text",
     lang_col: str = "lang",
+    max_bytes: int = MAX_BYTES,
 ) -> LanguageModel:
     """Count trigram buckets by language, with add-one smoothing.
 
-    The counts are pre-aggregated before the shuffle, and the result that
-    reaches the driver has at most buckets x languages rows.
+    Labels are read by ``clean_label``; rows without one teach nothing, so
+    junk in the label column makes no languages.  The counts are
+    pre-aggregated before the shuffle, and of each language the driver gets
+    at most its share of ``max_bytes``.
     """
-    known = df.where(F.col(lang_col).isNotNull() & ~is_blank(F.col(text_col)))
+    known = df.select(clean_label(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
+    known = known.where(F.col("lang").isNotNull() & ~is_blank(F.col("text")))
     counts = (
-        with_trigram_codes(known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "text")
+        with_trigram_codes(known, "text")
         .select("lang", F.explode_outer("_codes").alias("code"))
         .where(F.col("code").isNotNull())
         .groupBy("lang", "code")
         .agg(F.count("*").alias("n"))
     )
-    return model_from_counts(counts, known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")))
+    return model_from_counts(counts, known.groupBy("lang").agg(F.count("*").alias("n")), max_bytes=max_bytes)
+
 
+def model_from_counts(counts: DataFrame, texts: DataFrame, *, max_bytes: int = MAX_BYTES) -> LanguageModel:
+    """Model from tables ``(lang, code, n)`` and ``(lang, n)``.
 
-def model_from_counts(counts: DataFrame, texts: DataFrame) -> LanguageModel:
-    """Model from tables ``(lang, code, n)`` and ``(lang, n)``."""
+    Of a language with more buckets than its share the most frequent stay,
+    which are those that lift its scores most; ties go to the smaller code.
+    """
     totals = {row["lang"]: row["n"] for row in texts.collect()}
     languages = tuple(sorted(totals))
+    share = min(BUCKETS, max_bytes // (ENTRY_BYTES * max(1, len(languages))))
+    if share < LEAST_ENTRIES:
+        raise ValueError(f"{len(languages)} languages do not fit into {max_bytes} bytes")
+    by_lang = Window.partitionBy("lang")
+    ranked = counts.select(
+        "lang", F.col("code").cast("int").alias("code"), "n",
+        F.row_number().over(by_lang.orderBy(F.desc("n"), "code")).alias("rank"),
+        F.sum("n").over(by_lang).alias("total"),
+    )
+    weight = F.round(F.log(F.col("n") + 1) * SCALE).cast("int")
+    table = ranked.where(F.col("rank") <= share).select("lang", "code", weight.alias("weight"), "total").toArrow()
     column = {lang: i for i, lang in enumerate(languages)}
-    table = counts.select("lang", F.col("code").cast("int"), "n").toArrow()
-    matrix = np.ones((BUCKETS, len(languages)))
-    langs = table["lang"].to_pandas().map(column).to_numpy(dtype=np.int64)
-    matrix[table["code"].to_numpy(), langs] += table["n"].to_numpy()
+    names = table["lang"].combine_chunks().dictionary_encode()
+    columns = np.array([column[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+    seen = np.zeros(len(languages))
+    seen[columns] = table["total"].to_numpy()
     prior = np.array([totals[lang] for lang in languages], dtype=np.float64)
-    return LanguageModel(languages, np.log(prior / prior.sum()), np.log(matrix / matrix.sum(axis=0)))
+    return _packed(
+        languages, np.log(prior / prior.sum()), -np.log(seen + BUCKETS),
+        table["code"].to_numpy(), columns, table["weight"].to_numpy(),
+    )
+
+
+def _packed(
+    languages: tuple[str, ...], log_prior: np.ndarray, floor: np.ndarray,
+    codes: np.ndarray, columns: np.ndarray, weights: np.ndarray,
+) -> LanguageModel:
+    order = np.lexsort((columns, codes))
+    starts = np.searchsorted(codes[order], np.arange(BUCKETS + 1)).astype(np.int64)
+    return LanguageModel(
+        languages, log_prior, floor, starts, columns[order].astype(np.uint16), weights[order].astype(np.uint16)
+    )
 
 
 def save_language_model(model: LanguageModel, spark: SparkSession, path: str) -> None:
-    rows = [
-        (lang, float(model.log_prior[i]), model.log_prob[:, i].tolist())
-        for i, lang in enumerate(model.languages)
-    ]
-    spark.createDataFrame(rows, "lang string, log_prior double, log_prob array<double>").write.mode(
-        "overwrite"
-    ).parquet(path)
+    """One row for each language with the buckets it knows and their weights."""
+    code = np.repeat(np.arange(BUCKETS), np.diff(model.starts))
+    rows = []
+    for i, lang in enumerate(model.languages):
+        at = np.flatnonzero(model.columns == i)
+        rows.append((lang, float(model.log_prior[i]), float(model.floor[i]), code[at].tolist(), model.weights[at].tolist()))
+    spark.createDataFrame(
+        rows, "lang string, log_prior double, floor double, codes array<int>, weights array<int>"
+    ).write.mode("overwrite").parquet(path)
 
 
 def load_language_model(spark: SparkSession, path: str) -> LanguageModel:
     rows = spark.read.parquet(path).orderBy("lang").collect()
-    return LanguageModel(
-        tuple(r["lang"] for r in rows),
-        np.array([r["log_prior"] for r in rows]),
-        np.array([r["log_prob"] for r in rows]).T.copy(),
+    sizes = [len(r["codes"]) for r in rows]
+    return _packed(
+        tuple(r["lang"] for r in rows), np.array([r["log_prior"] for r in rows]), np.array([r["floor"] for r in rows]),
+        np.array([c for r in rows for c in r["codes"]], np.int64), np.repeat(np.arange(len(rows)), sizes),
+        np.array([w for r in rows for w in r["weights"]], np.int64),
     )
 
 
 def language_scores(codes: Column, model: LanguageModel) -> Column:
-    """Best language and its probability as a struct; null without evidence."""
-    handle = SparkSession.active().sparkContext.broadcast((model.log_prior, model.log_prob))
-    names = np.array(model.languages, dtype=object)
+    """Best language and its probability as a struct; null without evidence or without any language."""
+    handle = SparkSession.active().sparkContext.broadcast(model)
+    kind = T.StructType([T.StructField("code", T.StringType()), T.StructField("share", T.DoubleType())])
 
-    @F.arrow_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("share", T.DoubleType())]))
+    @F.arrow_udf(kind)
     def best(lists: pa.Array) -> pa.Array:
-        log_prior, log_prob = handle.value
+        model = handle.value
+        names = np.array(model.languages, dtype=object)
         lengths = np.diff(lists.offsets.to_numpy())
         if lists.null_count:
             lengths = np.where(lists.is_valid().to_numpy(zero_copy_only=False), lengths, 0)
+        if not len(names) or not len(lengths):
+            return pa.nulls(len(lists), pa.struct([("code", pa.string()), ("share", pa.float64())]))
         values = lists.flatten().to_numpy(zero_copy_only=False)
-        filled = lengths > 0
-        starts = (np.cumsum(lengths) - lengths)[filled]
-        scores = np.tile(log_prior, (len(lists), 1))
-        if len(starts):
-            for i in range(len(names)):
-                scores[filled, i] += np.add.reduceat(log_prob[values, i], starts)
-        top = scores.argmax(axis=1)
-        shares = 1.0 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
-        empty = pa.array(lengths == 0)
+        top, shares = np.zeros(len(lists), np.int64), np.zeros(len(lists))
+        ends = np.cumsum(lengths)
+        step = max(1, STEP // len(names))
+        for low in range(0, len(lists), step):
+            part = slice(low, low + step)
+            begin = ends[low] - lengths[low]
+            scores = model.scores(values[begin : ends[part][-1]], lengths[part])
+            top[part] = scores.argmax(axis=1)
+            shares[part] = 1.0 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
         return pa.StructArray.from_arrays(
-            [pa.array(names[top], pa.string()), pa.array(shares)], names=["code", "share"], mask=empty
+            [pa.array(names[top], pa.string()), pa.array(shares)], names=["code", "share"], mask=pa.array(lengths == 0)
         )
 
     return best(codes)
