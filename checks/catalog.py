@@ -408,6 +408,20 @@ def q_relevance_model(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_relevance_heldout(spark: SparkSession, d: str) -> DataFrame:
+    """Whether training reaches its thresholds on a held-out quarter and keeps the epoch of least loss."""
+    rows = tables.documents(spark, d).selectExpr(
+        "doc_id", "text", "CASE WHEN lang = 'en' THEN 'rescue' ELSE 'not_humanitarian' END AS label"
+    )
+    held = rows.where("doc_id % 4 = 0")
+    model, metrics = training.train_relevance(rows.where("doc_id % 4 <> 0"), held, features=1 << 14)
+    area = training.area_under_roc(model, held)
+    return metrics.select(
+        "n_samples", (F.col("f1") >= 0.9).alias("f1_reached"), F.lit(area >= 0.95).alias("auc_reached"),
+        (F.col("loss") == F.array_min(F.col("history.loss"))).alias("best_kept"),
+    )
+
+
 STREAM_BATCHES = 4
 
 
@@ -585,6 +599,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kappa": q_kappa,
     "place_recall": q_place_recall,
     "relevance_model": q_relevance_model,
+    "relevance_heldout": q_relevance_heldout,
     "stream_analysis": q_stream_analysis,
     "stream_totals": q_stream_totals,
     "stream_dedup": q_stream_dedup,

