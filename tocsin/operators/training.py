@@ -47,7 +47,7 @@ def train_relevance(
     patience: int = 2,
     features: int = 1 << 18,
     penalties: tuple[float, ...] = (1e-5,),
-    rate: float = 0.5,
+    rate: float = 2.0,
     max_tokens: int | None = None,
     seed: int = 7,
     folder: str | None = None,
