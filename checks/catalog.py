@@ -301,12 +301,16 @@ def q_known(spark: SparkSession, d: str) -> DataFrame:
         F.array(F.lit("RESCUE_REQUEST")).alias("event_types"),
         F.lit("HIGH").alias("urgency_level"),
         F.lit(0.75).alias("urgency_score"),
+        F.array(F.struct(
+            F.concat(F.lit("place "), F.min("lang")).alias("text"), F.lit("LOC").alias("label"),
+            F.min("doc_id").cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
+        )).alias("locations"),
         F.sum("toxic").alias("toxic"),
     ).where("toxic >= 2").drop("toxic")
     asked = docs.select("doc_id", F.col("source").alias("sample_key"))
     return analysis.known_results(asked, known).select(
         "doc_id", "lang_code", "lang_confidence", "is_relevant", "relevance_confidence", bar("event_types"),
-        "urgency_level", "urgency_score", "is_duplicate", "cluster_id",
+        "urgency_level", "urgency_score", F.to_json("locations").alias("locations"), "is_duplicate", "cluster_id",
     )
 
 

@@ -333,12 +333,15 @@ analyze_json = ctes(*RESULT_DUP) + """SELECT message_id, lang_code AS code, urge
 analyze_response = ctes(*RESULTS) + """SELECT message_id, CAST(NULL AS VARCHAR) AS version, urgency_level AS level, 11 AS fields FROM r"""
 
 known_results = """WITH known AS (SELECT source, min(lang) AS lang_code, max(quality) = 1 AS is_relevant,
-    round(avg(quality), 4) AS relevance_confidence FROM documents JOIN labels USING (doc_id) GROUP BY source HAVING sum(toxic) >= 2)
+    round(avg(quality), 4) AS relevance_confidence, min(documents.doc_id)::DOUBLE AS latitude
+  FROM documents JOIN labels USING (doc_id) GROUP BY source HAVING sum(toxic) >= 2)
 SELECT doc_id, coalesce(k.lang_code, 'und') AS lang_code, CASE WHEN k.source IS NULL THEN 0.8 ELSE 0.9 END::DOUBLE AS lang_confidence,
   coalesce(k.is_relevant, true) AS is_relevant, coalesce(k.relevance_confidence, 0.85) AS relevance_confidence,
   CASE WHEN k.source IS NULL THEN 'SITUATIONAL_UPDATE' ELSE 'RESCUE_REQUEST' END AS event_types,
   CASE WHEN k.source IS NULL THEN 'MEDIUM' ELSE 'HIGH' END AS urgency_level,
-  CASE WHEN k.source IS NULL THEN 0.6 ELSE 0.75 END::DOUBLE AS urgency_score, false AS is_duplicate, CAST(NULL AS VARCHAR) AS cluster_id
+  CASE WHEN k.source IS NULL THEN 0.6 ELSE 0.75 END::DOUBLE AS urgency_score,
+  CASE WHEN k.source IS NULL THEN '[]' ELSE concat('[{"text":"place ', k.lang_code, '","label":"LOC","latitude":', k.latitude, '}]') END AS locations,
+  false AS is_duplicate, CAST(NULL AS VARCHAR) AS cluster_id
 FROM documents d LEFT JOIN known k ON k.source = d.source"""
 
 batch_totals = ctes(*RESULTS) + """SELECT count(*) AS total_processed, count(*) FILTER (is_relevant) AS total_relevant,

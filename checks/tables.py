@@ -15,13 +15,13 @@ DOCUMENT_TEXT = """concat(
     CASE WHEN doc_id % 7 = 0 THEN concat('RT @user', CAST(doc_id % 50 AS STRING), ': ') ELSE '' END,
     text,
     CASE doc_id % 6
-      WHEN 0 THEN ' URGENT: smoke over the harbour of Hatay, a crane collapsed, crew trapped. Emergency, please help! Au secours, socorro'
+      WHEN 0 THEN ' The river took the mill road towards Hatay; two ferries are missing and the ward has no light. Immediately call a medical boat, please help. Au secours, socorro'
       WHEN 1 THEN ' flood damage near Lyon, hospital needs ambulance'
       WHEN 2 THEN ' necesitamos ayuda urgente en San Pedro Sula, San Pedro'
       WHEN 3 THEN ' fire at City Hospital, children missing near Port Market Lyon Hatay'
       WHEN 4 THEN concat(' rain tonight from St. John', chr(39), 's to Washington D.C., then (Stratford-upon-Avon) and - Port Vila; Port Vila]')
       ELSE ' great pizza at Nova Bank' END,
-    CASE WHEN doc_id % 4 = 0 THEN ' #FloodAlert #HELPNow' ELSE '' END,
+    CASE WHEN doc_id % 4 = 0 THEN ' #MillRoad #NINEFerries' ELSE '' END,
     CASE WHEN doc_id % 5 = 0 THEN concat('  https://t.co/', CAST(doc_id AS STRING), '.JPG') ELSE '' END,
     CASE WHEN doc_id % 9 = 0 THEN ' @rescue_team' ELSE '' END,
     CASE WHEN doc_id % 8 = 3 THEN ' \U0001F525\U0001F198 SOS' ELSE '' END,

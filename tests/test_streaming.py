@@ -95,6 +95,10 @@ def test_known_results(spark):
     rows = {r.sample_key: r for r in analysis.known_results(asked, known).collect()}
     assert rows["a"].lang_code == "tr" and rows["a"].urgency_level == "HIGH"
     assert (rows["b"].lang_code, rows["b"].urgency_score, rows["b"].event_types) == ("und", 0.6, ["SITUATIONAL_UPDATE"])
+    assert rows["a"].locations == rows["b"].locations == []
+    placed = known.withColumn("locations", F.expr("array(struct('Izmir' AS text, 38.4D AS latitude))"))
+    rows = {r.sample_key: r for r in analysis.known_results(asked, placed).collect()}
+    assert [tuple(p) for p in rows["a"].locations] == [("Izmir", 38.4)] and rows["b"].locations == []
 
 
 def vectors(spark, rows):

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tocsin import config as C
 from tocsin import schemas
@@ -209,14 +210,18 @@ def running_totals(results: DataFrame, *, window: int | None = None) -> DataFram
 UNKNOWN_SAMPLE = {
     "lang_code": "und", "lang_confidence": 0.8, "is_relevant": True, "relevance_confidence": 0.85,
     "event_types": ["SITUATIONAL_UPDATE"], "urgency_level": "MEDIUM", "urgency_score": 0.6,
+    "locations": [],
 }
 
 
 def known_results(df: DataFrame, known: DataFrame, *, key: str = "sample_key") -> DataFrame:
     """Stored results by key, with the default row where none is stored.
 
-    ``known`` has the key and the columns of ``UNKNOWN_SAMPLE``.
+    ``known`` has the key and the columns of ``UNKNOWN_SAMPLE``; without
+    ``locations`` no place is stored.
     """
+    if "locations" not in known.columns:
+        known = known.withColumn("locations", F.array().cast(T.ArrayType(schemas.LOCATION)))
     kinds = {f.name: f.dataType for f in known.schema.fields}
     stored = known.withColumn("_stored", F.lit(True))
     joined = df.join(stored, key, "left")
