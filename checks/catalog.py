@@ -11,8 +11,8 @@ from checks import tables
 from tocsin import config as C
 from tocsin import runtime
 from tocsin.functions import text as X
-from tocsin.functions.vectors import learn_prototypes, md5_code, similarities, with_word_codes
-from tocsin.operators import dedup, evaluation, language, places, relevance, training, urgency
+from tocsin.functions.vectors import learn_prototypes, md5_code, similarities, unit_vectors, with_word_codes
+from tocsin.operators import calibration, dedup, evaluation, language, places, relevance, training, urgency, word_vectors
 from tocsin.operators.clean import clean_messages
 from tocsin.operators.event_types import SHORT_LABELS, label_event_types, scores_to_arrays
 from tocsin.plans import analysis, views
@@ -412,6 +412,39 @@ def q_relevance_model(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Types that the texts' languages stand for in the calibration query; one row in five has another one instead.
+LANGUAGE_TYPES = {"en": "RESCUE_REQUEST", "fr": "MEDICAL_EMERGENCY", "de": "SUPPLY_REQUEST", "es": "CASUALTY_REPORT"}
+NOISY_TYPE = "CASE WHEN doc_id % 5 = 1 THEN 'DISPLACEMENT' " + " ".join(
+    f"WHEN lang = '{lang}' THEN '{kind}'" for lang, kind in LANGUAGE_TYPES.items()
+) + " ELSE 'SITUATIONAL_UPDATE' END"
+
+
+def q_type_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Whether learnt type scores are shares of right types on a held-out third, by type."""
+    rows = tables.documents(spark, d).selectExpr("doc_id", "text AS cleaned_text", f"array({NOISY_TYPE}) AS gold")
+    held = "doc_id % 3 = 0"
+    models = calibration.train_type_models(rows.where(f"NOT ({held})"), gold_col="gold", features=1 << 12)
+    scored = models.scores(rows.where(held))
+    found = calibration.calibration_error(scored, "type_scores_raw", "gold")
+    # A third of few rows is off by chance: two standard deviations of a share are allowed beside the 0.05.
+    chance = 2 * F.sqrt(F.lit(0.16) / F.col("rows"))
+    return found.select("label", "rows", "positives", (F.col("error") < 0.05 + chance).alias("calibrated"))
+
+
+def q_learnt_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Whether two halves of a text that share no place (every other word) lie closer than with hashed counts, by language."""
+    halves = tables.documents(spark, d).select("doc_id", "lang", F.split(F.trim("text"), r"\s+").alias("_w"))
+    half = lambda odd: F.array_join(F.filter("_w", lambda _, i: i % 2 == odd), " ")
+    rows = halves.select("doc_id", "lang", half(0).alias("first"), half(1).alias("second"))
+    model = word_vectors.learn_word_vectors(tables.documents(spark, d), text_col="text", vocabulary=2048, size=32)
+    for part in ("first", "second"):
+        rows = with_word_codes(model.embed(rows, part, f"_{part}"), part, f"_{part}_codes")
+    near = lambda name: word_vectors.cosine(F.col(f"_first{name}"), F.col(f"_second{name}"))
+    rows = rows.withColumns({f"_{p}_codes": unit_vectors(F.col(f"_{p}_codes")) for p in ("first", "second")})
+    closer = F.avg(F.when(near("") > near("_codes"), 1.0).otherwise(0.0))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), (closer >= 0.8).alias("closer"))
+
+
 def q_relevance_heldout(spark: SparkSession, d: str) -> DataFrame:
     """Whether training reaches its thresholds on a held-out quarter and keeps the epoch of least loss."""
     rows = tables.documents(spark, d).selectExpr(
@@ -604,6 +637,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "place_recall": q_place_recall,
     "relevance_model": q_relevance_model,
     "relevance_heldout": q_relevance_heldout,
+    "type_calibration": q_type_calibration,
+    "learnt_vectors": q_learnt_vectors,
     "stream_analysis": q_stream_analysis,
     "stream_totals": q_stream_totals,
     "stream_dedup": q_stream_dedup,

