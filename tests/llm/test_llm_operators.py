@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -511,3 +512,57 @@ def test_shards_against_plain_python(spark, sf_dir):
     for source, of in Counter(r["source"] for r in rows).items():
         held = Counter(r["shard"] for r in rows if r["source"] == source)
         assert max(abs(held[s] - of / 16) for s in range(16)) < 2
+
+
+def plain_ftrl(rows, passes):
+    """FTRL-proximal row by row on dictionaries; ``rows`` are (places, label) in order."""
+    z, n = {}, {}
+
+    def weight(i):
+        s = z.get(i, 0.0)
+        if abs(s) <= toxicity.L1:
+            return 0.0
+        return -(s - math.copysign(toxicity.L1, s)) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(passes):
+        for places, label in rows:
+            weights = {i: weight(i) for i in [*places, "intercept"]}
+            g = 1 / (1 + math.exp(-sum(weights.values()))) - label
+            for i, w in weights.items():
+                rate = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - rate * w, n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_toxicity_learns_like_a_plain_learner(spark):
+    made = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(400):
+        bad = i % 3 == 0
+        rows.append((" ".join(made.choice(words, 12)) + (" rotten" if bad and i % 5 else ""), float(bad), i))
+    df = spark.createDataFrame(rows, "text string, label double, order long").repartition(3)
+    found = toxicity.train(df)
+    counts = Counter(p for text, *_ in rows for p in set(toxicity.feature_places(text).tolist()))
+    parts = {r.order: r.part for r in df.select("order", F.pmod(F.xxhash64("order"), F.lit(toxicity.PARTS)).alias("part")).collect()}
+    ordered = [
+        ([p for p in sorted(set(toxicity.feature_places(text).tolist())) if counts[p] >= toxicity.LEAST_TEXTS], label)
+        for text, label, order in sorted(rows, key=lambda r: (parts[r[2]], r[2]))
+    ]
+    want = plain_ftrl(ordered, toxicity.PASSES)
+    assert found.intercept == pytest.approx(want.pop("intercept", 0.0))
+    assert dict(zip(found.places.tolist(), found.values.tolist(), strict=True)) == pytest.approx(want)
+    assert toxicity.feature_places("rotten")[0] in want
+
+
+def test_toxicity_repeated_and_null_ids(spark):
+    """Texts that share an id teach once; the sample's order does not depend on how rows lie."""
+    rows = [(i % 300, f"text {i % 300} " + ("rotten thing" if i % 300 % 4 == 0 else "fine thing")) for i in range(900)]
+    rows = [r[:2] for r in rows] + [(None, "rotten thing"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(None, 1)], "doc_id long, toxic int")
+    chosen = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic")
+    assert chosen.count() == chosen.select("order").distinct().count()
+    a = toxicity.toxicity(docs, labels).collect()
+    b = toxicity.toxicity(docs.repartition(7), labels).collect()
+    assert Counter(map(tuple, a)) == Counter(map(tuple, b)) and len(a) == 902

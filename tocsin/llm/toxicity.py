@@ -5,8 +5,11 @@ codes folded into a fixed number of places; each counts once a text.  FTRL
 keeps two sums for each place, learns at a rate of its own for each, and L1
 leaves most weights at zero, so the weights are small enough to broadcast.
 
-The fit is spread: labelled rows are dealt to a fixed number of shards, each
-runs FTRL over its rows, and the shards' sums are averaged after each round.
+Features are made on all executors.  The learner itself passes over the
+labelled rows, whose number is bounded, in a fixed order, a part at a time: a
+part is a small job that starts from the sums so far, so no task holds more
+than its part and a lost one is run again.  The order and the number of parts
+do not depend on the number of rows.
 """
 
 from __future__ import annotations
@@ -15,23 +18,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import id_remainder
+from tocsin.llm.common import id_remainder, pin
 from tocsin.llm.words import MULTIPLIER, NOT_ALNUM, mix, word_codes
 
 PLACES = 1 << 18
 #: The model is fitted on at most so many labelled rows, those with the least hash of the id.
 SAMPLE_ROWS = 40_000
-#: Shards, if there are enough rows for so many in each.
-SHARDS, SHARD_ROWS = 8, 4_000
-#: Features of fewer texts of a shard would only learn those texts by heart.
+#: Parts that the labelled rows are dealt to, whatever their number.
+PARTS = 4
+#: Features of fewer texts of the whole sample would only learn those texts by heart.
 LEAST_TEXTS = 5
-ROUNDS = 3
-EPOCHS = 2
+PASSES = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 PREDICTED = 0.7
 
@@ -90,40 +91,64 @@ class Weights:
         return float(sigmoid(self.intercept))
 
 
-def _train_shard(rows: pd.DataFrame, start: Ftrl) -> pd.DataFrame:
-    state = Ftrl(start.z.copy(), start.n.copy())
-    rows = rows.sort_values(["order", "label"])
-    features = [np.unique(feature_places(t)) for t in rows["text"]]
-    texts_with = np.bincount(np.concatenate(features), minlength=PLACES)
-    features = [f[texts_with[f] >= LEAST_TEXTS] for f in features]
-    for _ in range(EPOCHS):
-        for places, label in zip(features, rows["label"], strict=True):
-            state.learn(places, label)
-    at = np.flatnonzero(state.n)
-    return pd.DataFrame({"place": at, "z": state.z[at], "n": state.n[at]})
+def _feature_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each place's features are."""
+    total = np.zeros(PLACES, np.int64)
+    for batch in batches:
+        for text in batch.column("text"):
+            total[np.unique(feature_places(text.as_py()))] += 1
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "texts"])
+
+
+def _known_features(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.unique(feature_places(text.as_py())) for text in batch.column("text")]
+        found = [f[known[f]].astype(np.int32) for f in found]
+        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        flat = np.concatenate([*found, np.empty(0, np.int32)])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("order"), batch.column("label"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+            ["order", "label", "places"],
+        )
+
+
+def _learn_part(rows: pa.Table, start: Ftrl) -> pa.Table:
+    """The sums of all places that the part's rows have, after one pass over them."""
+    rows = rows.sort_by([("order", "ascending"), ("label", "ascending")])
+    for places, label in zip(rows["places"], rows["label"].to_pylist(), strict=True):
+        start.learn(places.values.to_numpy().astype(np.int64), label)
+    at = np.unique(np.append(rows["places"].combine_chunks().flatten().to_numpy(), PLACES)).astype(np.int64)
+    return pa.table({"place": at, "z": start.z[at], "n": start.n[at]})
 
 
 def train(rows: DataFrame) -> Weights:
     """Fit on ``text, label, order``, a bounded number of rows.
 
-    Each shard has its share of them.  What comes back to the driver is two
-    sums for each of at most ``PLACES`` places.
+    What comes back to the driver is two sums for each of at most ``PLACES``
+    places.
     """
-    shards = min(SHARDS, max(1, rows.count() // SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("order"), F.lit(shards)))
-    state, context = Ftrl.empty(), rows.sparkSession.sparkContext
-    for _ in range(ROUNDS):
+    context = rows.sparkSession.sparkContext
+    counted = rows.select("text").mapInArrow(_feature_texts, "place long, texts long").groupBy("place")
+    common = counted.agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= LEAST_TEXTS).toPandas()
+    known = np.zeros(PLACES, bool)
+    known[common["place"]] = True
+    table = context.broadcast(known)
+    features = pin(
+        rows.mapInArrow(lambda it: _known_features(it, table.value), "order long, label double, places array<int>")
+        .withColumn("part", F.pmod(F.xxhash64("order"), F.lit(PARTS)))
+    )
+    state = Ftrl.empty()
+    for step in range(PASSES * PARTS):
         shared = context.broadcast(state)
-        found = (
-            rows.groupBy("shard")
-            .applyInPandas(lambda part: _train_shard(part, shared.value), "place long, z double, n double")
-            .groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
-            .toPandas()
-        )
-        state = Ftrl.empty()
-        state.z[found["place"]] = found["z"] / shards
-        state.n[found["place"]] = found["n"] / shards
+        part = features.filter(F.col("part") == step % PARTS)
+        found = part.groupBy("part").applyInArrow(
+            lambda rows: _learn_part(rows, Ftrl(shared.value.z.copy(), shared.value.n.copy())), "place long, z double, n double"
+        ).toPandas()
+        state = Ftrl(state.z.copy(), state.n.copy())
+        state.z[found["place"]], state.n[found["place"]] = found["z"], found["n"]
         shared.destroy()
+    table.destroy()
     weights = state.weights()
     places = np.flatnonzero(weights[:PLACES])
     return Weights(places, weights[places], float(weights[PLACES]))
@@ -135,7 +160,8 @@ def training_rows(
     """Labelled texts outside the held-out third: ``text, label, order``.
 
     An id with several labels counts as toxic if one says so; labels other
-    than 0 and 1 are left out.
+    than 0 and 1 are left out.  Of texts that share an id the least one is
+    learnt, so the sample is bounded whatever repeats.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).filter(
         id_remainder(id_col, 3) != 1
@@ -144,9 +170,9 @@ def training_rows(
     order = F.xxhash64(F.lit(3), F.col("_id"))
     # At most sample_rows rows of two numbers.
     chosen = once.withColumn("order", order).orderBy("order", "_id").limit(sample_rows)
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
-        F.broadcast(chosen), "_id"
-    ).select("text", "label", "order")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "label", "order").agg(F.min("text").alias("text"))
+    return found.select("text", "label", "order")
 
 
 def _score_rows(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
