@@ -566,3 +566,10 @@ def test_toxicity_repeated_and_null_ids(spark):
     a = toxicity.toxicity(docs, labels).collect()
     b = toxicity.toxicity(docs.repartition(7), labels).collect()
     assert Counter(map(tuple, a)) == Counter(map(tuple, b)) and len(a) == 902
+
+
+def test_too_many_languages_raise(spark):
+    rows = [(i, "some words here", f"l{i}") for i in range(2 * language_codes.MAX_LANGUAGES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    with pytest.raises(Exception, match="more than 256 languages"):
+        language_codes.identify(docs).count()

@@ -240,6 +240,8 @@ def identify(
     language all other texts have it, with score 1.  Repeated rows are
     treated alike; extra columns are not read, but those named in ``carry``
     come back in the struct ``carried``.
+    More than ``MAX_LANGUAGES`` different labels in the training rows raise,
+    as such a column holds no languages.
     """
     marked = docs.select(
         F.col(id_col).alias("doc_id"), (id_remainder(id_col, folds) == 0).alias("held_out"),
