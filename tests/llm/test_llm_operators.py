@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -573,3 +574,18 @@ def test_too_many_languages_raise(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
     with pytest.raises(Exception, match="more than 256 languages"):
         language_codes.identify(docs).count()
+
+
+def test_packing_encodes_parts_of_a_batch():
+    import tracemalloc
+
+    texts = [" ".join(f"w{(7 * i + j) % 90}" for j in range(4000)) for i in range(1500)]  # 25 MB
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1500), pa.int64()), "_text": texts})
+    path = tokenizer("byte_bpe_50k.json")
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in packing._piece_rows(iter([batch]), path, 1024, 2))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert rows > 1500 and peak < 75

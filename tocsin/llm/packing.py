@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tocsin.functions.batches import text_parts
 from tocsin.llm.common import pin, rank_in_groups
 
 CAPACITY = 1024
@@ -153,7 +154,7 @@ def piece_lengths(total: int, capacity: int) -> list[int]:
 
 def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     end = np.array([end_id], np.uint32).tobytes()
-    for batch in batches:
+    for batch in (part for whole in batches for part in text_parts(whole, "_text", TOGETHER)):
         encoder, rows, owner = token_ids(path), [], []
         for i, ids in enumerate(encoder.encode_batch(pc.fill_null(batch.column("_text"), ""))):
             ids, start = ids + end, 0
