@@ -9,7 +9,7 @@ grow with the text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tocsin import config as C
+from tocsin.functions.batches import PART_VALUES, bounds, list_sizes
 from tocsin.functions.text import find_all
 
 CODE_DIM = 256
@@ -71,8 +72,10 @@ def to_matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
         matrix[lengths == CODE_DIM] = values.reshape(-1, CODE_DIM)
         return _unit(matrix)
     if pa.types.is_integer(vectors.type.value_type):
-        parts = [_from_codes(vectors.slice(i, CHUNK)) for i in range(0, len(vectors), CHUNK)]
-        return np.concatenate(parts) if parts else np.zeros((0, CODE_DIM))
+        matrix = np.zeros((len(vectors), CODE_DIM))
+        for low, high in _chunks(vectors):
+            matrix[low:high] = _from_codes(vectors[low:high])
+        return matrix
     lengths, values = _flat(vectors)
     width = max(int(lengths.max(initial=0)), 1)
     filled = lengths == width
@@ -83,6 +86,11 @@ def to_matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return matrix
 
 
+def _chunks(vectors: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``CHUNK`` rows and, but for one longer row, ``PART_VALUES`` codes."""
+    return bounds(np.maximum(list_sizes(vectors), PART_VALUES // CHUNK), PART_VALUES)
+
+
 def _flat(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(vectors.offsets.to_numpy())
     if vectors.null_count:
@@ -114,11 +122,12 @@ def folded(df: DataFrame, name: str = "vector") -> Column:
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def fold(vectors: pa.Array) -> pa.Array:
-        parts = [_signed_counts(vectors.slice(i, CHUNK)) for i in range(0, len(vectors), CHUNK)]
-        counts = np.concatenate(parts) if parts else np.zeros((0, CODE_DIM), np.int64)
+        counts = np.zeros((len(vectors), CODE_DIM), np.int64)
+        for low, high in _chunks(vectors):
+            counts[low:high] = _signed_counts(vectors[low:high])
         offsets = np.arange(0, counts.size + 1, CODE_DIM, dtype=np.int32)
         missing = vectors.is_null() if vectors.null_count else None
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel().astype(np.int64)), mask=missing)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel()), mask=missing)
 
     return fold(F.col(name))
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tocsin import config as C
+from tocsin.functions.batches import PART_VALUES, bounds, list_sizes
 from tocsin.functions.text import find_all
 from tocsin.runtime import materialise
 
@@ -84,6 +85,16 @@ class WordVectors:
 
 def _mean_vectors(words: pa.Array, known: pa.Array, vectors: np.ndarray) -> pa.Array:
     """Unit sums of the vectors of each list's words."""
+    sums = np.zeros((len(words), vectors.shape[1]))
+    for low, high in bounds(list_sizes(words), PART_VALUES):
+        sums[low:high] = _sums(words[low:high], known, vectors)
+    norms = np.linalg.norm(sums, axis=1, keepdims=True)
+    unit = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
+    offsets = np.arange(0, unit.size + 1, vectors.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))
+
+
+def _sums(words: pa.Array, known: pa.Array, vectors: np.ndarray) -> np.ndarray:
     rows, size = len(words), vectors.shape[1]
     lengths = np.diff(words.offsets.to_numpy())
     at = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy()
@@ -95,10 +106,7 @@ def _mean_vectors(words: pa.Array, known: pa.Array, vectors: np.ndarray) -> pa.A
     for low in range(0, len(cells), 1 << 16):
         part = cells[low : low + (1 << 16)]
         np.add.at(sums, part // len(known), vectors[part % len(known)] * counts[low : low + (1 << 16), None])
-    norms = np.linalg.norm(sums, axis=1, keepdims=True)
-    unit = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
-    offsets = np.arange(0, unit.size + 1, size, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))
+    return sums
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], known: list[str], near: int, pieces: int) -> Iterator[pa.RecordBatch]:
@@ -111,8 +119,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch], known: list[str], near: int,
             [pa.array((cells // size).astype(np.int32)), pa.array((cells % size).astype(np.int32)), pa.array(counts)], ["a", "b", "n"]
         )
 
-    for batch in batches:
-        lists = batch.column(0)
+    parts = (b.column(0)[low:high] for b in batches for low, high in bounds(list_sizes(b.column(0)), PART_VALUES))
+    for lists in parts:
         at = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy().astype(np.int64)
         owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
         found = [kept[0]]
