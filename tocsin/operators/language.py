@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tocsin.functions.batches import PART_VALUES, bounds
 from tocsin.functions.text import is_blank
 
 BUCKETS = 1 << 15
@@ -213,9 +214,8 @@ def language_scores(codes: Column, model: LanguageModel) -> Column:
         values = lists.flatten().to_numpy(zero_copy_only=False)
         top, shares = np.zeros(len(lists), np.int64), np.zeros(len(lists))
         ends = np.cumsum(lengths)
-        step = max(1, STEP // len(names))
-        for low in range(0, len(lists), step):
-            part = slice(low, low + step)
+        for low, high in bounds(np.maximum(lengths, max(1, PART_VALUES * len(names) // STEP)), PART_VALUES):
+            part = slice(low, high)
             begin = ends[low] - lengths[low]
             scores = model.scores(values[begin : ends[part][-1]], lengths[part])
             top[part] = scores.argmax(axis=1)
