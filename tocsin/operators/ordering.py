@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SLOTS = 2_048
+#: Rows of a slot, about, once there are more than two slots a core.
+SLOT_ROWS = 50_000
 
 
 def with_slots(df: DataFrame, order_col: str, slots: int | None = None) -> DataFrame:
@@ -20,12 +22,18 @@ def with_slots(df: DataFrame, order_col: str, slots: int | None = None) -> DataF
     The bounds are literals, so every reader of the result agrees on them.
     """
     spark = df.sparkSession
-    wanted = slots or min(MAX_SLOTS, 2 * spark.sparkContext.defaultParallelism)
     value = F.col(order_col).cast("double")
-    shares = [i / wanted for i in range(1, wanted)]
-    cuts = df.agg(F.percentile_approx(value, shares, 10 * MAX_SLOTS)).first()[0] if shares else []
+    most = slots or MAX_SLOTS
+    shares = [i / most for i in range(1, most)]
+    if not shares:
+        return df.withColumn("slot", F.lit(0))
+    cuts, rows = df.agg(F.percentile_approx(value, shares, 10 * MAX_SLOTS), F.count(F.lit(1))).first()
     if not cuts:
         return df.withColumn("slot", F.lit(0))
+    if not slots:
+        # The number of slots grows with the rows, so that none does.
+        wanted = min(most, max(2 * spark.sparkContext.defaultParallelism, -(-rows // SLOT_ROWS)))
+        cuts = [cuts[i * most // wanted - 1] for i in range(1, wanted)]
     bounds = [float("-inf"), *sorted(set(cuts)), float("inf")]
     bucketizer = Bucketizer(splits=bounds, inputCol="_order", outputCol="_slot", handleInvalid="keep")
     placed = bucketizer.transform(df.withColumn("_order", value))
