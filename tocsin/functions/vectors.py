@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tocsin import config as C
-from tocsin.functions.batches import PART_VALUES, bounds, list_sizes
+from tocsin.functions.batches import PART_VALUES, bounds, list_sizes, text_sizes
 from tocsin.functions.text import find_all
 
 CODE_DIM = 256
+#: Bytes of texts whose words are hashed at a time: larger parts leave the caches and are slower.
+WORD_BYTES = 1 << 17
 
 
 def fast_code(term: Column, buckets: int) -> Column:
@@ -55,6 +57,101 @@ def with_word_codes(
     return df.withColumn(name, word_codes(F.col(text_col), code))
 
 
+def with_word_counts(df: DataFrame, text_col: str, name: str = "vector") -> DataFrame:
+    """Add what ``with_word_codes`` adds, folded to counts at once.
+
+    Spark makes words that single blanks part; tasks hash the bytes of all
+    words and pairs of a part of a batch together.
+    """
+    other = f"[^{C.WORD[1:]}"
+    words = F.regexp_replace(F.lower(text_col), f" {other}+|[{other}&&[^ ]]{other}*", " ")
+    return df.withColumn(name, _word_counts(F.coalesce(words, F.lit(""))))
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _word_counts(texts: pa.Array) -> pa.Array:
+    counts = np.zeros((len(texts), CODE_DIM), np.int64)
+    for low, high in bounds(np.maximum(text_sizes(texts), WORD_BYTES // CHUNK), WORD_BYTES):
+        counts[low:high] = _hashed_words(texts[low:high])
+    return _count_lists(counts, texts)
+
+
+def _count_lists(counts: np.ndarray, given: pa.Array) -> pa.Array:
+    """Rows of counts as lists, null where ``given`` is."""
+    offsets = np.arange(0, counts.size + 1, CODE_DIM, dtype=np.int32)
+    missing = given.is_null() if given.null_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel()), mask=missing)
+
+
+def _hashed_words(texts: pa.Array) -> np.ndarray:
+    """Signed counts of the words and word pairs of texts whose words single blanks part."""
+    rows, width = len(texts), 2 * CODE_DIM
+    raw = " ".join("" if t is None else t for t in texts.to_pylist()).encode()
+    data = np.frombuffer(raw + bytes(8), np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = data[: len(raw)] != ord(" ")
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    firsts = np.searchsorted(starts, np.cumsum(np.r_[0, text_sizes(texts) + 1]))
+    owner = np.repeat(np.arange(rows), np.diff(firsts))
+    pairs = np.flatnonzero(owner[1:] == owner[:-1])
+    begins = np.concatenate([starts, starts[pairs]])
+    hashes = xxhash64(data, begins, np.concatenate([ends, ends[pairs + 1]]) - begins)
+    cells = np.concatenate([owner, owner[pairs]]) * width + (hashes % np.uint64(width)).astype(np.int64)
+    counts = np.bincount(cells, minlength=rows * width).reshape(rows, width)
+    return counts[:, :CODE_DIM] - counts[:, CODE_DIM:]
+
+
+_PRIMES = tuple(np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+))
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def xxhash64(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of many stretches of ``data``, as the SQL function of this name; eight bytes must follow the last stretch."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    four = np.ndarray(len(data) - 3, "<u4", data, strides=(1,))
+    at, left, seed = starts.copy(), sizes.copy(), np.uint64(seed)
+    with np.errstate(over="ignore"):
+        mixed = lambda lane, value: _rotated(lane + value * p2, 31) * p1
+        hashes = np.full(len(at), seed + p5)
+        long = np.flatnonzero(sizes >= 32)
+        if len(long):
+            lanes = [np.full(len(long), x) for x in (seed + p1 + p2, seed + p2, seed, seed - p1)]
+            some = np.arange(len(long))
+            while len(some := some[left[long[some]] >= 32]):
+                which = long[some]
+                for i, lane in enumerate(lanes):
+                    lane[some] = mixed(lane[some], eight[at[which] + 8 * i])
+                at[which] += 32
+                left[which] -= 32
+            merged = sum((_rotated(x, r) for x, r in zip(lanes[1:], (7, 12, 18), strict=True)), _rotated(lanes[0], 1))
+            for lane in lanes:
+                merged = (merged ^ mixed(np.uint64(0), lane)) * p1 + p4
+            hashes[long] = merged
+        hashes += sizes.astype(np.uint64)
+        for _ in range(3):
+            some = np.flatnonzero(left >= 8)
+            hashes[some] = _rotated(hashes[some] ^ mixed(np.uint64(0), eight[at[some]]), 27) * p1 + p4
+            at[some] += 8
+            left[some] -= 8
+        some = np.flatnonzero(left >= 4)
+        hashes[some] = _rotated(hashes[some] ^ (four[at[some]].astype(np.uint64) * p1), 23) * p2 + p3
+        at[some] += 4
+        left[some] -= 4
+        for i in range(3):
+            some = np.flatnonzero(left > i)
+            hashes[some] = _rotated(hashes[some] ^ (data[at[some] + i].astype(np.uint64) * p5), 11) * p1
+        hashes = (hashes ^ (hashes >> np.uint64(33))) * p2
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * p3
+        return hashes ^ (hashes >> np.uint64(32))
+
+
 CHUNK = 1024
 
 
@@ -125,9 +222,7 @@ def folded(df: DataFrame, name: str = "vector") -> Column:
         counts = np.zeros((len(vectors), CODE_DIM), np.int64)
         for low, high in _chunks(vectors):
             counts[low:high] = _signed_counts(vectors[low:high])
-        offsets = np.arange(0, counts.size + 1, CODE_DIM, dtype=np.int32)
-        missing = vectors.is_null() if vectors.null_count else None
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel()), mask=missing)
+        return _count_lists(counts, vectors)
 
     return fold(F.col(name))
 
@@ -186,5 +281,5 @@ def learn_prototypes(df: DataFrame, label_col: str, vector_col: str, labels: lis
 
 __all__ = [
     "CODE_DIM", "fast_code", "folded", "learn_prototypes", "md5_code", "similarities", "to_matrix",
-    "unit_vectors", "with_word_codes", "word_codes",
+    "unit_vectors", "with_word_codes", "with_word_counts", "word_codes",
 ]

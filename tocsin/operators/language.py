@@ -9,7 +9,9 @@ projection that needs neither a join nor a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tocsin.functions.batches import PART_VALUES, bounds
+from tocsin.functions.batches import PART_VALUES, bounds, text_sizes
 from tocsin.functions.text import is_blank
 
+#: A power of two.
 BUCKETS = 1 << 15
 METHOD = "trigram"
 #: Weights are natural logarithms in steps of 1 / SCALE.
@@ -34,21 +37,34 @@ LEAST_ENTRIES = 128
 LABEL = "[a-z]{2,3}"
 #: Scores of one step of the scoring loop, and entries that it expands, about.
 STEP = 1 << 20
+#: With so few languages a text is scored by a dense table, one language after the other.
+DENSE_LANGUAGES = 16
+#: Counters of languages and buckets that a task holds at a time; with more languages parts are sorted instead.
+MOST_CELLS = 1 << 20
 
 
-def with_trigram_codes(df: DataFrame, text_col: str, name: str = "_codes") -> DataFrame:
-    """Add the codes of all trigrams of the lower-cased, space-padded text.
+def trigram_line(text: Column) -> Column:
+    """The lower-cased, space-padded text whose trigrams are counted; null for blank text."""
+    lowered = F.when(~is_blank(text), F.lower(text))
+    return F.concat(F.lit(" "), F.trim(F.replace(lowered, F.lit("\n"), F.lit(" "))), F.lit(" "))
+
+
+def trigram_codes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all trigrams of the lines, one line after another, and how many each line has.
 
     A code is computed from three neighbouring code points, so no trigram is
-    ever cut out as a string.  Null for blank text.
+    ever cut out as a string.
     """
-    text = F.when(~is_blank(F.col(text_col)), F.lower(text_col))
-    line = F.concat(F.lit(" "), F.trim(F.replace(text, F.lit("\n"), F.lit(" "))), F.lit(" "))
-    points = df.withColumn("_points", F.transform(F.split(line, ""), lambda c: F.ascii(c)))
-    count = F.size("_points")
-    pairs = F.zip_with("_points", F.slice("_points", F.lit(2), count), lambda a, b: a * 961 + b * 31)
-    triples = F.zip_with(pairs, F.slice("_points", F.lit(3), count), lambda ab, c: (ab + c) % BUCKETS)
-    return points.withColumn(name, F.filter(triples, lambda t: t.isNotNull())).drop("_points")
+    texts = ["" if line is None else line for line in lines.to_pylist()]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    codes = (points[:-2] * 961 + points[1:-1] * 31 + points[2:]) & np.uint32(BUCKETS - 1)
+    # None begins at the last two characters of a line.
+    begins = np.ones(len(points), bool)
+    ends = np.cumsum(sizes)[sizes > 0]
+    begins[ends - 1] = False
+    begins[np.maximum(ends - 2, 0)] = False
+    return codes[begins[: len(codes)]].astype(np.int64), np.maximum(sizes - 2, 0)
 
 
 @dataclass(frozen=True)
@@ -72,10 +88,23 @@ class LanguageModel:
         arrays = (self.log_prior, self.floor, self.starts, self.columns, self.weights)
         return sum(x.nbytes for x in arrays)
 
+    @cached_property
+    def dense(self) -> np.ndarray:
+        """One row of weights by bucket for each language."""
+        table = np.zeros((len(self.languages), BUCKETS))
+        table[self.columns, np.repeat(np.arange(BUCKETS), np.diff(self.starts))] = self.weights
+        return table
+
     def scores(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """One row for each text, one column for each language; ``codes`` holds the texts one after another."""
         width = len(self.languages)
         scores = self.log_prior + lengths[:, None] * self.floor
+        if width <= DENSE_LANGUAGES:
+            some = np.flatnonzero(lengths)
+            starts = np.cumsum(lengths)[some] - lengths[some]
+            for i, weights in enumerate(self.dense if len(some) else ()):
+                scores[some, i] += np.add.reduceat(weights[codes], starts) / SCALE
+            return scores
         owner = np.repeat(np.arange(len(lengths)), lengths)
         counts = np.diff(self.starts)
         known = counts[codes]
@@ -117,22 +146,40 @@ def train_language_model(
     """Count trigram buckets by language, with add-one smoothing.
 
     Labels are read by ``clean_label``; rows without one teach nothing, so
-    junk in the label column makes no languages.  The counts are
-    pre-aggregated before the shuffle, and of each language the driver gets
-    at most its share of ``max_bytes``.
+    junk in the label column makes no languages.  Tasks add up
+    those of a batch, so no trigram is a row of its own, and of each language
+    the driver gets at most its share of ``max_bytes``.
     """
     known = df.select(clean_label(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
     known = known.where(F.col("lang").isNotNull() & ~is_blank(F.col("text")))
-    counts = (
-        with_trigram_codes(known, "text")
-        .select("lang", F.explode_outer("_codes").alias("code"))
-        .where(F.col("code").isNotNull())
-        .groupBy("lang", "code")
-        .agg(F.count("*").alias("n"))
-    )
+    lines = known.select("lang", trigram_line(F.col("text")).alias("line"))
+    counts = lines.mapInArrow(_counted, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     return model_from_counts(counts, known.groupBy("lang").agg(F.count("*").alias("n")), max_bytes=max_bytes)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams in ``lang, line`` as ``lang, code, n``, added up within a batch."""
+    for batch in batches:
+        langs = batch.column("lang").dictionary_encode()
+        size = len(langs.dictionary) * BUCKETS
+        total = np.zeros(size if size <= MOST_CELLS else 0, np.int64)
+        for low, high in bounds(text_sizes(batch.column("line")), PART_VALUES):
+            codes, sizes = trigram_codes(batch.column("line")[low:high])
+            cells = np.repeat(langs.indices[low:high].to_numpy().astype(np.int64), sizes) * BUCKETS + codes
+            if size <= MOST_CELLS:
+                total += np.bincount(cells, minlength=size)
+            else:
+                yield _count_rows(langs.dictionary, *np.unique(cells, return_counts=True))
+        if size <= MOST_CELLS:
+            cells = np.flatnonzero(total)
+            yield _count_rows(langs.dictionary, cells, total[cells])
+
+
+def _count_rows(names: pa.Array, cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    columns = [names.take(pa.array(cells // BUCKETS)), pa.array((cells % BUCKETS).astype(np.int32)), pa.array(counts)]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "code", "n"])
+
+
 def model_from_counts(counts: DataFrame, texts: DataFrame, *, max_bytes: int = MAX_BYTES) -> LanguageModel:
     """Model from tables ``(lang, code, n)`` and ``(lang, n)``.
 
@@ -197,34 +244,32 @@ def load_language_model(spark: SparkSession, path: str) -> LanguageModel:
     )
 
 
-def language_scores(codes: Column, model: LanguageModel) -> Column:
-    """Best language and its probability as a struct; null without evidence or without any language."""
+def language_scores(lines: Column, model: LanguageModel) -> Column:
+    """Best language of each ``trigram_line`` and its probability as a struct; null without evidence or without any language."""
     handle = SparkSession.active().sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("code", T.StringType()), T.StructField("share", T.DoubleType())])
 
     @F.arrow_udf(kind)
-    def best(lists: pa.Array) -> pa.Array:
+    def best(lines: pa.Array) -> pa.Array:
         model = handle.value
         names = np.array(model.languages, dtype=object)
-        lengths = np.diff(lists.offsets.to_numpy())
-        if lists.null_count:
-            lengths = np.where(lists.is_valid().to_numpy(zero_copy_only=False), lengths, 0)
-        if not len(names) or not len(lengths):
-            return pa.nulls(len(lists), pa.struct([("code", pa.string()), ("share", pa.float64())]))
-        values = lists.flatten().to_numpy(zero_copy_only=False)
-        top, shares = np.zeros(len(lists), np.int64), np.zeros(len(lists))
-        ends = np.cumsum(lengths)
-        for low, high in bounds(np.maximum(lengths, max(1, PART_VALUES * len(names) // STEP)), PART_VALUES):
+        if not len(names) or not len(lines):
+            return pa.nulls(len(lines), pa.struct([("code", pa.string()), ("share", pa.float64())]))
+        top, shares, found = np.zeros(len(lines), np.int64), np.zeros(len(lines)), np.zeros(len(lines), bool)
+        # About as many characters as values are worked on at a time.
+        least = max(1, PART_VALUES * len(names) // STEP)
+        for low, high in bounds(np.maximum(text_sizes(lines), least), PART_VALUES):
             part = slice(low, high)
-            begin = ends[low] - lengths[low]
-            scores = model.scores(values[begin : ends[part][-1]], lengths[part])
+            codes, lengths = trigram_codes(lines[part])
+            scores = model.scores(codes, lengths)
+            found[part] = lengths > 0
             top[part] = scores.argmax(axis=1)
             shares[part] = 1.0 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
         return pa.StructArray.from_arrays(
-            [pa.array(names[top], pa.string()), pa.array(shares)], names=["code", "share"], mask=pa.array(lengths == 0)
+            [pa.array(names[top], pa.string()), pa.array(shares)], names=["code", "share"], mask=pa.array(~found)
         )
 
-    return best(codes)
+    return best(lines)
 
 
 def detect_language(df: DataFrame, model: LanguageModel, *, text_col: str = "cleaned_text") -> DataFrame:
@@ -233,8 +278,7 @@ def detect_language(df: DataFrame, model: LanguageModel, *, text_col: str = "cle
     Blank text is ``und`` by method ``none``; text the model cannot judge is
     ``und`` by method ``failed``.
     """
-    coded = with_trigram_codes(df, text_col)
-    staged = coded.withColumn("_best", language_scores(F.col("_codes"), model)).withColumn(
+    staged = df.withColumn("_best", language_scores(trigram_line(F.col(text_col)), model)).withColumn(
         "_blank", is_blank(F.col(text_col))
     )
     found = F.col("_best").isNotNull()

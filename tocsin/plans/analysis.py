@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tocsin import config as C
 from tocsin import schemas
 from tocsin.functions.text import is_blank
-from tocsin.functions.vectors import similarities, with_word_codes
+from tocsin.functions.vectors import folded, similarities, with_word_counts
 from tocsin.functions.numbers import softmax
 from tocsin.operators.clean import clean_messages
 from tocsin.operators.dedup import deduplicate
@@ -141,6 +141,7 @@ def analyze(
     gazetteer: DataFrame,
     *,
     language: LanguageModel | None = None,
+    cleaned: DataFrame | None = None,
     vectors: DataFrame | None = None,
     vector_col: str = "vector",
     embed: Callable[[DataFrame], DataFrame] | None = None,
@@ -154,16 +155,20 @@ def analyze(
     ``df`` has ``message_id, arrival_seq, text``.  Vectors stand for the
     cleaned text: they come from ``vectors`` by ``message_id``, from a
     ``vector_col`` of ``df``, or ``embed`` adds them to the cleaned rows (by
-    default from hashed words).  The cleaned and classified rows are written
+    default from hashed words); hashed words are folded to counts.  ``cleaned``
+    is given if ``clean_messages(df)``, maybe with vectors, lies in a table
+    already.  The cleaned and classified rows are written
     once; places and duplicates then read only the columns they need, and
     their narrow results are joined to each other before the wide rows move,
     which happens once.
     """
-    cleaned = clean_messages(df)
+    cleaned = clean_messages(df) if cleaned is None else cleaned
     if vectors is not None:
         cleaned = cleaned.drop(vector_col).join(vectors.select("message_id", vector_col), "message_id", "left")
-    elif vector_col not in df.columns and not (skip_dedup and not isinstance(scores, Prototypes)):
-        cleaned = embed(cleaned) if embed else with_word_codes(cleaned, "cleaned_text", vector_col)
+    elif vector_col not in cleaned.columns and not (skip_dedup and not isinstance(scores, Prototypes)):
+        cleaned = embed(cleaned) if embed else with_word_counts(cleaned, "cleaned_text", vector_col)
+    if vector_col in cleaned.columns:
+        cleaned = cleaned.withColumn(vector_col, folded(cleaned, vector_col))
     base = classify(cleaned, scores, language=language, settings=settings)
     base = materialise(base, "classified")
     relevant = base.where("is_relevant").select("message_id", "cleaned_text")
