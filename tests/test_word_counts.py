@@ -86,3 +86,17 @@ def test_texts_are_cleaned_once_for_the_models(spark, sf_dir, monkeypatch):
         monkeypatch.setattr(module, "clean_messages", lambda df, **o: calls.append(1) or real(df, **o))
     results = catalog.q_analyze_models(spark, sf_dir)
     assert len(calls) == 1 and results.count() == catalog.tables.messages(spark, sf_dir).count()
+
+
+def test_normal_form_is_made_in_parts_of_a_batch():
+    import tracemalloc
+
+    texts = pa.array(["é word " * 1000 + "\U0001F525"] * 4000, pa.string())  # 36 MB, 4 bytes a character in Python
+    tracemalloc.start()
+    try:
+        made = X._nfc.func(texts)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert len(made) == 4000 and made[3999].as_py() == "é word " * 1000 + "\U0001F525"
+    assert peak < 60
